@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import near_duplicates, quality_rules
+from foliant.llm import decontamination, near_duplicates, quality_rules
+from foliant.llm.common import table
 
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,4 +16,12 @@ def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return near_duplicates.representatives(docs)
 
 
-STAGES = [("quality_rules", keep_by_rules), ("near_duplicates", keep_representatives)]
+def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+STAGES = [
+    ("quality_rules", keep_by_rules),
+    ("near_duplicates", keep_representatives),
+    ("decontamination", keep_uncontaminated),
+]
