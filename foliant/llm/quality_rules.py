@@ -155,7 +155,8 @@ def estimate_rules(
     docs: DataFrame, rules: Sequence[Rule], *, text_col: str = "text", sample_rows: int = 1000
 ) -> list[Estimate]:
     """Cost and rejected share of each rule on a bounded sample of rows. The sample decides only the order of rules."""
-    sample = _texts(docs.select(text_col).limit(sample_rows), text_col).cache()
+    rows = docs.select(F.col(text_col).alias("text")).take(sample_rows)  # reads as few partitions as hold them
+    sample = _texts(docs.sparkSession.createDataFrame(rows, "text string"), "text").cache()
     try:
         found, n = [], max(1, sample.count())
         for rule in rules:
