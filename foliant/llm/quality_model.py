@@ -5,7 +5,8 @@ random places. The vector of a word is the sum of the index vectors of its neigh
 documents: sums of whole numbers, so their order doesn't matter. Tasks add up their own table of fixed size
 (VOCABULARY x DIMENSIONS numbers, 4 MB), Spark adds the tables by blocks of rows.
 
-A document is the mean of its words' vectors (each scaled to length 1). A network of two layers is fitted in numpy on
+A document is the mean of its words' vectors (each scaled to length 1), with the mean of the products of neighbouring
+words' vectors, which shows words that follow themselves or their like. A network of two layers is fitted in numpy on
 at most TRAIN_ROWS labelled documents; a temperature fitted on labelled rows that it has not seen calibrates the
 probabilities.
 
@@ -34,6 +35,8 @@ REACH = 2
 BLOCK_ROWS = 1 << 10
 TRAIN_ROWS = 20_000
 HIDDEN = 32
+#: Numbers of a document: the pooled vectors and the pooled products.
+POOLED = 2 * DIMENSIONS
 
 #: Of each byte: 0 white space, 1 letter or digit (all bytes beyond ASCII are), 2 other signs.
 KIND = np.full(256, 2, np.uint8)
@@ -104,18 +107,22 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """doc_id, vector: the mean vector of the words of each text. ``docs``: doc_id, text."""
+    """doc_id, vector: the pooled vectors and products of the words of each text. ``docs``: doc_id, text."""
     sent = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, texts in _chunks(batches):
             words, doc = tokens(texts)
-            total = np.zeros((len(texts), DIMENSIONS), np.float32)
+            total = np.zeros((len(texts), POOLED), np.float32)
             counts = np.bincount(doc, minlength=len(texts))
             filled = np.flatnonzero(counts)
             if len(filled):
                 begins = np.concatenate(([0], np.cumsum(counts[filled])[:-1]))
-                total[filled] = np.add.reduceat(sent.value[words], begins, axis=0) / counts[filled, None]
+                found = sent.value[words]
+                products = np.zeros_like(found)
+                products[1:] = found[1:] * found[:-1] * (doc[1:] == doc[:-1])[:, None]
+                sums = np.add.reduceat(np.hstack((found, products)), begins, axis=0)
+                total[filled] = sums / counts[filled, None]
             yield pd.DataFrame({"doc_id": ids, "vector": list(total)})
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -146,9 +153,9 @@ def _loss(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def constant(share: float) -> Network:
-    none = np.zeros(DIMENSIONS)
+    none = np.zeros(POOLED)
     share = min(max(share, 1e-6), 1 - 1e-6)
-    return Network(none, none + 1, np.zeros((DIMENSIONS, 1)), np.zeros(1), np.zeros(1), np.log(share / (1 - share)))
+    return Network(none, none + 1, np.zeros((POOLED, 1)), np.zeros(1), np.zeros(1), np.log(share / (1 - share)))
 
 
 def fit(x: np.ndarray, y: np.ndarray, *, hidden: int = HIDDEN, epochs: int = 60, seed: int = 7) -> Network:
@@ -197,7 +204,7 @@ def train(vectors: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = vectors.join(chosen, "doc_id").select("doc_id", "vector", "label").toPandas()
     rows = rows.sort_values("doc_id").drop_duplicates("doc_id")
-    x = np.array(rows["vector"].tolist(), float).reshape(-1, DIMENSIONS)
+    x = np.array(rows["vector"].tolist(), float).reshape(-1, POOLED)
     return fit(x, rows["label"].to_numpy(float))
 
 
@@ -208,7 +215,7 @@ def score(vectors: DataFrame, net: Network) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fitted = Network(**sent.value)
         for batch in batches:
-            x = np.array(batch["vector"].tolist(), float).reshape(-1, DIMENSIONS)
+            x = np.array(batch["vector"].tolist(), float).reshape(-1, POOLED)
             yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "score": fitted.probabilities(x)})
 
     id_type = vectors.schema["doc_id"].dataType.simpleString()
