@@ -7,8 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontamination, language_id, near_duplicates, quality_model, quality_rules, substrings
+from foliant.llm import (
+    decontamination,
+    language_id,
+    near_duplicates,
+    pieces,
+    quality_model,
+    quality_rules,
+    substrings,
+)
 from foliant.llm.common import table
+from foliant.llm.stages import PIECE_MODEL
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +49,18 @@ def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str, model_file: str = PIECE_MODEL) -> DataFrame:
+    known = pieces.read_pieces(spark, model_file)
+    found = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), known), known)
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "similarity", F.col("start_word").cast("long").alias("start_word"))
@@ -53,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_near_duplicates,
         op7_quality_rules,
         op8_quality_model,
+        op9_pieces,
         op10_decontamination,
     )
 }

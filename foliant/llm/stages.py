@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliant.llm import decontamination, near_duplicates, quality_rules
+from foliant.llm import decontamination, near_duplicates, pieces, quality_rules
 from foliant.llm.common import table
 
+#: A vocabulary file outside the repository; a parameter of what uses it.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs).where("rejected_by is null").select(*docs.columns)
@@ -20,8 +24,15 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str, model_file: str = PIECE_MODEL) -> DataFrame:
+    known = pieces.read_pieces(spark, model_file)
+    encoded = pieces.encode(docs, known)
+    return encoded.select("doc_id", "n_words", F.size("ids").cast("long").alias("n_pieces"), "ids")
+
+
 STAGES = [
     ("quality_rules", keep_by_rules),
     ("near_duplicates", keep_representatives),
     ("decontamination", keep_uncontaminated),
+    ("pieces", encode_pieces),
 ]
