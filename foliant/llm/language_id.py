@@ -197,14 +197,12 @@ def identify(
     """One row per document: doc_id, lang_pred, score. ``models`` is what ``learn`` returns: one row per language."""
     sent = docs.sparkSession.sparkContext.broadcast([r.asDict() for r in models.collect()])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         parser = CrossParser(sent.value)
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at : at + 1000]
-                langs, scores = parser.predict(list(part["text"]))
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "lang_pred": langs, "score": scores})
-
-    id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {id_type}, lang_pred string, score double")
+        for texts in batches:
+            parts = [parser.predict(list(texts[at : at + 1000])) for at in range(0, len(texts), 1000)]
+            yield pd.DataFrame({"lang_pred": [x for p in parts for x in p[0]], "score": [x for p in parts for x in p[1]]})
+
+    found = docs.select(F.col(id_col).alias("doc_id"), predict(F.col(text_col)).alias("found"))
+    return found.select("doc_id", "found.lang_pred", "found.score")

@@ -174,7 +174,7 @@ def _pack(n_buckets: int):
             for key, text in zip(batch["id"].tolist(), batch["text"]):
                 units, words = units_of(text)
                 stream.append(np.array([number.setdefault(u, len(number)) for u in units], np.uint32))
-                ids.append(None if pd.isna(key) else key)
+                ids.append(key)
                 n_units.append(len(units))
                 n_words.append(words)
                 held += len(units)
@@ -242,9 +242,9 @@ def encode(
 ) -> DataFrame:
     """One row per document: doc_id, n_words, ids. The number of buckets follows that of documents."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     n_buckets = max(8, docs.count() // docs_per_bucket)
-    schema = f"block long, bucket int, ids array<{id_type}>, n_units array<int>, n_words array<long>, packed binary"
+    schema = "block long, bucket int, ids array<string>, n_units array<int>, n_words array<long>, packed binary"
     packed = cut(rows.mapInPandas(_pack(n_buckets), schema))
     parts = packed.where("bucket is not null").select("block", "bucket", "packed")
     units = (
@@ -262,11 +262,12 @@ def encode(
         .applyInPandas(_look_up, "block long, bucket int, counts binary, packed binary")
     )
     texts = packed.where("bucket is null").select("block", "ids", "n_units", "n_words", "packed")
-    return (
+    encoded = (
         texts.groupBy("block")
         .cogroup(found.groupBy("block"))
-        .applyInPandas(_unpack, f"doc_id {id_type}, n_words long, ids array<int>")
+        .applyInPandas(_unpack, "doc_id string, n_words long, ids array<int>")
     )
+    return encoded.withColumn("doc_id", F.col("doc_id").cast(id_type))
 
 
 def piece_bytes(pieces: DataFrame) -> dict[int, bytes]:
@@ -286,10 +287,9 @@ def decode(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
     """The rows of ``encoded`` (doc_id, n_words, ids) with ``text``."""
     sent = encoded.sparkSession.sparkContext.broadcast(piece_bytes(pieces))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(text=[decode_ids(ids.tolist(), sent.value) for ids in batch["ids"]])
+    @F.pandas_udf("string")
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            yield pd.Series([decode_ids(ids.tolist(), sent.value) for ids in rows])
 
-    id_type = encoded.schema["doc_id"].dataType.simpleString()
-    rows = encoded.select("doc_id", "n_words", "ids")
-    return rows.mapInPandas(run, f"doc_id {id_type}, n_words long, ids array<int>, text string")
+    return encoded.select("doc_id", "n_words", "ids", text("ids").alias("text"))

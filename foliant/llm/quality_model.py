@@ -96,8 +96,8 @@ def _add_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
-    """The vectors of all buckets, of length 1 or zero. ``docs``: doc_id, text."""
-    parts = docs.mapInPandas(_count_contexts, "block int, sums binary")
+    """The vectors of all buckets, of length 1 or zero. ``docs``: text."""
+    parts = docs.select(F.lit(0).alias("doc_id"), "text").mapInPandas(_count_contexts, "block int, sums binary")
     blocks = parts.repartition("block").sortWithinPartitions("block").mapInPandas(_add_blocks, "block int, sums binary")
     vectors = np.zeros((VOCABULARY, DIMENSIONS))
     for row in blocks.collect():  # VOCABULARY x DIMENSIONS numbers
@@ -110,23 +110,26 @@ def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
     """doc_id, vector: the pooled vectors and products of the words of each text. ``docs``: doc_id, text."""
     sent = docs.sparkSession.sparkContext.broadcast(vectors)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, texts in _chunks(batches):
-            words, doc = tokens(texts)
-            total = np.zeros((len(texts), POOLED), np.float32)
-            counts = np.bincount(doc, minlength=len(texts))
-            filled = np.flatnonzero(counts)
-            if len(filled):
-                begins = np.concatenate(([0], np.cumsum(counts[filled])[:-1]))
-                found = sent.value[words]
-                products = np.zeros_like(found)
-                products[1:] = found[1:] * found[:-1] * (doc[1:] == doc[:-1])[:, None]
-                sums = np.add.reduceat(np.hstack((found, products)), begins, axis=0)
-                total[filled] = sums / counts[filled, None]
-            yield pd.DataFrame({"doc_id": ids, "vector": list(total)})
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(run, f"doc_id {id_type}, vector array<float>")
+    def pool(texts: list[bytes]) -> np.ndarray:
+        words, doc = tokens(texts)
+        total = np.zeros((len(texts), POOLED), np.float32)
+        counts = np.bincount(doc, minlength=len(texts))
+        filled = np.flatnonzero(counts)
+        if len(filled):
+            begins = np.concatenate(([0], np.cumsum(counts[filled])[:-1]))
+            found = sent.value[words]
+            products = np.zeros_like(found)
+            products[1:] = found[1:] * found[:-1] * (doc[1:] == doc[:-1])[:, None]
+            total[filled] = np.add.reduceat(np.hstack((found, products)), begins, axis=0) / counts[filled, None]
+        return total
+
+    @F.pandas_udf("array<float>")
+    def vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            rows = pd.DataFrame({"doc_id": 0, "text": texts})
+            yield pd.Series([x for _, chunk in _chunks([rows]) for x in pool(chunk)])
+
+    return docs.select("doc_id", vector("text").alias("vector"))
 
 
 @dataclass
@@ -212,14 +215,13 @@ def score(vectors: DataFrame, net: Network) -> DataFrame:
     """doc_id, score."""
     sent = vectors.sparkSession.sparkContext.broadcast(vars(net))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         fitted = Network(**sent.value)
-        for batch in batches:
-            x = np.array(batch["vector"].tolist(), float).reshape(-1, POOLED)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "score": fitted.probabilities(x)})
+        for rows in batches:
+            yield pd.Series(fitted.probabilities(np.array(rows.tolist(), float).reshape(-1, POOLED)))
 
-    id_type = vectors.schema["doc_id"].dataType.simpleString()
-    return vectors.mapInPandas(run, f"doc_id {id_type}, score double")
+    return vectors.select("doc_id", probability("vector").alias("score"))
 
 
 def quality_scores(

@@ -8,11 +8,12 @@ Three passes over the texts, each a Spark job; between them only windows that ma
    windows. Each task sketches its texts in parts of bounded size (two rows of counters, only those in use, which
    stop at two); the parts meet by blocks of counters, and the counters that reach two make two bitmaps of at most
    2 * 2^WIDTH_BITS bits (32 MB), which go to all tasks. A larger corpus makes more windows pass, never fewer.
-2. Windows whose minimiser is estimated repeated in both rows, under a 128-bit hash of their words. Within a part of
+2. Windows whose minimiser is estimated repeated in both rows, under a 96-bit hash of their words. Within a part of
    bounded size only the first of equal windows goes on and the others are known to be repeats, so that one frequent
-   passage gives a row for each part and not for each document. The rows meet by hash in order of (document, start):
-   the first starts the passage and all others are repeats. No window is left out.
-3. Each document gets the starts of its repeats and drops the words that they cover.
+   passage gives a window for each part and not for each document. The windows meet in buckets of their minimiser,
+   packed by part and bucket, and are put in order of (hash, document, start): the first starts the passage and all
+   others are repeats. No window is left out. The number of buckets follows that of documents.
+3. Each document, its text compressed, meets the starts of its repeats and drops the words that they cover.
 
 Defined results: a null or empty text has no words; documents of fewer words than a window lose nothing; rows that
 repeat a doc_id count as one document each, in no defined order among them; a null id comes after all others.
@@ -21,15 +22,15 @@ repeat a doc_id count as one document each, in no defined order among them; a nu
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut
-
 WINDOW = 20
 GRAM = 8
 WIDTH_BITS = 27
@@ -39,7 +40,8 @@ ROWS = 2
 PART = 2_000_000
 #: Bytes of text that are hashed at a time, if no single text is longer.
 CHUNK = 1 << 20
-NO_ID = np.iinfo(np.int64).max
+#: Stands for a null id between the steps.
+NO_ID = 2**63 - 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -230,8 +232,71 @@ def repeated_counters(docs: DataFrame, width_bits: int = WIDTH_BITS) -> DataFram
     return ordered.mapInPandas(_merge(width_bits), "row int, block int, bits binary")
 
 
-def _candidates(bitmaps, width_bits: int):
-    """kind 0: a window to be compared (h1, h2, start); kind 1: starts of windows known to be repeats (starts)."""
+def _pack(numbers: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes(), 1)
+
+
+def _unpack(packed: bytes, kind: type) -> np.ndarray:
+    flat = np.frombuffer(zlib.decompress(packed), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+class Windows(NamedTuple):
+    """Windows, column by column: hashes, document, what tells its text apart, start."""
+
+    h1: np.ndarray
+    h2: np.ndarray
+    doc: np.ndarray
+    turn: np.ndarray
+    start: np.ndarray
+
+    def take(self, at: np.ndarray) -> "Windows":
+        return Windows(*[x[at] for x in self])
+
+    def later(self) -> tuple["Windows", "Windows"]:
+        """The first of each hash, by document and start, and all others."""
+        rows = self.take(np.lexsort((self.start, self.turn, self.doc, self.h2, self.h1)))
+        first = np.ones(len(rows.h1), bool)
+        first[1:] = (rows.h1[1:] != rows.h1[:-1]) | (rows.h2[1:] != rows.h2[:-1])
+        return rows.take(first), rows.take(~first)
+
+    def by_document(self) -> tuple["Windows", np.ndarray]:
+        """In order of documents and starts, and where each document begins."""
+        rows = self.take(np.lexsort((self.start, self.turn, self.doc)))
+        new = (np.diff(rows.doc) != 0) | (np.diff(rows.turn) != 0)
+        return rows, np.concatenate(([0], np.flatnonzero(new) + 1)) if len(rows.doc) else np.zeros(0, np.int64)
+
+    def packed(self, bucket: int, known: bool) -> dict:
+        """One row; of windows known to be repeats the hashes aren't needed."""
+        rows, begins = self.by_document()
+        steps = np.diff(rows.start, prepend=0).astype(np.int32)
+        steps[begins] = rows.start[begins]
+        return {
+            "bucket": bucket,
+            "docs": rows.doc[begins],
+            "turns": rows.turn[begins],
+            "sizes": np.diff(np.append(begins, len(rows.doc))).astype(np.int32),
+            "starts": _pack(steps),
+            "hashes": None if known else rows.h1.tobytes() + rows.h2.tobytes(),
+        }
+
+    @staticmethod
+    def unpacked(docs, turns, sizes, starts, hashes) -> "Windows":
+        steps = _unpack(starts, np.int32).astype(np.int64)
+        begins = np.cumsum(sizes) - sizes
+        total = np.cumsum(steps)
+        base = np.repeat(total[begins] - steps[begins], sizes)
+        n = len(steps)
+        h1 = np.frombuffer(hashes, np.uint64, n) if hashes else np.zeros(n, np.uint64)
+        h2 = np.frombuffer(hashes, np.uint32, n, 8 * n) if hashes else np.zeros(n, np.uint32)
+        return Windows(h1, h2, np.repeat(docs, sizes), np.repeat(turns, sizes), total - base)
+
+
+PACKED = "bucket int, docs array<long>, turns array<long>, sizes array<int>, starts binary, hashes binary"
+
+
+def _candidates(bitmaps, width_bits: int, n_buckets: int):
+    """Windows to be compared, packed by bucket, and windows known to be repeats."""
     block_bits = min(BLOCK_BITS, width_bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -251,44 +316,36 @@ def _candidates(bitmaps, width_bits: int):
                 hit &= (full[cell >> np.uint32(3)] >> (7 - (cell & np.uint32(7))).astype(np.uint8)) & 1 == 1
             return hit
 
-        held: list[tuple[np.ndarray, ...]] = []
-        n = 0
-
-        def part() -> Iterator[pd.DataFrame]:
-            h1, h2, ids, starts, turns = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((starts, turns, ids, h2, h1))
-            h1, h2, ids, starts, turns = (x[order] for x in (h1, h2, ids, starts, turns))
-            first = np.ones(len(h1), bool)
-            first[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-            yield pd.DataFrame(
-                {"doc_id": ids[first], "turn": turns[first], "h1": h1[first], "h2": h2[first], "start": starts[first]}
-            ).assign(starts=None)
-            ids, starts, turns = ids[~first], starts[~first], turns[~first]
-            if len(ids):
-                order = np.lexsort((starts, turns, ids))
-                ids, starts, turns = ids[order], starts[order], turns[order]
-                cuts = np.flatnonzero((np.diff(ids) != 0) | (np.diff(turns) != 0)) + 1
-                begins = np.concatenate(([0], cuts))
-                yield pd.DataFrame(
-                    {"doc_id": ids[begins], "turn": turns[begins], "h1": None, "h2": None, "start": None}
-                ).assign(starts=[x.astype(np.int32) for x in np.split(starts, cuts)])
+        def part(held: list[tuple[Windows, np.ndarray]]) -> Iterator[pd.DataFrame]:
+            rows = Windows(*[np.concatenate(x) for x in zip(*[w for w, _ in held])])
+            bucket = np.concatenate([b for _, b in held])
+            out = []
+            order = np.argsort(bucket, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                first, later = rows.take(at).later()  # equal windows are in one bucket
+                out.append(first.packed(int(bucket[at[0]]), False))
+                if len(later.doc):
+                    out.append(later.packed(int(bucket[at[0]]), True))
+            yield pd.DataFrame(out)
 
+        held, n = [], 0
         for ids, texts in _chunks(batches):
             doc, start, low, words, offsets = _windows(texts)
             hit = repeated(low)
-            doc, start = doc[hit], start[hit]
+            doc, start, low = doc[hit], start[hit], low[hit]
             if len(start):
-                h1 = _runs(words, start, start + WINDOW, BASES[0][2]).view(np.int64)
-                h2 = _runs(word_hashes(texts, 1)[0], start, start + WINDOW, BASES[1][2]).view(np.int64)
-                turns = np.array([_turn(t) if k else 0 for t, k in zip(texts, np.bincount(doc, minlength=len(texts)))])
-                held.append((h1, h2, ids[doc], start - offsets[doc], turns[doc]))
+                h1 = _runs(words, start, start + WINDOW, BASES[0][2])
+                h2 = _runs(word_hashes(texts, 1)[0], start, start + WINDOW, BASES[1][2]).astype(np.uint32)
+                used = np.bincount(doc, minlength=len(texts))
+                turns = np.array([_turn(t) if k else 0 for t, k in zip(texts, used)], np.int64)
+                bucket = (low % np.uint64(n_buckets)).astype(np.int32)
+                held.append((Windows(h1, h2, ids[doc], turns[doc], start - offsets[doc]), bucket))
                 n += len(start)
             if n >= PART:
-                yield from part()
-                held.clear()
-                n = 0
+                yield from part(held)
+                held, n = [], 0
         if n:
-            yield from part()
+            yield from part(held)
 
     return run
 
@@ -299,42 +356,43 @@ def _turn(text: bytes) -> int:
 
 
 def _later(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of windows in order of (hash, document, start): all but the first of each hash."""
-    last = (None, None)
+    """Rows in order of buckets: the starts of repeats by document."""
+    now, held, known = None, [], []
+
+    def done() -> Iterator[pd.DataFrame]:
+        rows = [Windows(*[np.concatenate(x) for x in zip(*held)]).later()[1]] if held else []
+        if not rows and not known:
+            return
+        rows, begins = Windows(*[np.concatenate(x) for x in zip(*rows, *known)]).by_document()
+        if len(begins):
+            starts = [x.astype(np.int32) for x in np.split(rows.start, begins[1:])]
+            yield pd.DataFrame({"doc_id": rows.doc[begins], "turn": rows.turn[begins], "starts": starts})
+
     for batch in batches:
-        h1, h2 = batch["h1"].to_numpy(), batch["h2"].to_numpy()
-        same = np.zeros(len(batch), bool)
-        same[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-        if len(batch):
-            same[0] = (h1[0], h2[0]) == last
-            last = (h1[-1], h2[-1])
-        yield batch.loc[same, ["doc_id", "turn", "start"]]
+        for bucket, *packed in batch.itertuples(index=False):
+            if bucket != now:
+                yield from done()
+                now, held, known = bucket, [], []
+            (known if packed[-1] is None else held).append(Windows.unpacked(*packed))
+    yield from done()
 
 
-def repeats(docs: DataFrame, *, width_bits: int = WIDTH_BITS) -> DataFrame:
+def repeats(docs: DataFrame, *, width_bits: int = WIDTH_BITS, docs_per_bucket: int = 2000) -> DataFrame:
     """doc_id, turn, starts: the windows of each document whose words start earlier. ``docs``: doc_id, text."""
-    spark = docs.sparkSession
     bitmaps = {(r["row"], r["block"]): bytes(r["bits"]) for r in repeated_counters(docs, width_bits).collect()}
-    sent = spark.sparkContext.broadcast(bitmaps)  # two rows of 2^WIDTH_BITS bits at most
-    schema = "doc_id long, turn long, h1 long, h2 long, start int, starts array<int>"
-    found = cut(docs.mapInPandas(_candidates(sent, width_bits), schema))
-    windows = found.where("starts is null").select("h1", "h2", "doc_id", "turn", "start")
-    ordered = windows.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id", "start", "turn")
-    later = ordered.mapInPandas(_later, "doc_id long, turn long, start int")
-    return (
-        later.groupBy("doc_id", "turn")
-        .agg(F.collect_list("start").alias("starts"))
-        .unionByName(found.where("starts is not null").select("doc_id", "turn", "starts"))
-        .groupBy("doc_id", "turn")
-        .agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    )
+    sent = docs.sparkSession.sparkContext.broadcast(bitmaps)  # two rows of 2^WIDTH_BITS bits at most
+    n_buckets = max(8, docs.count() // docs_per_bucket)
+    windows = docs.mapInPandas(_candidates(sent, width_bits, n_buckets), PACKED)
+    ordered = windows.repartition("bucket").sortWithinPartitions("bucket")
+    later = ordered.mapInPandas(_later, "doc_id long, turn long, starts array<int>")
+    return later.groupBy("doc_id", "turn").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def _drop_covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         n_words, n_removed, kept = [], [], []
-        for text, starts in zip(batch["text"], batch["starts"]):
-            words = text.encode().split() if text else []
+        for packed, starts in zip(batch["packed"], batch["starts"]):
+            words = zlib.decompress(packed).split()
             n_words.append(len(words))
             if starts is None or not len(starts):
                 n_removed.append(0)
@@ -347,7 +405,7 @@ def _drop_covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n_removed.append(len(words) - len(stay))
             kept.append(b" ".join([words[i] for i in stay]).decode())
         yield pd.DataFrame(
-            {"doc_id": batch["id"], "n_words": n_words, "n_removed": n_removed, "kept_text": kept}
+            {"doc_id": batch["doc_id"], "n_words": n_words, "n_removed": n_removed, "kept_text": kept}
         )
 
 
@@ -357,15 +415,26 @@ def remove_repeats(
     """One row per document: doc_id, n_words, n_removed, kept_text (the kept words joined by one space)."""
     id_type = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long").alias("doc_id"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    )
-    found = repeats(plain.select("doc_id", "text"), width_bits=width_bits)
-    keyed = plain.mapInPandas(_with_turns, "id long, doc_id long, text string, turn long")
-    out = f"doc_id {id_type}, n_words long, n_removed long, kept_text string"
-    return keyed.join(found, ["doc_id", "turn"], "left").select("id", "text", "starts").mapInPandas(_drop_covered, out)
+    )
+    found = repeats(plain, width_bits=width_bits)
+    keyed = plain.mapInPandas(_compressed, "doc_id long, turn long, packed binary")
+    kept = (
+        keyed.join(found, ["doc_id", "turn"], "left")
+        .select("doc_id", "packed", "starts")
+        .mapInPandas(_drop_covered, "doc_id long, n_words long, n_removed long, kept_text string")
+    )
+    return kept.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)).cast(id_type))
 
 
-def _with_turns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _compressed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield batch.assign(turn=[_turn(t.encode()) for t in batch["text"]])
+        texts = [t.encode() for t in batch["text"]]
+        yield pd.DataFrame(
+            {
+                "doc_id": batch["doc_id"],
+                "turn": [_turn(t) for t in texts],
+                "packed": [zlib.compress(t, 1) for t in texts],
+            }
+        )
