@@ -11,6 +11,7 @@ from foliant.llm import (
     decontamination,
     language_id,
     near_duplicates,
+    personal_data,
     pieces,
     quality_model,
     quality_rules,
@@ -32,6 +33,20 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find(table(spark, sf_dir, "documents"))
+
+    def count(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[count(i).alias(f"n_{kind}") for i, kind in enumerate(personal_data.KINDS)],
+        F.sha2(personal_data.as_text(F.col("base")), 256).alias("base_sha256"),
+        personal_data.as_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -71,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op2_language_id,
         op3_substring_dedup,
+        op4_personal_data,
         op6_near_duplicates,
         op7_quality_rules,
         op8_quality_model,
