@@ -16,6 +16,7 @@ from foliant.llm import (
     quality_model,
     quality_rules,
     substrings,
+    warc,
 )
 from foliant.llm.common import table
 from foliant.llm.stages import PIECE_MODEL
@@ -47,6 +48,19 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    found = warc.read_records(warc.write_packages(pages))
+    return found.select(
+        F.col("page_id").cast(kind).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"),
+    )
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -87,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_language_id,
         op3_substring_dedup,
         op4_personal_data,
+        op5_warc,
         op6_near_duplicates,
         op7_quality_rules,
         op8_quality_model,

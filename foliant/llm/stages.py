@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontamination, near_duplicates, pieces, quality_rules
+from foliant.llm import decontamination, near_duplicates, personal_data, pieces, quality_rules
 from foliant.llm.common import table
 
 #: A vocabulary file outside the repository; a parameter of what uses it.
@@ -24,6 +24,11 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    redacted = personal_data.redact(docs)
+    return redacted.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str, model_file: str = PIECE_MODEL) -> DataFrame:
     known = pieces.read_pieces(spark, model_file)
     encoded = pieces.encode(docs, known)
@@ -34,5 +39,6 @@ STAGES = [
     ("quality_rules", keep_by_rules),
     ("near_duplicates", keep_representatives),
     ("decontamination", keep_uncontaminated),
+    ("personal_data", redact_personal_data),
     ("pieces", encode_pieces),
 ]
