@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.llm.common import cut
 from foliant.llm.substrings import BASES, WHITE, _byte_values, _chunks, _mix, _runs
@@ -136,10 +137,13 @@ def pattern_hashes(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np
     return one, two, has
 
 
-SCAN = (
-    "base array<struct<start:int,stop:int,kind:int>>, "
-    "met array<struct<start:int,stop:int,kind:int,value:string,patterns:array<bigint>>>"
-)
+def _fields(*names: str, **kinds: T.DataType) -> list[T.StructField]:
+    return [T.StructField(n, T.IntegerType()) for n in names] + [T.StructField(n, k) for n, k in kinds.items()]
+
+
+SPAN = T.StructType(_fields("start", "stop", "kind"))
+MET = T.StructType(_fields("start", "stop", "kind", value=T.StringType(), patterns=T.ArrayType(T.LongType())))
+SCAN = T.StructType([T.StructField("base", T.ArrayType(SPAN)), T.StructField("met", T.ArrayType(MET))])
 
 
 @F.pandas_udf(SCAN)
@@ -270,7 +274,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _redact(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for texts, added in batches:
         out = []

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm import (
     decontamination,
+    html_text,
     language_id,
     near_duplicates,
     personal_data,
@@ -22,6 +23,10 @@ from foliant.llm.common import table
 from foliant.llm.stages import PIECE_MODEL
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.visible_text(table(spark, sf_dir, "pages"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     models = language_id.learn(docs.where(~language_id.held_out()))
@@ -98,6 +103,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_html_text,
         op2_language_id,
         op3_substring_dedup,
         op4_personal_data,
