@@ -19,13 +19,16 @@ rows are encoded each; unknown ids decode to nothing.
 
 from __future__ import annotations
 
+import json
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.common import cut
@@ -33,10 +36,12 @@ from foliant.llm.common import cut
 MARK = "▁"
 MAX_UNIT = 64
 #: Words in a block: bounds the memory of the tasks that pack and unpack it.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 500_000
 #: A vocabulary has a few tens of thousands of pieces; a larger table than this is not taken.
 MAX_PIECES = 1_000_000
 BYTE_PENALTY = 10.0
+#: Labels of edges from here on are no pieces: the number of bytes of a character is added.
+UNKNOWN = 1 << 24
 
 
 def read_pieces(spark: SparkSession, model_file: str) -> DataFrame:
@@ -52,8 +57,8 @@ def read_pieces(spark: SparkSession, model_file: str) -> DataFrame:
     return spark.createDataFrame(rows, "id int, piece string, score double, kind string")
 
 
-def _checked(pieces: DataFrame) -> tuple[DataFrame, int, int, float]:
-    """The normal pieces, to be broadcast; the longest one's length, the id of byte 0, the lowest score."""
+def _checked(pieces: DataFrame) -> tuple[DataFrame, Column, int, int, float]:
+    """The normal pieces, to be broadcast; scores by id; the longest one's length, the id of byte 0, the lowest score."""
     normal = pieces.where("kind = 'normal' and piece <> ''")
     facts = normal.agg(F.count("id").alias("n"), F.max(F.length("piece")).alias("long"), F.min("score").alias("low"))
     facts = facts.first()
@@ -63,74 +68,78 @@ def _checked(pieces: DataFrame) -> tuple[DataFrame, int, int, float]:
     if zero["low"] is None or zero["high"] - zero["low"] != 255:
         raise ValueError("the piece table needs the 256 byte pieces in order")
     best = normal.groupBy("piece").agg(F.max_by("id", "score").alias("id"), F.max("score").alias("score"))
-    return F.broadcast(best), facts["long"], zero["low"], facts["low"]
+    by_id = {r["id"]: r["score"] for r in best.select("id", "score").collect()}
+    scores = F.from_json(F.lit(json.dumps([by_id.get(i) for i in range(max(by_id) + 1)])), "array<double>")
+    return F.broadcast(best.drop("score")), scores, facts["long"], zero["low"], facts["low"]
 
 
 def encode_units(units: DataFrame, pieces: DataFrame, *, unit_col: str = "unit") -> DataFrame:
     """The rows of ``units`` (distinct, not empty) with ``ids``: the best path of each through the lattice."""
-    table, longest, byte_zero, low = _checked(pieces)
+    table, scores, longest, byte_zero, low = _checked(pieces)
     unit = F.col(unit_col)
-    substrings = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), F.length(unit) - 1),
-            lambda start: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(longest), F.length(unit) - start)),
-                lambda size: F.struct(
-                    start.alias("start"), (start + size).alias("stop"), F.substring(unit, start + 1, size).alias("piece")
-                ),
-            ),
-        )
-    )
-    code = F.hex(F.encode("piece", "UTF-8"))
-    as_bytes = F.transform(
-        F.sequence(F.lit(0), F.octet_length("piece") - 1),
-        lambda i: F.conv(F.substring(code, 2 * i + 1, F.lit(2)), 16, 10).cast("int") + byte_zero,
+    # An edge is one number, in order of its end and start: stop, start, and its piece or the bytes of its character.
+    cell = F.explode(F.sequence(F.lit(0), F.length(unit) * longest - 1)).alias("cell")
+    start, size = F.expr(f"cell div {longest}"), F.col("cell") % longest + 1
+    substrings = units.select(unit_col, cell).select(unit_col, start.cast("int").alias("start"), size.alias("size"))
+    substrings = substrings.where(F.col("start") + F.col("size") <= F.length(unit)).select(
+        unit_col, "start", "size", F.substring(unit, F.col("start") + 1, F.col("size")).alias("piece")
     )
+    stop = (F.col("start") + F.col("size")).cast("long")
+    label = F.coalesce(F.col("id"), F.octet_length("piece") + UNKNOWN).cast("long")
+    edge = F.shiftleft(stop, 48).bitwiseOR(F.shiftleft(F.col("start").cast("long"), 32)).bitwiseOR(label)
     edges = (
-        units.select(unit_col, F.explode(substrings).alias("e"))
-        .select(unit_col, "e.*")
-        .join(table, "piece", "left")
-        .where("id is not null or stop = start + 1")
-        .select(
-            unit_col,
-            F.struct(
-                "stop",
-                "start",
-                F.coalesce("score", (low - BYTE_PENALTY) * F.octet_length("piece")).alias("score"),
-                F.when(F.col("id").isNull(), as_bytes).otherwise(F.array("id")).alias("ids"),
-            ).alias("edge"),
-        )
+        substrings.join(table, "piece", "left")
+        .where("id is not null or size = 1")
+        .select(unit_col, edge.alias("edge"))
         .groupBy(unit_col)
-        .agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+        .agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     )
-    none = F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids"))
 
-    def step(best, edge):
-        came = F.get(best, edge["start"])
-        new = F.struct((came["score"] + edge["score"]).alias("score"), F.concat(came["ids"], edge["ids"]).alias("ids"))
-        last = F.get(best, edge["stop"])
+    def label_of(e):
+        return e.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+
+    def start_of(e):
+        return F.shiftright(e, 32).bitwiseAND(F.lit((1 << 16) - 1)).cast("int")
+
+    def step(best, e):
+        stop = F.shiftright(e, 48).cast("int")
+        came = F.get(best, start_of(e))
+        unknown = (low - BYTE_PENALTY) * (label_of(e) - UNKNOWN)
+        score = came["score"] + F.coalesce(F.get(scores, label_of(e)), unknown)
+        new = F.array(F.struct(score.alias("score"), F.array_append(came["path"], e).alias("path")))
         return (
-            F.when(last.isNull(), F.concat(best, F.array(new)))
-            .when(came["score"] + edge["score"] >= last["score"], F.concat(F.slice(best, 1, edge["stop"]), F.array(new)))
+            F.when(F.size(best) <= stop, F.concat(best, new))
+            .when(score >= F.get(best, stop)["score"], F.concat(F.slice(best, 1, stop), new))
             .otherwise(best)
         )
 
-    return edges.select(
-        unit_col, F.aggregate("edges", F.array(none), step, lambda best: F.element_at(best, -1)["ids"]).alias("ids")
+    def bytes_at(start):
+        code = F.hex(F.encode(F.substring(unit, start + 1, F.lit(1)), "UTF-8"))
+        return F.transform(
+            F.sequence(F.lit(1), F.length(code) - 1, F.lit(2)),
+            lambda i: F.conv(F.substring(code, i, F.lit(2)), 16, 10).cast("int") + byte_zero,
+        )
+
+    none = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<bigint>").alias("path")))
+    found = edges.select(
+        unit_col, F.aggregate("edges", none, step, lambda best: F.element_at(best, -1)["path"]).alias("path")
     )
+    spelled = F.flatten(
+        F.transform(
+            "path", lambda e: F.when(label_of(e) < UNKNOWN, F.array(label_of(e))).otherwise(bytes_at(start_of(e)))
+        )
+    )
+    has_unknown = F.exists("path", lambda e: label_of(e) >= UNKNOWN)
+    return found.select(unit_col, F.when(has_unknown, spelled).otherwise(F.transform("path", label_of)).alias("ids"))
+
 
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").replace(MARK, " ").encode("utf-8", "replace").split()
 
-def units_of(text: str | None) -> tuple[list[str], int]:
-    """The units of a text and the number of its words."""
-    words = (text or "").replace(MARK, " ").encode("utf-8", "surrogatepass").split()
-    units = []
-    for word in words:
-        unit = MARK + word.decode("utf-8", "replace")
-        if len(unit) <= MAX_UNIT:
-            units.append(unit)
-        else:
-            units += [unit[i : i + MAX_UNIT] for i in range(0, len(unit), MAX_UNIT)]
-    return units, len(words)
+
+def units_of(word: bytes) -> list[str]:
+    unit = MARK + word.decode()
+    return [unit] if len(unit) <= MAX_UNIT else [unit[i : i + MAX_UNIT] for i in range(0, len(unit), MAX_UNIT)]
 
 
 def _squeeze(numbers: np.ndarray) -> bytes:
@@ -143,44 +152,54 @@ def _unsqueeze(packed: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def _expanded(entries: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The size of each entry, and the values of all: entry i of a list stands for sizes[i] values, one after another."""
+    size = sizes[entries]
+    ends, begins = np.cumsum(size), np.cumsum(sizes) - sizes
+    return size, values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[entries] - ends + size, size)]
+
+
 def _pack(n_buckets: int):
     """For each block: one row of its texts (bucket null) and one row for each bucket of its units."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, done = TaskContext.get().partitionId() << 24, 0
-        number: dict[str, int] = {}
-        ids, n_units, n_words, stream = [], [], [], []
+        number: dict[bytes, int] = defaultdict(count().__next__)  # of words, as they are first seen
+        ids, n_words, stream = [], [], []
 
         def block() -> Iterator[pd.DataFrame]:
-            units = list(number)
+            place: dict[str, int] = defaultdict(count().__next__)  # of units
+            made = [[place[u] for u in units_of(w)] for w in number]
+            units = list(place)
             bucket = np.array([zlib.crc32(u.encode()) % n_buckets for u in units], np.int64)
             order = np.argsort(bucket, kind="stable")
-            place = np.empty(len(units), np.uint32)
-            place[order] = np.arange(len(units))
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            texts = place[np.concatenate(stream)] if len(units) else np.zeros(0, np.uint32)
-            rows = [
-                {"block": first + done, "bucket": None, "ids": ids, "n_units": n_units, "n_words": n_words, "packed": _squeeze(texts)}
-            ]
-            for part in np.split(order, cuts) if len(units) else []:
+            moved = np.empty(len(units), np.uint32)
+            moved[order] = np.arange(len(units))
+            size = np.fromiter(map(len, made), np.int64, len(made))
+            flat = moved[np.fromiter((u for us in made for u in us), np.int64, int(size.sum()))]
+            words = np.concatenate(stream).astype(np.int64)
+            sizes, texts = _expanded(words, size, flat)
+            stops = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(n_words)))]
+            block_id = first + done
+            rows = [(block_id, None, ids, np.diff(stops).tolist(), n_words, _squeeze(texts))]
+            for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if units else []:
                 joined = "\n".join([units[i] for i in part]).encode()
-                rows.append(
-                    {"block": first + done, "bucket": int(bucket[part[0]]), "ids": None, "n_units": None, "n_words": None, "packed": zlib.compress(joined, 1)}
-                )
-            yield pd.DataFrame(rows).astype({"bucket": "Int32"})
+                rows.append((block_id, int(bucket[part[0]]), None, None, None, zlib.compress(joined, 1)))
+            columns = ["block", "bucket", "ids", "n_units", "n_words", "packed"]
+            yield pd.DataFrame(rows, columns=columns).astype({"bucket": "Int32"})
 
         held = 0
         for batch in batches:
-            for key, text in zip(batch["id"].tolist(), batch["text"]):
-                units, words = units_of(text)
-                stream.append(np.array([number.setdefault(u, len(number)) for u in units], np.uint32))
+            for key, text in zip(batch["id"], batch["text"]):
+                words = words_of(text)
+                stream.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
                 ids.append(key)
-                n_units.append(len(units))
-                n_words.append(words)
-                held += len(units)
+                n_words.append(len(words))
+                held += len(words)
                 if held >= BLOCK_WORDS:
                     yield from block()
-                    done, held, number, ids, n_units, n_words, stream = done + 1, 0, {}, [], [], [], []
+                    done, held, ids, n_words, stream = done + 1, 0, [], [], []
+                    number = defaultdict(count().__next__)
         if ids:
             yield from block()
 
@@ -220,14 +239,10 @@ def _unpack(_, texts: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
         ids = np.concatenate([_unsqueeze(x, np.uint32) for x in parts["packed"]]).astype(np.int32)
     else:
         counts, ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
-    begins = np.concatenate(([0], np.cumsum(counts)))
     out = []
     for keys, n_units, n_words, packed in zip(texts["ids"], texts["n_units"], texts["n_words"], texts["packed"]):
-        stream = _unsqueeze(packed, np.uint32).astype(np.int64)
-        size = counts[stream]
-        ends = np.cumsum(size)
-        flat = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[stream] - ends + size, size)]
-        stops = np.concatenate(([0], ends))[np.cumsum(n_units)]
+        size, flat = _expanded(_unsqueeze(packed, np.uint32).astype(np.int64), counts, ids)
+        stops = np.concatenate(([0], np.cumsum(size)))[np.cumsum(n_units)]
         out.append(pd.DataFrame({"doc_id": list(keys), "n_words": n_words, "ids": np.split(flat, stops[:-1])}))
     return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "n_words": [], "ids": []})
 
