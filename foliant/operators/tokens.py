@@ -24,6 +24,12 @@ def token_array(text: Column) -> Column:
     return F.transform(runs, lambda w: F.regexp_replace(w, "^[-#+]+|[-#+]+$", ""))
 
 
+def content_array(text: Column) -> Column:
+    """The content words, in order: the pattern matches tokens as they are without # + - around them."""
+    words = F.regexp_extract_all(F.lower(or_empty(text)), F.lit("[a-z0-9](?:[a-z0-9#+\\-]*[a-z0-9])?"), F.lit(0))
+    return F.filter(words, is_content)
+
+
 def is_content(word: Column) -> Column:
     return (F.length(word) >= 2) & ~word.isin(STOPWORDS)
 
@@ -48,8 +54,7 @@ def frequency_array(text: Column) -> Column:
             ),
         )
 
-    words = F.filter(token_array(text), is_content)
-    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("pos"))))
+    placed = F.array_sort(F.transform(content_array(text), lambda w, i: F.struct(w.alias("word"), i.alias("pos"))))
     none = F.array().cast("array<struct<word:string,n:bigint,first_pos:bigint>>")
     return let(placed, lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(none))
 
@@ -71,7 +76,7 @@ def tokenize(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
 
 def content_words(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, word: a row for each content word."""
-    return docs.select(key, F.explode(F.filter(token_array(F.col(text)), is_content)).alias("word"))
+    return docs.select(key, F.explode(content_array(F.col(text))).alias("word"))
 
 
 def word_frequencies(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
