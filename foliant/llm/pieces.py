@@ -268,7 +268,7 @@ def encode(
         .sortWithinPartitions("bucket")
         .mapInPandas(_distinct_units, "bucket int, unit string")
     )
-    known = encode_units(units.select("unit").repartition("unit"), pieces).withColumn(
+    known = encode_units(units.select("unit").repartition(n_buckets, "unit"), pieces).withColumn(
         "bucket", F.pmod(F.crc32("unit"), F.lit(n_buckets)).cast("int")
     )
     found = (
