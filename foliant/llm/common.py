@@ -49,3 +49,11 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, kept in the shared folder, so that a lost executor costs no recomputation of what led to them."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """The same rows; Python workers get so many of them at a time, as texts are long, unless the session says else."""
+    key, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if df.sparkSession.conf.get(key, default) == default:
+        df.sparkSession.conf.set(key, str(rows))
+    return df

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from foliant.llm.common import small_batches
+
 # Fixed values of HTML: classes of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -295,4 +297,4 @@ def rendered(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def visible_text(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, text."""
-    return pages.select(F.col(id_col).alias("page_id"), rendered(F.col(html_col)).alias("text"))
+    return small_batches(pages).select(F.col(id_col).alias("page_id"), rendered(F.col(html_col)).alias("text"))

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliant.llm.common import small_batches
+
 SAMPLE_DOCS = 48
 #: An automaton has fewer than twice as many states as characters, so that states fit in 16 bits.
 SAMPLE_CHARS = 32_000
@@ -204,5 +206,5 @@ def identify(
             parts = [parser.predict(list(texts[at : at + 1000])) for at in range(0, len(texts), 1000)]
             yield pd.DataFrame({"lang_pred": [x for p in parts for x in p[0]], "score": [x for p in parts for x in p[1]]})
 
-    found = docs.select(F.col(id_col).alias("doc_id"), predict(F.col(text_col)).alias("found"))
+    found = small_batches(docs).select(F.col(id_col).alias("doc_id"), predict(F.col(text_col)).alias("found"))
     return found.select("doc_id", "found.lang_pred", "found.score")

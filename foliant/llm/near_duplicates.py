@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from foliant.llm.common import cut
+from foliant.llm.common import cut, small_batches
 
 SHINGLE = 3
 RADIUS = 2
@@ -140,7 +140,7 @@ def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", large_group: int = LARGE_GROUP
 ) -> DataFrame:
     """One row per document: doc_id, fp (signed 64 bits), component_id (the smallest doc_id it reaches)."""
-    found = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col)).alias("fp")))
+    found = cut(small_batches(docs).select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col)).alias("fp")))
     nodes = cut(found.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"))
     labels = components(links(nodes, large_group=large_group))
     classes = nodes.join(labels, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id"))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import cut
+from foliant.llm.common import cut, small_batches
 from foliant.llm.substrings import BASES, WHITE, _byte_values, _chunks, _mix, _runs
 
 KINDS = ("email", "ip", "card", "phone")
@@ -188,7 +188,7 @@ def _count_patterns(marks):
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, base, met: what each text holds by form, and identifiers with their patterns."""
-    return docs.select(
+    return small_batches(docs).select(
         F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), _scan(F.col(text_col)).alias("found")
     ).select("doc_id", "text_hash", "found.base", "found.met")
 

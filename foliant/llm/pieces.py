@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut
+from foliant.llm.common import cut, small_batches
 
 MARK = "▁"
 MAX_UNIT = 64
@@ -137,9 +137,25 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").replace(MARK, " ").encode("utf-8", "replace").split()
 
 
-def units_of(word: bytes) -> list[str]:
-    unit = MARK + word.decode()
-    return [unit] if len(unit) <= MAX_UNIT else [unit[i : i + MAX_UNIT] for i in range(0, len(unit), MAX_UNIT)]
+def units_of(words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The units of distinct words; how many each word has, and which they are, one word after another."""
+    mark = MARK.encode()
+    units = [mark + w for w in words]
+    sizes, which = np.ones(len(words), np.int64), np.arange(len(words))
+    cut = {}
+    for i, unit in enumerate(units):
+        if len(unit) > MAX_UNIT and len(text := unit.decode()) > MAX_UNIT:
+            cut[i] = [text[at : at + MAX_UNIT].encode() for at in range(0, len(text), MAX_UNIT)]
+            sizes[i] = len(cut[i])
+    if cut:
+        begins = np.cumsum(sizes) - sizes
+        which = np.empty(sizes.sum(), np.int64)
+        which[begins] = np.arange(len(words))
+        for i, (first, *rest) in cut.items():
+            units[i] = first
+            which[begins[i] + 1 : begins[i] + sizes[i]] = len(units) + np.arange(len(rest))
+            units += rest
+    return units, sizes, which
 
 
 def _squeeze(numbers: np.ndarray) -> bytes:
@@ -168,22 +184,19 @@ def _pack(n_buckets: int):
         ids, n_words, stream = [], [], []
 
         def block() -> Iterator[pd.DataFrame]:
-            place: dict[str, int] = defaultdict(count().__next__)  # of units
-            made = [[place[u] for u in units_of(w)] for w in number]
-            units = list(place)
-            bucket = np.array([zlib.crc32(u.encode()) % n_buckets for u in units], np.int64)
+            units, size, which = units_of(list(number))
+            bucket = np.array([zlib.crc32(u) % n_buckets for u in units], np.int64)
             order = np.argsort(bucket, kind="stable")
             moved = np.empty(len(units), np.uint32)
             moved[order] = np.arange(len(units))
-            size = np.fromiter(map(len, made), np.int64, len(made))
-            flat = moved[np.fromiter((u for us in made for u in us), np.int64, int(size.sum()))]
+            flat = moved[which]
             words = np.concatenate(stream).astype(np.int64)
             sizes, texts = _expanded(words, size, flat)
             stops = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(n_words)))]
             block_id = first + done
             rows = [(block_id, None, ids, np.diff(stops).tolist(), n_words, _squeeze(texts))]
             for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if units else []:
-                joined = "\n".join([units[i] for i in part]).encode()
+                joined = b"\n".join([units[i] for i in part])
                 rows.append((block_id, int(bucket[part[0]]), None, None, None, zlib.compress(joined, 1)))
             columns = ["block", "bucket", "ids", "n_units", "n_words", "packed"]
             yield pd.DataFrame(rows, columns=columns).astype({"bucket": "Int32"})
@@ -257,7 +270,7 @@ def encode(
 ) -> DataFrame:
     """One row per document: doc_id, n_words, ids. The number of buckets follows that of documents."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     n_buckets = max(8, docs.count() // docs_per_bucket)
     schema = "block long, bucket int, ids array<string>, n_units array<int>, n_words array<long>, packed binary"
     packed = cut(rows.mapInPandas(_pack(n_buckets), schema))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut
+from foliant.llm.common import cut, small_batches
 from foliant.llm.substrings import BASES, _byte_values, _chunks, _mix, _runs
 
 VOCABULARY = 1 << 14
@@ -228,6 +228,6 @@ def quality_scores(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS
 ) -> DataFrame:
     """One row per document: doc_id, score. ``labels`` (doc_id, label) are those that may be learned from."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     vectors = cut(pooled(rows, word_vectors(rows)))
     return score(vectors, train(vectors, labels, train_rows=train_rows))

@@ -20,6 +20,7 @@ from foliant.llm import (
     warc,
 )
 from foliant.llm.common import table
+from foliant.llm.oracle import ORACLE_SQL
 from foliant.llm.stages import PIECE_MODEL
 
 
@@ -116,4 +117,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

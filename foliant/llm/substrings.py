@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.common import small_batches
+
 WINDOW = 20
 GRAM = 8
 WIDTH_BITS = 27
@@ -414,7 +416,7 @@ def remove_repeats(
 ) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text (the kept words joined by one space)."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    plain = docs.select(
+    plain = small_batches(docs).select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )

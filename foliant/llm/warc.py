@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, shared_dir
+from foliant.llm.common import cut, shared_dir, small_batches
 
 PACKAGE_BYTES = 32 << 20
 #: Records of so many bytes of a package are read by one task.
@@ -196,7 +196,7 @@ def write_packages(
 ) -> DataFrame:
     """path, records, bytes of the packages that now hold a record for each page."""
     root = folder or f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4()}"
-    rows = pages.select(
+    rows = small_batches(pages).select(
         F.col(id_col).alias("page_id"),
         F.col(url_col).alias("url"),
         F.encode(F.coalesce(html_col, F.lit("")), "UTF-8").alias("payload"),
