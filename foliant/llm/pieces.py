@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding with a given piece table, as a relational lattice.
 
 Text is split at white space (U+2581 counts as white space, as it stands for it in pieces); a word is encoded with the
-mark U+2581 before it, and a word of more than MAX_UNIT characters with the mark as units of MAX_UNIT characters. The
-best path of a unit has the highest sum of piece scores; at equal sums, the path whose last piece is the shorter one.
+mark U+2581 before it. A word is cut into units where no path can go on: between a letter or digit and a sign that
+follows it in no piece; the best paths of units are that of the word. Of a unit longer than MAX_UNIT characters, each
+MAX_UNIT characters are a unit. The best path of a unit has the highest sum of piece scores; at equal sums, the path whose last piece is the shorter one.
 A character that is no piece is given as its UTF-8 bytes.
 
 The lattice works on the distinct units of the corpus: explode the substrings up to the longest piece, join them with
@@ -20,6 +21,7 @@ rows are encoded each; unknown ids decode to nothing.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -137,24 +139,53 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").replace(MARK, " ").encode("utf-8", "replace").split()
 
 
-def units_of(words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The units of distinct words; how many each word has, and which they are, one word after another."""
+def cut_pattern(pieces: DataFrame) -> str:
+    """A pattern of the places, within a word, that are within no piece: before signs, after a letter or digit.
+
+    Of the piece table only its signs and the letters before them are collected.
+    """
+    normal = pieces.where("kind = 'normal'")
+    sign = r"[^\p{L}\p{N}" + MARK + "]"
+    signs = normal.select(F.explode(F.regexp_extract_all("piece", F.lit(f"({sign})"), F.lit(1))).alias("c")).distinct()
+    after = normal.select(F.explode(F.regexp_extract_all("piece", F.lit(rf"([\p{{L}}\p{{N}}]{sign})"), F.lit(1))).alias("two"))
+    letters: dict[str, str] = defaultdict(str)
+    for row in after.distinct().sort("two").collect():
+        letters[row["two"][1]] += row["two"][0]
+    free = "".join(sorted(r["c"] for r in signs.collect() if r["c"] not in letters))
+    parts = [rf"(?=[{re.escape(free)}])"] if free else []
+    parts += [rf"(?<![{re.escape(letters[c])}])(?={re.escape(c)})" for c in sorted(letters)]
+    return rf"(?<=[^\W_])(?:{'|'.join(parts)})" if parts else r"(?!)"
+
+
+def units_of(words: list[bytes], cuts: re.Pattern) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The units of distinct words; how many each word has, and which they are, one word after another.
+
+    Units may repeat: that they are told apart by a list is the caller's affair.
+    """
     mark = MARK.encode()
     units = [mark + w for w in words]
     sizes, which = np.ones(len(words), np.int64), np.arange(len(words))
-    cut = {}
-    for i, unit in enumerate(units):
-        if len(unit) > MAX_UNIT and len(text := unit.decode()) > MAX_UNIT:
-            cut[i] = [text[at : at + MAX_UNIT].encode() for at in range(0, len(text), MAX_UNIT)]
-            sizes[i] = len(cut[i])
-    if cut:
-        begins = np.cumsum(sizes) - sizes
+    more: dict[bytes, int] = {}  # units that don't begin a word
+    found: dict[int, list[int]] = {}
+    for i, word in enumerate(words):
+        if word.isalnum() and len(word) < MAX_UNIT:
+            continue
+        parts = cuts.split(units[i].decode())
+        if len(parts) == 1 and len(parts[0]) <= MAX_UNIT:
+            continue
+        first, *rest = [p[at : at + MAX_UNIT].encode() for p in parts for at in range(0, len(p), MAX_UNIT)]
+        found[i] = [more.setdefault(first, len(more))] + [more.setdefault(u, len(more)) for u in rest]
+        sizes[i] = len(found[i])
+    if found:
+        begins, whole = np.cumsum(sizes) - sizes, len(words)
         which = np.empty(sizes.sum(), np.int64)
-        which[begins] = np.arange(len(words))
-        for i, (first, *rest) in cut.items():
-            units[i] = first
-            which[begins[i] + 1 : begins[i] + sizes[i]] = len(units) + np.arange(len(rest))
-            units += rest
+        which[begins] = np.arange(whole)
+        for i, places in found.items():
+            which[begins[i] : begins[i] + sizes[i]] = places
+            which[begins[i] : begins[i] + sizes[i]] += whole
+        units += more
+        used, which = np.unique(which, return_inverse=True)  # words that were cut are no units
+        units = [units[i] for i in used]
     return units, sizes, which
 
 
@@ -175,16 +206,17 @@ def _expanded(entries: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> tup
     return size, values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[entries] - ends + size, size)]
 
 
-def _pack(n_buckets: int):
+def _pack(n_buckets: int, cuts: str):
     """For each block: one row of its texts (bucket null) and one row for each bucket of its units."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pattern = re.compile(cuts)
         first, done = TaskContext.get().partitionId() << 24, 0
         number: dict[bytes, int] = defaultdict(count().__next__)  # of words, as they are first seen
         ids, n_words, stream = [], [], []
 
         def block() -> Iterator[pd.DataFrame]:
-            units, size, which = units_of(list(number))
+            units, size, which = units_of(list(number), pattern)
             bucket = np.array([zlib.crc32(u) % n_buckets for u in units], np.int64)
             order = np.argsort(bucket, kind="stable")
             moved = np.empty(len(units), np.uint32)
@@ -273,7 +305,7 @@ def encode(
     rows = small_batches(docs).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     n_buckets = max(8, docs.count() // docs_per_bucket)
     schema = "block long, bucket int, ids array<string>, n_units array<int>, n_words array<long>, packed binary"
-    packed = cut(rows.mapInPandas(_pack(n_buckets), schema))
+    packed = cut(rows.mapInPandas(_pack(n_buckets, cut_pattern(pieces)), schema))
     parts = packed.where("bucket is not null").select("block", "bucket", "packed")
     units = (
         parts.select("bucket", "packed")
