@@ -130,7 +130,7 @@ class CrossParser:
             table = np.zeros((len(own), width), np.uint16)
             table[:, [0] + [self.code[ord(c)] for c in m["letters"]]] = own
             self.tables.append(table.ravel())
-            self.starts.append(np.where(table[ROOT] == DEAD, ROOT, table[ROOT]).astype(np.uint16))
+            self.starts.append(table[ROOT].copy())
         self.width = width
 
     def encode(self, text: str) -> np.ndarray:
@@ -163,8 +163,8 @@ class CrossParser:
             codes[: len(segments[i]), column] = segments[i]
         active = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
         for k, (table, start) in enumerate(zip(self.tables, self.starts)):
-            state = np.full(len(segments), ROOT, np.int64)
-            count = np.ones(len(segments), np.int64)
+            state = np.full(len(segments), DEAD, np.int64)  # the first character begins a phrase
+            count = np.zeros(len(segments), np.int64)
             for row, n in zip(codes, active):
                 step = row[:n]
                 to = table[state[:n] * self.width + step]
