@@ -255,7 +255,7 @@ def _distinct_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows in order of buckets: the distinct units of each."""
     now, seen = None, set()
     for batch in batches:
-        for bucket, packed in batch.itertuples(index=False):
+        for _, bucket, packed in batch.itertuples(index=False):
             if bucket != now:
                 if seen:
                     yield pd.DataFrame({"bucket": np.int32(now), "unit": sorted(seen)})
@@ -306,13 +306,9 @@ def encode(
     n_buckets = max(8, docs.count() // docs_per_bucket)
     schema = "block long, bucket int, ids array<string>, n_units array<int>, n_words array<long>, packed binary"
     packed = cut(rows.mapInPandas(_pack(n_buckets, cut_pattern(pieces)), schema))
-    parts = packed.where("bucket is not null").select("block", "bucket", "packed")
-    units = (
-        parts.select("bucket", "packed")
-        .repartition("bucket")
-        .sortWithinPartitions("bucket")
-        .mapInPandas(_distinct_units, "bucket int, unit string")
-    )
+    # One exchange by bucket serves both the list of units and their way back.
+    parts = packed.where("bucket is not null").select("block", "bucket", "packed").repartition(n_buckets, "bucket")
+    units = parts.sortWithinPartitions("bucket").mapInPandas(_distinct_units, "bucket int, unit string")
     known = encode_units(units.select("unit").repartition(n_buckets, "unit"), pieces).withColumn(
         "bucket", F.pmod(F.crc32("unit"), F.lit(n_buckets)).cast("int")
     )
