@@ -33,12 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, small_batches
+from foliant.llm.common import small_batches
 
 MARK = "▁"
 MAX_UNIT = 64
 #: Words in a block: bounds the memory of the tasks that pack and unpack it.
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 1_000_000
 #: A vocabulary has a few tens of thousands of pieces; a larger table than this is not taken.
 MAX_PIECES = 1_000_000
 BYTE_PENALTY = 10.0
@@ -226,11 +226,11 @@ def _pack(n_buckets: int, cuts: str):
             sizes, texts = _expanded(words, size, flat)
             stops = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(n_words)))]
             block_id = first + done
-            rows = [(block_id, None, ids, np.diff(stops).tolist(), n_words, _squeeze(texts))]
+            rows = [(-1 - block_id, block_id, None, ids, np.diff(stops).tolist(), n_words, _squeeze(texts))]
             for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if units else []:
                 joined = b"\n".join([units[i] for i in part])
-                rows.append((block_id, int(bucket[part[0]]), None, None, None, zlib.compress(joined, 1)))
-            columns = ["block", "bucket", "ids", "n_units", "n_words", "packed"]
+                rows.append((int(bucket[part[0]]), block_id, int(bucket[part[0]]), None, None, None, zlib.compress(joined, 1)))
+            columns = ["place", "block", "bucket", "ids", "n_units", "n_words", "packed"]
             yield pd.DataFrame(rows, columns=columns).astype({"bucket": "Int32"})
 
         held = 0
@@ -255,14 +255,14 @@ def _distinct_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows in order of buckets: the distinct units of each."""
     now, seen = None, set()
     for batch in batches:
-        for _, bucket, packed in batch.itertuples(index=False):
+        for bucket, packed in zip(batch["bucket"], batch["packed"]):
             if bucket != now:
                 if seen:
-                    yield pd.DataFrame({"bucket": np.int32(now), "unit": sorted(seen)})
+                    yield pd.DataFrame({"unit": sorted(seen)})
                 now, seen = bucket, set()
             seen.update(zlib.decompress(packed).decode().split("\n"))
     if seen:
-        yield pd.DataFrame({"bucket": np.int32(now), "unit": sorted(seen)})
+        yield pd.DataFrame({"unit": sorted(seen)})
 
 
 def _look_up(_, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -272,8 +272,8 @@ def _look_up(_, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     for block, bucket, packed in zip(rows["block"], rows["bucket"], rows["packed"]):
         found = [ids[u] for u in zlib.decompress(packed).decode().split("\n")]
         counts = np.fromiter(map(len, found), np.uint32, len(found))
-        out.append((block, bucket, _squeeze(counts), _squeeze(np.concatenate(found).astype(np.uint32))))
-    return pd.DataFrame(out, columns=["block", "bucket", "counts", "packed"])
+        out.append((-1 - block, bucket, _squeeze(counts), _squeeze(np.concatenate(found).astype(np.uint32))))
+    return pd.DataFrame(out, columns=["place", "bucket", "counts", "packed"])
 
 
 def _unpack(_, texts: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
@@ -304,23 +304,24 @@ def encode(
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = small_batches(docs).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     n_buckets = max(8, docs.count() // docs_per_bucket)
-    schema = "block long, bucket int, ids array<string>, n_units array<int>, n_words array<long>, packed binary"
-    packed = cut(rows.mapInPandas(_pack(n_buckets, cut_pattern(pieces)), schema))
-    # One exchange by bucket serves both the list of units and their way back.
-    parts = packed.where("bucket is not null").select("block", "bucket", "packed").repartition(n_buckets, "bucket")
-    units = parts.sortWithinPartitions("bucket").mapInPandas(_distinct_units, "bucket int, unit string")
-    known = encode_units(units.select("unit").repartition(n_buckets, "unit"), pieces).withColumn(
-        "bucket", F.pmod(F.crc32("unit"), F.lit(n_buckets)).cast("int")
+    schema = "place long, block long, bucket int, ids array<string>, n_units array<int>, n_words array<long>, packed binary"
+    # One exchange serves the list of units, their way back and the texts: ``place`` is a bucket, or below 0 a block.
+    # rand() keeps the filters above it: below, each would have an exchange of its own and pack the texts again.
+    packed = rows.mapInPandas(_pack(n_buckets, cut_pattern(pieces)), schema).repartition(n_buckets, "place")
+    parts = packed.where(F.when(F.rand() >= 0, F.col("place") >= 0))
+    texts = packed.where(F.when(F.rand() >= 0, F.col("place") < 0))
+    units = parts.sortWithinPartitions("bucket").mapInPandas(_distinct_units, "unit string")
+    known = encode_units(units.repartition(n_buckets, "unit"), pieces).withColumn(
+        "place", F.pmod(F.crc32("unit"), F.lit(n_buckets)).cast("long")
     )
     found = (
-        parts.groupBy("bucket")
-        .cogroup(known.groupBy("bucket"))
-        .applyInPandas(_look_up, "block long, bucket int, counts binary, packed binary")
+        parts.groupBy("place")
+        .cogroup(known.groupBy("place"))
+        .applyInPandas(_look_up, "place long, bucket int, counts binary, packed binary")
     )
-    texts = packed.where("bucket is null").select("block", "ids", "n_units", "n_words", "packed")
     encoded = (
-        texts.groupBy("block")
-        .cogroup(found.groupBy("block"))
+        texts.groupBy("place")
+        .cogroup(found.groupBy("place"))
         .applyInPandas(_unpack, "doc_id string, n_words long, ids array<int>")
     )
     return encoded.withColumn("doc_id", F.col("doc_id").cast(id_type))
