@@ -306,10 +306,10 @@ def encode(
     n_buckets = max(8, docs.count() // docs_per_bucket)
     schema = "place long, block long, bucket int, ids array<string>, n_units array<int>, n_words array<long>, packed binary"
     # One exchange serves the list of units, their way back and the texts: ``place`` is a bucket, or below 0 a block.
-    # rand() keeps the filters above it: below, each would have an exchange of its own and pack the texts again.
+    # The row number keeps the filters above it: below, each would have an exchange of its own and pack the texts again.
     packed = rows.mapInPandas(_pack(n_buckets, cut_pattern(pieces)), schema).repartition(n_buckets, "place")
-    parts = packed.where(F.when(F.rand() >= 0, F.col("place") >= 0))
-    texts = packed.where(F.when(F.rand() >= 0, F.col("place") < 0))
+    parts = packed.where(F.when(F.monotonically_increasing_id() >= 0, F.col("place") >= 0))
+    texts = packed.where(F.when(F.monotonically_increasing_id() >= 0, F.col("place") < 0))
     units = parts.sortWithinPartitions("bucket").mapInPandas(_distinct_units, "unit string")
     known = encode_units(units.repartition(n_buckets, "unit"), pieces).withColumn(
         "place", F.pmod(F.crc32("unit"), F.lit(n_buckets)).cast("long")
