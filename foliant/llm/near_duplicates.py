@@ -13,6 +13,9 @@ only if they differ in two bits or fewer, and each meets only the smallest node
 Components: every node takes the smallest label among its neighbours and then its label's label, until nothing
 changes; each round is written to the shared folder.
 
+That is ``near_duplicates``. ``representatives``, for the pipeline, takes another measure: it links texts by the exact
+similarity of their sets of five-word shingles, among candidates that share a band of minima of shingle hashes.
+
 Defined results: a null text is an empty text; texts without words have fingerprint zero and are linked like any
 other; rows that repeat a doc_id give repeated rows; null ids count as larger than all others and are returned.
 """
@@ -27,7 +30,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from foliant.llm.common import cut, small_batches
 
@@ -36,6 +39,10 @@ RADIUS = 2
 SEED = 42
 #: A block value shared by more fingerprints than this is linked through common neighbours.
 LARGE_GROUP = 64
+#: ``representatives`` links texts whose sets of five-word shingles are at least this similar.
+SIMILAR_SHINGLE = 5
+SIMILAR = 0.8
+BANDS, BAND_ROWS = 32, 3
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
@@ -147,13 +154,111 @@ def near_duplicates(
     return found.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay: one of each component, that with the smallest id; of rows that repeat it, one.
+def shingles(text: bytes, size: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """The distinct hashes of the word shingles, in order; of fewer words, the text is one shingle."""
+    words = text.lower().split()
+    runs = {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+    hashes = np.fromiter((xxhash.xxh64_intdigest(r, SEED) for r in runs), np.uint64, len(runs))
+    hashes.sort()
+    return hashes
+
+
+def _multipliers() -> np.ndarray:
+    return np.random.default_rng(SEED).integers(0, 2**64, BANDS * BAND_ROWS, np.uint64) | np.uint64(1)
+
+
+def bands(hashes: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    """One number for each band: of its BAND_ROWS minima and its place."""
+    low = (hashes * multipliers[:, None]).min(axis=1).reshape(BANDS, BAND_ROWS)
+    mixed = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in low.T:
+        mixed = (mixed ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed
+
+
+@F.pandas_udf(StructType([StructField("t", LongType()), StructField("bands", ArrayType(LongType()))]))
+def _banded(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    multipliers = _multipliers()
+    for batch in texts:
+        plain = [(t or "").encode() for t in batch]
+        named = [xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED) for t in plain]
+        found = [bands(shingles(t), multipliers).view(np.int64) for t in plain]
+        yield pd.DataFrame({"t": np.array(named, np.uint64).view(np.int64), "bands": found})
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _shingled(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in texts:
+        yield pd.Series([shingles((t or "").encode()).view(np.int64) for t in batch])
+
+
+def _verified(pairs: DataFrame, named: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose shingles are similar. ``named``: t, text. Only texts of pairs are cut into shingles."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
+    texts = small_batches(named.join(wanted, "t", "left_semi").groupBy("t").agg(F.first("text").alias("text")))
+    sets = cut(texts.select("t", _shingled("text").alias("s")))
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(shared >= threshold * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b")
+
+
+def similar(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILAR
+) -> DataFrame:
+    """doc_id, t, component: t names the words of a row; texts are linked at the threshold of shingle similarity.
+
+    Texts that share one of BANDS bands are candidates: at a similarity of 0.8 a pair shares none with a probability
+    of (1 - 0.8^3)^32 = 1e-10. Each text meets the smallest of its band first; a band whose texts are then all
+    connected needs no more pairs, so that a large group of near copies gives a few pairs for each text. In other bands
+    all texts of different components meet.
+    """
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = cut(small_batches(named).select("doc_id", _banded("text").alias("f")).select("doc_id", "f.*"))
+    # The texts again, for those of pairs: t is the hash of the words, as _banded names them.
+    texts = small_batches(named).select(_named("text").alias("t"), "text")
+    keyed = found.groupBy("t").agg(F.first("bands").alias("bands")).select("t", F.explode("bands").alias("k"))
+    shared = keyed.groupBy("k").agg(F.min("t").alias("a"), F.max("t").alias("z")).where("a < z").select("k", "a")
+    members = cut(keyed.join(shared, "k"))
+    stars = cut(members.where("a < t").select("a", F.col("t").alias("b")).distinct())
+    near = cut(_verified(stars, texts, threshold))
+    labels = components(near)
+    placed = members.join(labels.withColumnRenamed("node", "t"), "t", "left").select(
+        "k", "t", F.coalesce("label", "t").alias("label")
+    )
+    placed = cut(placed)
+    mixed = placed.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    apart = placed.join(mixed.select("k"), "k")
+    left, right = apart.alias("l"), apart.alias("r")
+    rest = left.join(right, (F.col("l.k") == F.col("r.k")) & (F.col("l.t") < F.col("r.t")) & (F.col("l.label") != F.col("r.label")))
+    rest = rest.select(F.col("l.t").alias("a"), F.col("r.t").alias("b")).distinct()
+    rest = cut(rest.join(stars, ["a", "b"], "left_anti"))
+    whole = components(near.union(_verified(rest, texts, threshold)))
+    return found.join(whole.withColumnRenamed("node", "t"), "t", "left").select(
+        "doc_id", "t", F.coalesce("label", "t").alias("component")
+    )
+
+
+@F.pandas_udf(LongType())
+def _named(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in texts:
+        found = [xxhash.xxh64_intdigest(b" ".join((t or "").encode().lower().split()), SEED) for t in batch]
+        yield pd.Series(np.array(found, np.uint64).view(np.int64))
+
+
+def representatives(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILAR
+) -> DataFrame:
+    """The documents that stay: of each component of similar texts, that with the smallest id; of rows that repeat it, one.
 
     Rows without an id can't stand for others or be told apart; they stay.
     """
     known = docs.where(F.col(id_col).isNotNull())
-    classes = near_duplicates(known, id_col=id_col, text_col=text_col)
-    stay = classes.where("doc_id = component_id").select(F.col("doc_id").alias(id_col))
-    kept = known.join(stay.distinct(), id_col, "left_semi").dropDuplicates([id_col])
+    classes = cut(similar(known, id_col=id_col, text_col=text_col, threshold=threshold))
+    best = classes.groupBy("component").agg(F.min(F.struct("doc_id", "t")).alias("best"))
+    stay = best.select(F.col("best.doc_id").alias("stay_id"), F.col("best.t").alias("stay_t"))
+    ids = stay.select(F.col("stay_id").alias(id_col)).distinct()
+    rows = small_batches(known.join(ids, id_col, "left_semi")).withColumn("stay_t", _named(F.col(text_col)))
+    rows = rows.join(stay.withColumnRenamed("stay_id", id_col), [id_col, "stay_t"], "left_semi")
+    kept = rows.dropDuplicates([id_col, "stay_t"]).select(*docs.columns)
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -343,6 +343,44 @@ def test_chains_reach_their_smallest_node(spark):
     assert near_duplicates.components(pairs.limit(0)).count() == 0
 
 
+def similar_by_brute_force(texts):
+    def runs(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets = {d: runs(t) for d, t in texts.items()}
+    label = {d: d for d in texts}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if label[b] < label[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    label[a], changed = label[b], True
+    return label
+
+
+def test_representatives_of_planted_near_copies(spark):
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(500)]
+    rows = []
+    for size in (4, 12, 100, 200, 500):
+        for _ in range(4):
+            base = [rng.choice(vocabulary) for _ in range(size)]
+            rows.append(" ".join(base))
+            for changes in (1, 1, 2, 3, 5):  # words changed, one after another and from the base
+                copy = list(base)
+                for _ in range(changes):
+                    copy[rng.randrange(size)] = rng.choice(vocabulary)
+                rows.append(" ".join(copy))
+                base = copy if rng.random() < 0.3 else base
+    rng.shuffle(rows)
+    want = set(similar_by_brute_force(dict(enumerate(rows))).values())
+    found = [r["doc_id"] for r in near_duplicates.representatives(docs_of(spark, rows)).collect()]
+    assert sorted(found) == sorted(want)
+    assert len(want) < len(set(components_by_brute_force({i: fingerprint_by_brute_force(t) for i, t in enumerate(rows)}).values()))
+
+
 # 7 Rules
 def test_the_order_of_rules_changes_no_verdict(spark, documents):
     rules = quality_rules.BASE_RULES + quality_rules.EXTRA_RULES
