@@ -2,13 +2,14 @@
 
 Text is split at white space (U+2581 counts as white space, as it stands for it in pieces); a word is encoded with the
 mark U+2581 before it. A word is cut into units where no path can go on: between a letter or digit and a sign that
-follows it in no piece; the best paths of units are that of the word. Of a unit longer than MAX_UNIT characters, each
-MAX_UNIT characters are a unit. The best path of a unit has the highest sum of piece scores; at equal sums, the path whose last piece is the shorter one.
+follows it in no piece; the best paths of units are that of the word. The best path of a unit has the highest sum of piece scores; at equal sums, the path whose last piece is the shorter one.
 A character that is no piece is given as its UTF-8 bytes.
 
 The lattice works on the distinct units of the corpus: explode the substrings up to the longest piece, join them with
 the piece table, group the edges by unit, and fold them in order of their ends with Spark's ``aggregate``: the state
-holds the best score and path to each character.
+holds the best score and path to each character. A unit of more than MAX_UNIT characters isn't cut: its best path is
+found where it is looked up, character by character, with the scores to the characters before and a way back from
+each, which takes time and memory in proportion to its length.
 
 Units are repeated many times over, so texts aren't joined with units row by row. Each task packs its texts into
 blocks of bounded size: a list of distinct units, cut by hash into buckets, and the texts as numbers in that list.
@@ -21,11 +22,13 @@ rows are encoded each; unknown ids decode to nothing.
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -36,6 +39,7 @@ from pyspark.sql import functions as F
 from foliant.llm.common import cut, small_batches
 
 MARK = "▁"
+#: Longer units take the path of ``long_path``.
 MAX_UNIT = 64
 #: Words in a block: bounds the memory of the tasks that pack and unpack it.
 BLOCK_WORDS = 500_000
@@ -168,12 +172,12 @@ def units_of(words: list[bytes], cuts: re.Pattern) -> tuple[list[bytes], np.ndar
     more: dict[bytes, int] = {}  # units that don't begin a word
     found: dict[int, list[int]] = {}
     for i, word in enumerate(words):
-        if word.isalnum() and len(word) < MAX_UNIT:
+        if word.isalnum():
             continue
         parts = cuts.split(units[i].decode())
-        if len(parts) == 1 and len(parts[0]) <= MAX_UNIT:
+        if len(parts) == 1:
             continue
-        first, *rest = [p[at : at + MAX_UNIT].encode() for p in parts for at in range(0, len(p), MAX_UNIT)]
+        first, *rest = [p.encode() for p in parts]
         found[i] = [more.setdefault(first, len(more))] + [more.setdefault(u, len(more)) for u in rest]
         sizes[i] = len(found[i])
     if found:
@@ -252,7 +256,7 @@ def _pack(n_buckets: int, cuts: str):
 
 
 def _distinct_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in order of buckets: the distinct units of each."""
+    """Rows in order of buckets: the distinct units of each, without those that are longer than MAX_UNIT."""
     now, seen = None, set()
     for batch in batches:
         for bucket, packed in batch.itertuples(index=False):
@@ -260,20 +264,69 @@ def _distinct_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if seen:
                     yield pd.DataFrame({"bucket": np.int32(now), "unit": sorted(seen)})
                 now, seen = bucket, set()
-            seen.update(zlib.decompress(packed).decode().split("\n"))
+            units = zlib.decompress(packed).decode().split("\n")
+            seen.update([u for u in units if len(u) <= MAX_UNIT])
     if seen:
         yield pd.DataFrame({"bucket": np.int32(now), "unit": sorted(seen)})
 
 
-def _look_up(_, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+class PieceTable(NamedTuple):
+    """What the path of a long unit needs: id and score by piece, the longest one's length, the id of byte 0, the lowest score."""
+
+    pieces: dict[str, tuple[int, float]]
+    longest: int
+    byte_zero: int
+    low: float
+
+
+def _piece_table(pieces: DataFrame) -> PieceTable:
+    """The normal pieces, collected (the table is checked to have at most MAX_PIECES)."""
+    best, _, longest, byte_zero, low = _checked(pieces)
+    scored = best.join(pieces.select("id", "score"), "id").collect()
+    return PieceTable({r["piece"]: (r["id"], r["score"]) for r in scored}, longest, byte_zero, low)
+
+
+def long_path(unit: str, table: PieceTable) -> np.ndarray:
+    """The best path of a unit of any length, by the rules of ``encode_units``."""
+    pieces, longest, byte_zero, low = table
+    n = len(unit)
+    scores, back, labels = [0.0] + [-math.inf] * n, [0] * (n + 1), [-1] * (n + 1)
+    for stop in range(1, n + 1):
+        for start in range(max(0, stop - longest), stop):
+            known = pieces.get(unit[start:stop])
+            if known:
+                label, score = known
+            elif start + 1 == stop:
+                label, score = -1, (low - BYTE_PENALTY) * len(unit[start].encode())
+            else:
+                continue
+            if scores[start] + score >= scores[stop]:
+                scores[stop], back[stop], labels[stop] = scores[start] + score, start, label
+    path, at = [], n
+    while at:
+        spelled = [b + byte_zero for b in unit[back[at]].encode()] if labels[at] < 0 else [labels[at]]
+        path += spelled[::-1]
+        at = back[at]
+    return np.array(path[::-1], np.int32)
+
+
+def _look_up(table):
     """The ids of the units of each block's part of a bucket, with how many each unit has."""
-    ids = dict(zip(known["unit"], known["ids"]))
-    out = []
-    for block, bucket, packed in zip(rows["block"], rows["bucket"], rows["packed"]):
-        found = [ids[u] for u in zlib.decompress(packed).decode().split("\n")]
-        counts = np.fromiter(map(len, found), np.uint32, len(found))
-        out.append((block, bucket, _squeeze(counts), _squeeze(np.concatenate(found).astype(np.uint32))))
-    return pd.DataFrame(out, columns=["block", "bucket", "counts", "packed"])
+
+    def run(_, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        ids = dict(zip(known["unit"], known["ids"]))
+        out = []
+        for block, bucket, packed in zip(rows["block"], rows["bucket"], rows["packed"]):
+            units = zlib.decompress(packed).decode().split("\n")
+            for u in units:
+                if len(u) > MAX_UNIT and u not in ids:
+                    ids[u] = long_path(u, table.value)
+            found = [ids[u] for u in units]
+            counts = np.fromiter(map(len, found), np.uint32, len(found))
+            out.append((block, bucket, _squeeze(counts), _squeeze(np.concatenate(found).astype(np.uint32))))
+        return pd.DataFrame(out, columns=["block", "bucket", "counts", "packed"])
+
+    return run
 
 
 def _unpack(_, texts: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
@@ -316,10 +369,11 @@ def encode(
     known = encode_units(units.select("unit").repartition(n_buckets, "unit"), pieces).withColumn(
         "bucket", F.pmod(F.crc32("unit"), F.lit(n_buckets)).cast("int")
     )
+    sent = docs.sparkSession.sparkContext.broadcast(_piece_table(pieces))
     found = (
         parts.groupBy("bucket")
         .cogroup(known.groupBy("bucket"))
-        .applyInPandas(_look_up, "block long, bucket int, counts binary, packed binary")
+        .applyInPandas(_look_up(sent), "block long, bucket int, counts binary, packed binary")
     )
     texts = packed.where("bucket is null").select("block", "ids", "n_units", "n_words", "packed")
     encoded = (

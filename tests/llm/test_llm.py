@@ -480,6 +480,19 @@ def test_texts_come_back(spark, piece_table, texts, monkeypatch):
             assert got[i]["ids"] == [x for w in words for x in viterbi(pieces.MARK + w, table, low)]
 
 
+def test_long_words_get_their_best_path(spark, piece_table):
+    known, table, low = piece_table
+    rng = random.Random(22)
+    words = ["internationalization" * 9, "x" * 300, "https://example.org/" + "some/longer/path/" * 12, "漢é😀the" * 40]
+    words += ["".join(rng.choice("etaoinshr") for _ in range(n)) for n in (63, 64, 65, 130, 700)]
+    words += [base64.b64encode(rng.randbytes(200)).decode()]
+    found = by_id(pieces.encode(docs_of(spark, [*words, " and ".join(words)]), known))
+    paths = [viterbi(pieces.MARK + w, table, low) for w in words]
+    assert [found[i]["ids"] for i in range(len(words))] == paths
+    joined = paths[0] + [i for p in paths[1:] for i in viterbi(pieces.MARK + "and", table, low) + p]
+    assert found[len(words)]["ids"] == joined
+
+
 # 10 Decontamination
 def leaks_by_brute_force(docs, items):
     def words(text):
