@@ -2,10 +2,10 @@
 
 Words are runs of letters and digits, lower-cased. A window has as many words as the item. Similarity is that of the
 two multisets of five-word shingles: sum of the smaller counts over the sum of the larger ones. Windows of 0.8 or more
-are leaks.
+are leaks. A document of fewer words than the item is one window, whole.
 
 Steps: (1) Shingle hashes of all documents meet those of the items; at similarity t an item-sized window holds at
-least 2t / (1 + t) of the item's shingles, so documents with fewer are done, and of the others only the windows that
+least 2t / (1 + t) of the item's shingles (a shorter document: t of them), so documents with fewer are done, and of the others only the windows that
 hold so many are looked at: no window that can reach the threshold is left out. (2) Each such window gets a SimHash
 of its shingles. (3) Multi-index blocks: fingerprints are cut into radius + 1 blocks, and windows meet the items of
 their length on any equal block, which finds all pairs within the radius. (4) Those within the radius are verified by
@@ -178,20 +178,25 @@ def _leaks_of_size(corpus: DataFrame, items: DataFrame, k: int, threshold: float
     )
     per_doc = corpus.select("doc_id", "text_hash", shingle_hashes(F.col("words"), k).alias("hashes"))
     hits = (
-        per_doc.select("doc_id", "text_hash", F.posexplode("hashes").alias("at", "h"))
+        per_doc.select("doc_id", "text_hash", F.size("hashes").alias("m"), F.posexplode("hashes").alias("at", "h"))
         .join(_small(owners), "h")
-        .select("doc_id", "text_hash", "at", F.explode("of").alias("o"))
-        .select("doc_id", "text_hash", "at", "o.*")
+        .select("doc_id", "text_hash", "m", "at", F.explode("of").alias("o"))
+        .select("doc_id", "text_hash", "m", "at", "o.*")
         .groupBy("doc_id", "text_hash", "item", "n")
-        .agg(F.array_sort(F.collect_set("at")).alias("hits"))
+        .agg(F.array_sort(F.collect_set("at")).alias("hits"), F.first("m").alias("m"))
     )
     shingles = F.col("n") - (k - 1)
+    short = F.col("m") < shingles
+    whole = F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))
     reach = (
-        hits.withColumn("need", _needed(shingles, threshold))
+        hits.withColumn(
+            "need",
+            F.when(short, F.ceil(F.lit(threshold - 1e-9) * shingles).cast("int")).otherwise(_needed(shingles, threshold)),
+        )
         .where(F.size("hits") >= F.col("need"))
         .withColumn(
             "runs",
-            F.filter(
+            F.when(short, whole).otherwise(F.filter(
                 F.transform(
                     F.sequence(F.lit(1), F.size("hits") - F.col("need") + 1),
                     lambda i: F.struct(
@@ -202,7 +207,7 @@ def _leaks_of_size(corpus: DataFrame, items: DataFrame, k: int, threshold: float
                     ),
                 ),
                 lambda r: r["low"] <= r["high"],
-            ),
+            )),
         )
     )
     starts = cut(
@@ -227,7 +232,7 @@ def _leaks_of_size(corpus: DataFrame, items: DataFrame, k: int, threshold: float
         .select("doc_id", "text_hash", "windows", shingle_hashes(F.col("words"), k).alias("hashes"))
         .select("doc_id", "text_hash", "hashes", F.explode("windows").alias("w"))
         .select("doc_id", "text_hash", "hashes", "w.n", F.explode("w.starts").alias("start"))
-        .where(F.col("start") + F.col("n") - k < F.size("hashes"))
+        .where((F.col("start") == 0) | (F.col("start") + F.col("n") - k < F.size("hashes")))
         .select("doc_id", "text_hash", "n", "start", F.slice("hashes", F.col("start") + 1, shingles).alias("hashes"))
         .dropDuplicates(["doc_id", "text_hash", "n", "start"])
         .withColumn("fp", simhash(F.col("hashes")))

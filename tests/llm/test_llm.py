@@ -542,6 +542,25 @@ def test_leaks(spark):
     assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in got}
 
 
+def test_documents_shorter_than_the_item(spark):
+    rng = random.Random(23)
+    item = [f"v{rng.randrange(10**6)}" for _ in range(100)]
+    ends = {1: item[:95], 2: item[5:], 3: item[:50] + item[51:], 4: item[:80], 5: item[:99], 6: item[:84], 7: item[:83], 8: item[:4], 9: item}
+    docs = spark.createDataFrame([(i, " ".join(ws)) for i, ws in ends.items()], DOCS)
+    table = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    want = {}
+    whole = {tuple(item[i : i + 5]) for i in range(96)}
+    for i, ws in ends.items():
+        own = {tuple(ws[j : j + 5]) for j in range(len(ws) - 4)}
+        similarity = len(own & whole) / len(own | whole)
+        if similarity >= 0.8:
+            want[i] = (similarity, 0)
+    found = decontamination.leaks(docs, table).collect()
+    assert {r["doc_id"]: (r["similarity"], r["start_word"]) for r in found} == want
+    assert len(found) == len(want) and {1, 2, 3, 5, 9} <= set(want)
+    assert {r["doc_id"] for r in decontamination.without_leaks(docs, table).collect()} == set(ends) - set(want)
+
+
 # Odd inputs and the pipeline
 def _operators(spark):
     items = spark.createDataFrame([(1, "same text here"), (2, None)], "item_id long, text string")
