@@ -16,7 +16,9 @@ Three passes over the texts, each a Spark job; between them only windows that ma
 3. Each document, its text compressed, meets the starts of its repeats and drops the words that they cover.
 
 Defined results: a null or empty text has no words; documents of fewer words than a window lose nothing; rows that
-repeat a doc_id count as one document each, in no defined order among them; a null id comes after all others.
+repeat a doc_id with other texts count as one document each, in no defined order among them; rows that repeat it with
+the same text are one document, and each gets what that keeps; a null id comes after all others, and rows without an
+id are a document each: of equal texts, one keeps what starts nowhere earlier.
 """
 
 from __future__ import annotations
@@ -256,11 +258,13 @@ class Windows(NamedTuple):
         return Windows(*[x[at] for x in self])
 
     def later(self) -> tuple["Windows", "Windows"]:
-        """The first of each hash, by document and start, and all others."""
+        """The first of each hash, by document and start, and all others; the first of a repeated row is no other."""
         rows = self.take(np.lexsort((self.start, self.turn, self.doc, self.h2, self.h1)))
         first = np.ones(len(rows.h1), bool)
         first[1:] = (rows.h1[1:] != rows.h1[:-1]) | (rows.h2[1:] != rows.h2[:-1])
-        return rows.take(first), rows.take(~first)
+        begin = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+        same = (rows.doc == rows.doc[begin]) & (rows.turn == rows.turn[begin]) & (rows.start == rows.start[begin])
+        return rows.take(first), rows.take(~same)
 
     def by_document(self) -> tuple["Windows", np.ndarray]:
         """In order of documents and starts, and where each document begins."""
@@ -393,9 +397,13 @@ def repeats(docs: DataFrame, *, width_bits: int = WIDTH_BITS, docs_per_bucket: i
 def _drop_covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         n_words, n_removed, kept = [], [], []
-        for packed, starts in zip(batch["packed"], batch["starts"]):
+        for packed, starts, copy in zip(batch["packed"], batch["starts"], batch["copy"]):
             words = zlib.decompress(packed).split()
             n_words.append(len(words))
+            if copy > 1 and len(words) >= WINDOW:
+                n_removed.append(len(words))
+                kept.append("")
+                continue
             if starts is None or not len(starts):
                 n_removed.append(0)
                 kept.append(b" ".join(words).decode())
@@ -422,9 +430,14 @@ def remove_repeats(
     )
     found = repeats(plain, width_bits=width_bits)
     keyed = plain.mapInPandas(_compressed, "doc_id long, turn long, packed binary")
+    # Rows without an id are told apart by their number among equal texts; all but the first repeat it.
+    unnamed = keyed.where(F.col("doc_id") == NO_ID).groupBy("doc_id", "turn")
+    unnamed = unnamed.agg(F.first("packed").alias("packed"), F.count(F.lit(1)).cast("int").alias("n"))
+    unnamed = unnamed.select("doc_id", "turn", "packed", F.explode(F.sequence(F.lit(1), "n")).alias("copy"))
+    keyed = keyed.where(F.col("doc_id") != NO_ID).withColumn("copy", F.lit(1)).unionByName(unnamed)
     kept = (
         keyed.join(found, ["doc_id", "turn"], "left")
-        .select("doc_id", "packed", "starts")
+        .select("doc_id", "packed", "starts", "copy")
         .mapInPandas(_drop_covered, "doc_id long, n_words long, n_removed long, kept_text string")
     )
     return kept.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)).cast(id_type))

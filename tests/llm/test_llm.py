@@ -190,6 +190,18 @@ def test_parts_of_any_size_give_the_same(spark, monkeypatch):
     assert {k: tuple(v)[1:] for k, v in found.items()} == removed_by_brute_force(rows)
 
 
+def test_repeated_and_unnamed_rows_keep_one_passage(spark):
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(30)) for c in "abcd")
+    rows = [(5, one), (5, one), (7, one + " " + two), (7, one + " " + two), (9, two), (5, three), (None, four), (None, four)]
+    rows += [(None, four), (None, "short text"), (None, "short text"), (None, three), (None, three)]
+    for parts in (1, 3):
+        found = substrings.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(parts), width_bits=16).collect()
+        got = Counter((r["doc_id"], r["n_words"], r["kept_text"]) for r in found)
+        want = Counter([(5, 30, one)] * 2 + [(7, 60, two)] * 2 + [(9, 30, ""), (5, 30, three), (None, 30, four)])
+        want += Counter([(None, 30, "")] * 4 + [(None, 2, "short text")] * 2)
+        assert got == want
+
+
 # 4 Personal data
 def base_by_brute_force(text):
     found = [(m.start(), m.end(), 0) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
