@@ -10,9 +10,9 @@ Three passes over the texts, each a Spark job; between them only windows that ma
    2 * 2^WIDTH_BITS bits (32 MB), which go to all tasks. A larger corpus makes more windows pass, never fewer.
 2. Windows whose minimiser is estimated repeated in both rows, under a 96-bit hash of their words. Within a part of
    bounded size only the first of equal windows goes on and the others are known to be repeats, so that one frequent
-   passage gives a window for each part and not for each document. The windows meet in buckets of their minimiser,
-   packed by part and bucket, and are put in order of (hash, document, start): the first starts the passage and all
-   others are repeats. No window is left out. The number of buckets follows that of documents.
+   passage gives a window for each part and not for each document; the known repeats of a part go to their documents
+   without a bucket. The windows to be compared meet in buckets of their minimiser, packed by part and bucket, and are
+   put in order of (hash, document, start): the first starts the passage and all others are repeats. No window is left out. The number of buckets follows that of documents.
 3. Each document, its text compressed, meets the starts of its repeats and drops the words that they cover.
 
 Defined results: a null or empty text has no words; documents of fewer words than a window lose nothing; rows that
@@ -302,7 +302,7 @@ PACKED = "bucket int, docs array<long>, turns array<long>, sizes array<int>, sta
 
 
 def _candidates(bitmaps, width_bits: int, n_buckets: int):
-    """Windows to be compared, packed by bucket, and windows known to be repeats."""
+    """Windows to be compared, packed by bucket, and windows known to be repeats: a row of each part, bucket below 0."""
     block_bits = min(BLOCK_BITS, width_bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -325,13 +325,16 @@ def _candidates(bitmaps, width_bits: int, n_buckets: int):
         def part(held: list[tuple[Windows, np.ndarray]]) -> Iterator[pd.DataFrame]:
             rows = Windows(*[np.concatenate(x) for x in zip(*[w for w, _ in held])])
             bucket = np.concatenate([b for _, b in held])
-            out = []
+            out, known = [], []
             order = np.argsort(bucket, kind="stable")
             for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
                 first, later = rows.take(at).later()  # equal windows are in one bucket
                 out.append(first.packed(int(bucket[at[0]]), False))
                 if len(later.doc):
-                    out.append(later.packed(int(bucket[at[0]]), True))
+                    known.append(later)
+            if known:
+                place = zlib.crc32(out[0]["docs"].tobytes() + out[0]["hashes"]) % n_buckets
+                out.append(Windows(*[np.concatenate(x) for x in zip(*known)]).packed(-1 - place, True))
             yield pd.DataFrame(out)
 
         held, n = [], 0
@@ -362,24 +365,28 @@ def _turn(text: bytes) -> int:
 
 
 def _later(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in order of buckets: the starts of repeats by document."""
-    now, held, known = None, [], []
+    """Rows in order of buckets: the starts of repeats by document. Known repeats go on as they come."""
+    now, held = None, []
 
-    def done() -> Iterator[pd.DataFrame]:
-        rows = [Windows(*[np.concatenate(x) for x in zip(*held)]).later()[1]] if held else []
-        if not rows and not known:
-            return
-        rows, begins = Windows(*[np.concatenate(x) for x in zip(*rows, *known)]).by_document()
+    def starts_of(rows: Windows) -> Iterator[pd.DataFrame]:
+        rows, begins = rows.by_document()
         if len(begins):
             starts = [x.astype(np.int32) for x in np.split(rows.start, begins[1:])]
             yield pd.DataFrame({"doc_id": rows.doc[begins], "turn": rows.turn[begins], "starts": starts})
 
+    def done() -> Iterator[pd.DataFrame]:
+        if held:
+            yield from starts_of(Windows(*[np.concatenate(x) for x in zip(*held)]).later()[1])
+
     for batch in batches:
         for bucket, *packed in batch.itertuples(index=False):
+            if packed[-1] is None:
+                yield from starts_of(Windows.unpacked(*packed))
+                continue
             if bucket != now:
                 yield from done()
-                now, held, known = bucket, [], []
-            (known if packed[-1] is None else held).append(Windows.unpacked(*packed))
+                now, held = bucket, []
+            held.append(Windows.unpacked(*packed))
     yield from done()
 
 

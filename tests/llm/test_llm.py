@@ -202,6 +202,21 @@ def test_repeated_and_unnamed_rows_keep_one_passage(spark):
         assert got == want
 
 
+def test_known_repeats_of_a_hot_passage_meet_in_no_bucket():
+    passage = " ".join(f"h{i}" for i in range(40))
+    batch = substrings.pd.DataFrame({"doc_id": range(500), "text": [f"x{i} {passage} y{i}" for i in range(500)]})
+    bits = {(row, 0): b"\xff" * 32 for row in range(substrings.ROWS)}  # all counters at two
+    sent = type("Sent", (), {"value": bits})
+    rows = substrings.pd.concat(substrings._candidates(sent, 8, 8)(iter([batch])))
+    known = rows[rows["hashes"].isna()]
+    assert (known["bucket"] < 0).all() and known["sizes"].map(sum).sum() == 499 * 21
+    compared = rows[~rows["hashes"].isna()]
+    assert (compared["bucket"] >= 0).all() and compared["sizes"].map(sum).sum() == 21 + 500 * 2
+    starts = substrings.pd.concat(substrings._later(iter([rows.sort_values("bucket")])))
+    got = Counter((r.doc_id, s) for r in starts.itertuples() for s in r.starts)
+    assert got == Counter((d, s) for d in range(1, 500) for s in range(1, 22))
+
+
 # 4 Personal data
 def base_by_brute_force(text):
     found = [(m.start(), m.end(), 0) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
