@@ -12,8 +12,10 @@ found where it is looked up, character by character, with the scores to the char
 each, which takes time and memory in proportion to its length.
 
 Units are repeated many times over, so texts aren't joined with units row by row. Each task packs its texts into
-blocks of bounded size: a list of distinct units, cut by hash into buckets, and the texts as numbers in that list.
-Buckets meet the encoded units and go back to their block as ids, and the block's texts are written as ids.
+blocks of bounded size: a list of distinct units, cut by hash into buckets, and the texts as numbers in that list,
+the smaller the more often a unit comes. Blocks are written once, as a table of the shared folder that is bucketed by
+block. Its lists are dealt once by bucket: there their distinct units are encoded, and the lists go back to their block
+as ids. The block's texts, which aren't shuffled, are then written as ids.
 
 Defined results: a null text or one without words has no ids; decoding gives the words joined by one space; repeated
 rows are encoded each; unknown ids decode to nothing.
@@ -24,6 +26,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -32,17 +35,23 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, small_batches
+from foliant.llm.common import shared_dir, small_batches
 
 MARK = "▁"
 #: Longer units take the path of ``long_path``.
 MAX_UNIT = 64
-#: Words in a block: bounds the memory of the tasks that pack and unpack it.
-BLOCK_WORDS = 500_000
+#: Words in a block, and in a row of its texts: they bound the memory of the tasks that pack and unpack it.
+BLOCK_WORDS = 2_000_000
+ROW_WORDS = 200_000
+#: Spark deals to so many tasks, and writes to so many files of a table, at most; there may be more buckets of units.
+MAX_TASKS = 100_000
 #: A vocabulary has a few tens of thousands of pieces; a larger table than this is not taken.
 MAX_PIECES = 1_000_000
 BYTE_PENALTY = 10.0
@@ -79,16 +88,22 @@ def _checked(pieces: DataFrame) -> tuple[DataFrame, Column, int, int, float]:
     return F.broadcast(best.drop("score")), scores, facts["long"], zero["low"], facts["low"]
 
 
-def encode_units(units: DataFrame, pieces: DataFrame, *, unit_col: str = "unit") -> DataFrame:
-    """The rows of ``units`` (distinct, not empty) with ``ids``: the best path of each through the lattice."""
+def encode_units(units: DataFrame, pieces: DataFrame, *, unit_col: str = "unit", keys: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``units`` (distinct, not empty) with ``ids``: the best path of each through the lattice.
+
+    ``keys``: columns that go with a unit; where units are dealt by them, they aren't dealt anew.
+    """
     table, scores, longest, byte_zero, low = _checked(pieces)
-    unit = F.col(unit_col)
+    unit, kept = F.col(unit_col), [*keys, unit_col]
     # An edge is one number, in order of its end and start: stop, start, and its piece or the bytes of its character.
-    cell = F.explode(F.sequence(F.lit(0), F.length(unit) * longest - 1)).alias("cell")
-    start, size = F.expr(f"cell div {longest}"), F.col("cell") % longest + 1
-    substrings = units.select(unit_col, cell).select(unit_col, start.cast("int").alias("start"), size.alias("size"))
-    substrings = substrings.where(F.col("start") + F.col("size") <= F.length(unit)).select(
-        unit_col, "start", "size", F.substring(unit, F.col("start") + 1, F.col("size")).alias("piece")
+    starts = units.select(*kept, F.explode(F.sequence(F.lit(0), F.length(unit) - 1)).alias("start"))
+    substrings = starts.select(
+        *kept,
+        "start",
+        F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(unit) - F.col("start")))).alias("size"),
+    )
+    substrings = substrings.select(
+        *kept, "start", "size", F.substring(unit, F.col("start") + 1, F.col("size")).alias("piece")
     )
     stop = (F.col("start") + F.col("size")).cast("long")
     label = F.coalesce(F.col("id"), F.octet_length("piece") + UNKNOWN).cast("long")
@@ -96,8 +111,8 @@ def encode_units(units: DataFrame, pieces: DataFrame, *, unit_col: str = "unit")
     edges = (
         substrings.join(table, "piece", "left")
         .where("id is not null or size = 1")
-        .select(unit_col, edge.alias("edge"))
-        .groupBy(unit_col)
+        .select(*kept, edge.alias("edge"))
+        .groupBy(*kept)
         .agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     )
 
@@ -128,7 +143,7 @@ def encode_units(units: DataFrame, pieces: DataFrame, *, unit_col: str = "unit")
 
     none = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<bigint>").alias("path")))
     found = edges.select(
-        unit_col, F.aggregate("edges", none, step, lambda best: F.element_at(best, -1)["path"]).alias("path")
+        *kept, F.aggregate("edges", none, step, lambda best: F.element_at(best, -1)["path"]).alias("path")
     )
     spelled = F.flatten(
         F.transform(
@@ -136,7 +151,7 @@ def encode_units(units: DataFrame, pieces: DataFrame, *, unit_col: str = "unit")
         )
     )
     has_unknown = F.exists("path", lambda e: label_of(e) >= UNKNOWN)
-    return found.select(unit_col, F.when(has_unknown, spelled).otherwise(F.transform("path", label_of)).alias("ids"))
+    return found.select(*kept, F.when(has_unknown, spelled).otherwise(F.transform("path", label_of)).alias("ids"))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -195,46 +210,71 @@ def units_of(words: list[bytes], cuts: re.Pattern) -> tuple[list[bytes], np.ndar
 
 def _squeeze(numbers: np.ndarray) -> bytes:
     """Bytes of equal weight side by side, compressed."""
-    return zlib.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes(), 1)
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T)
+    return zstandard.ZstdCompressor(3).compress(planes.tobytes())
 
 
 def _unsqueeze(packed: bytes, kind: type) -> np.ndarray:
-    flat = np.frombuffer(zlib.decompress(packed), np.uint8)
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
     return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _expanded(entries: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The size of each entry, and the values of all: entry i of a list stands for sizes[i] values, one after another."""
+def _expanded(
+    entries: np.ndarray, begins: np.ndarray, sizes: np.ndarray, values: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """The size of each entry, and the values of all: entry i stands for sizes[i] values from begins[i] on."""
     size = sizes[entries]
-    ends, begins = np.cumsum(size), np.cumsum(sizes) - sizes
+    ends = np.cumsum(size)
     return size, values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[entries] - ends + size, size)]
 
 
+def _stops(sizes: np.ndarray, n: list[int]) -> np.ndarray:
+    """Where each text ends, of n[i] entries of those sizes."""
+    return np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(n)]
+
+
+PACKED = "block long, bucket int, units string, ids array<string>, n_units array<int>, n_words array<long>, packed binary, rarity binary"
+
+
 def _pack(n_buckets: int, cuts: str):
-    """For each block: one row of its texts (bucket null) and one row for each bucket of its units."""
+    """For each block: rows of its texts (bucket null) and one row for each bucket of its units.
+
+    A row of units is text of one line for the block and one for each unit. Units are listed by bucket; their numbers
+    in the texts go by rarity (of which the first row of texts has one for each listed unit), then as listed.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pattern = re.compile(cuts)
         first, done = TaskContext.get().partitionId() << 24, 0
         number: dict[bytes, int] = defaultdict(count().__next__)  # of words, as they are first seen
-        ids, n_words, stream = [], [], []
+        ids, stream = [], []
 
         def block() -> Iterator[pd.DataFrame]:
-            units, size, which = units_of(list(number), pattern)
+            block_id = first + done
+            words = list(number)
+            units, size, which = units_of(words, pattern)
+            begins = np.cumsum(size) - size
+            word_counts = np.bincount(np.concatenate(stream), minlength=len(words))
+            counts = np.bincount(which, np.repeat(word_counts, size), len(units))
             bucket = np.array([zlib.crc32(u) % n_buckets for u in units], np.int64)
-            order = np.argsort(bucket, kind="stable")
+            columns = pa.table({"bucket": bucket, "unit": pa.array(units, pa.binary())})
+            order = pc.sort_indices(columns, [("bucket", "ascending"), ("unit", "ascending")]).to_numpy()
+            rarity = (64 - np.frexp(counts)[1])[order].astype(np.uint8)
             moved = np.empty(len(units), np.uint32)
-            moved[order] = np.arange(len(units))
-            flat = moved[which]
-            words = np.concatenate(stream).astype(np.int64)
-            sizes, texts = _expanded(words, size, flat)
-            stops = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(n_words)))]
-            block_id = first + done
-            rows = [(block_id, None, ids, np.diff(stops).tolist(), n_words, _squeeze(texts))]
+            moved[order[np.argsort(rarity, kind="stable")]] = np.arange(len(units))
+            flat, rows = moved[which], []
+            cuts_at = np.flatnonzero(np.diff(np.cumsum([len(x) for x in stream]) // ROW_WORDS)) + 1
+            for begin, end in zip([0, *cuts_at], [*cuts_at, len(ids)]):
+                texts = stream[begin:end]
+                sizes, tokens = _expanded(np.concatenate(texts).astype(np.int64), begins, size, flat)
+                n_words = [len(x) for x in texts]
+                n_units = np.diff(_stops(sizes, n_words), prepend=0).tolist()
+                rows.append((block_id, None, None, ids[begin:end], n_units, n_words, _squeeze(tokens), None))
+            rows[0] = (*rows[0][:-1], _squeeze(rarity))
             for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if units else []:
-                joined = b"\n".join([units[i] for i in part])
-                rows.append((block_id, int(bucket[part[0]]), None, None, None, zlib.compress(joined, 1)))
-            columns = ["block", "bucket", "ids", "n_units", "n_words", "packed"]
+                listed = b"\n".join([b"%d" % block_id, *[units[i] for i in part]]).decode()
+                rows.append((block_id, int(bucket[part[0]]), listed, None, None, None, None, None))
+            columns = [field.split()[0] for field in PACKED.split(", ")]
             yield pd.DataFrame(rows, columns=columns).astype({"bucket": "Int32"})
 
         held = 0
@@ -243,11 +283,10 @@ def _pack(n_buckets: int, cuts: str):
                 words = words_of(text)
                 stream.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
                 ids.append(key)
-                n_words.append(len(words))
                 held += len(words)
                 if held >= BLOCK_WORDS:
                     yield from block()
-                    done, held, ids, n_words, stream = done + 1, 0, [], [], []
+                    done, held, ids, stream = done + 1, 0, [], []
                     number = defaultdict(count().__next__)
         if ids:
             yield from block()
@@ -255,21 +294,6 @@ def _pack(n_buckets: int, cuts: str):
     return run
 
 
-def _distinct_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in order of buckets: the distinct units of each, without those that are longer than MAX_UNIT."""
-    now, seen = None, set()
-    for batch in batches:
-        for bucket, packed in batch.itertuples(index=False):
-            if bucket != now:
-                if seen:
-                    yield pd.DataFrame({"bucket": np.int32(now), "unit": sorted(seen)})
-                now, seen = bucket, set()
-            units = zlib.decompress(packed).decode().split("\n")
-            seen.update([u for u in units if len(u) <= MAX_UNIT])
-    if seen:
-        yield pd.DataFrame({"bucket": np.int32(now), "unit": sorted(seen)})
-
-
 class PieceTable(NamedTuple):
     """What the path of a long unit needs: id and score by piece, the longest one's length, the id of byte 0, the lowest score."""
 
@@ -311,19 +335,19 @@ def long_path(unit: str, table: PieceTable) -> np.ndarray:
 
 
 def _look_up(table):
-    """The ids of the units of each block's part of a bucket, with how many each unit has."""
+    """The ids of the units of each block's list of a bucket, with how many each unit has."""
 
     def run(_, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         ids = dict(zip(known["unit"], known["ids"]))
         out = []
-        for block, bucket, packed in zip(rows["block"], rows["bucket"], rows["packed"]):
-            units = zlib.decompress(packed).decode().split("\n")
+        for bucket, listed in zip(rows["bucket"], rows["units"]):
+            block, *units = listed.split("\n")
             for u in units:
                 if len(u) > MAX_UNIT and u not in ids:
                     ids[u] = long_path(u, table.value)
             found = [ids[u] for u in units]
             counts = np.fromiter(map(len, found), np.uint32, len(found))
-            out.append((block, bucket, _squeeze(counts), _squeeze(np.concatenate(found).astype(np.uint32))))
+            out.append((int(block), bucket, _squeeze(counts), _squeeze(np.concatenate(found).astype(np.uint32))))
         return pd.DataFrame(out, columns=["block", "bucket", "counts", "packed"])
 
     return run
@@ -332,17 +356,18 @@ def _look_up(table):
 def _unpack(_, texts: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
     """The texts of one block as ids."""
     parts = parts.sort_values("bucket")
-    if len(parts):
-        counts = np.concatenate([_unsqueeze(x, np.uint32) for x in parts["counts"]]).astype(np.int64)
-        ids = np.concatenate([_unsqueeze(x, np.uint32) for x in parts["packed"]]).astype(np.int32)
-    else:
-        counts, ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
-    out = []
+    sizes = np.concatenate([np.zeros(0, np.int64), *[_unsqueeze(x, np.uint32) for x in parts["counts"]]]).astype(np.int64)
+    ids = np.concatenate([np.zeros(0, np.int32), *[_unsqueeze(x, np.uint32).astype(np.int32) for x in parts["packed"]]])
+    rarity = texts["rarity"].dropna()
+    as_listed = np.argsort(_unsqueeze(rarity.iloc[0], np.uint8), kind="stable") if len(rarity) else np.zeros(0, np.int64)
+    begins = (np.cumsum(sizes) - sizes)[as_listed]
+    sizes = sizes[as_listed]
+    out = [pd.DataFrame({"doc_id": [], "n_words": [], "ids": []})]
     for keys, n_units, n_words, packed in zip(texts["ids"], texts["n_units"], texts["n_words"], texts["packed"]):
-        size, flat = _expanded(_unsqueeze(packed, np.uint32).astype(np.int64), counts, ids)
-        stops = np.concatenate(([0], np.cumsum(size)))[np.cumsum(n_units)]
-        out.append(pd.DataFrame({"doc_id": list(keys), "n_words": n_words, "ids": np.split(flat, stops[:-1])}))
-    return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "n_words": [], "ids": []})
+        size, flat = _expanded(_unsqueeze(packed, np.uint32).astype(np.int64), begins, sizes, ids)
+        at = _stops(size, n_units)[:-1]
+        out.append(pd.DataFrame({"doc_id": list(keys), "n_words": n_words, "ids": np.split(flat, at)}))
+    return pd.concat(out[1:] or out)
 
 
 def encode(
@@ -353,29 +378,34 @@ def encode(
     text_col: str = "text",
     docs_per_bucket: int = 2000,
 ) -> DataFrame:
-    """One row per document: doc_id, n_words, ids. The number of buckets follows that of documents."""
+    """One row per document: doc_id, n_words, ids. The number of buckets follows that of documents.
+
+    The blocks stay in the shared folder as a table of the session's catalog, whose name begins with foliant_blocks.
+    """
+    spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = small_batches(docs).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     n_buckets = max(8, docs.count() // docs_per_bucket)
-    schema = "block long, bucket int, ids array<string>, n_units array<int>, n_words array<long>, packed binary"
-    packed = cut(rows.mapInPandas(_pack(n_buckets, cut_pattern(pieces)), schema))
-    parts = packed.where("bucket is not null").select("block", "bucket", "packed")
-    units = (
-        parts.select("bucket", "packed")
-        .repartition("bucket")
-        .sortWithinPartitions("bucket")
-        .mapInPandas(_distinct_units, "bucket int, unit string")
-    )
-    known = encode_units(units.select("unit").repartition(n_buckets, "unit"), pieces).withColumn(
-        "bucket", F.pmod(F.crc32("unit"), F.lit(n_buckets)).cast("int")
-    )
-    sent = docs.sparkSession.sparkContext.broadcast(_piece_table(pieces))
+    n_tasks = min(n_buckets, MAX_TASKS)
+    name = f"foliant_blocks_{uuid.uuid4().hex}"
+    packed = rows.mapInPandas(_pack(n_buckets, cut_pattern(pieces)), PACKED)
+    packed = packed.withColumn("kind", F.when(F.col("bucket").isNull(), "texts").otherwise("units"))
+    write = packed.write.option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd")
+    write.partitionBy("kind").bucketBy(n_tasks, "block").saveAsTable(name)
+    blocks = spark.table(name)
+    # Both readers of the lists use the same two columns, so that Spark deals them once.
+    lists = blocks.where("kind = 'units'").select("bucket", "units").repartition(n_tasks, "bucket")
+    listed = F.substr("units", F.instr("units", "\n") + 1)
+    units = lists.select("bucket", F.explode(F.split(listed, "\n")).alias("unit"))
+    units = units.where(F.length("unit") <= MAX_UNIT).dropDuplicates(["bucket", "unit"])
+    known = encode_units(units, pieces, keys=("bucket",))
+    sent = spark.sparkContext.broadcast(_piece_table(pieces))
     found = (
-        parts.groupBy("bucket")
-        .cogroup(known.groupBy("bucket"))
+        lists.groupBy("bucket")
+        .cogroup(known.withColumnRenamed("bucket", "of").groupBy("of"))
         .applyInPandas(_look_up(sent), "block long, bucket int, counts binary, packed binary")
     )
-    texts = packed.where("bucket is null").select("block", "ids", "n_units", "n_words", "packed")
+    texts = blocks.where("kind = 'texts'").select("block", "ids", "n_units", "n_words", "packed", "rarity")
     encoded = (
         texts.groupBy("block")
         .cogroup(found.groupBy("block"))
