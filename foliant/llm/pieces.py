@@ -48,7 +48,7 @@ MARK = "▁"
 #: Longer units take the path of ``long_path``.
 MAX_UNIT = 64
 #: Words in a block, and in a row of its texts: they bound the memory of the tasks that pack and unpack it.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 ROW_WORDS = 200_000
 #: Spark deals to so many tasks, and writes to so many files of a table, at most; there may be more buckets of units.
 MAX_TASKS = 100_000
@@ -376,7 +376,7 @@ def encode(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    docs_per_bucket: int = 2000,
+    docs_per_bucket: int = 1000,
 ) -> DataFrame:
     """One row per document: doc_id, n_words, ids. The number of buckets follows that of documents.
 
