@@ -164,7 +164,7 @@ def cut_pattern(pieces: DataFrame) -> str:
     Of the piece table only its signs and the letters before them are collected.
     """
     normal = pieces.where("kind = 'normal'")
-    sign = r"[^\p{L}\p{N}" + MARK + "]"
+    sign = r"[^\p{L}\p{N}\s" + MARK + "]"
     signs = normal.select(F.explode(F.regexp_extract_all("piece", F.lit(f"({sign})"), F.lit(1))).alias("c")).distinct()
     after = normal.select(F.explode(F.regexp_extract_all("piece", F.lit(rf"([\p{{L}}\p{{N}}]{sign})"), F.lit(1))).alias("two"))
     letters: dict[str, str] = defaultdict(str)
@@ -177,35 +177,18 @@ def cut_pattern(pieces: DataFrame) -> str:
 
 
 def units_of(words: list[bytes], cuts: re.Pattern) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The units of distinct words; how many each word has, and which they are, one word after another.
-
-    Units may repeat: that they are told apart by a list is the caller's affair.
-    """
+    """The distinct units of distinct words; how many each word has, and which they are, one word after another."""
     mark = MARK.encode()
-    units = [mark + w for w in words]
-    sizes, which = np.ones(len(words), np.int64), np.arange(len(words))
-    more: dict[bytes, int] = {}  # units that don't begin a word
-    found: dict[int, list[int]] = {}
-    for i, word in enumerate(words):
-        if word.isalnum():
-            continue
-        parts = cuts.split(units[i].decode())
-        if len(parts) == 1:
-            continue
-        first, *rest = [p.encode() for p in parts]
-        found[i] = [more.setdefault(first, len(more))] + [more.setdefault(u, len(more)) for u in rest]
-        sizes[i] = len(found[i])
-    if found:
-        begins, whole = np.cumsum(sizes) - sizes, len(words)
-        which = np.empty(sizes.sum(), np.int64)
-        which[begins] = np.arange(whole)
-        for i, places in found.items():
-            which[begins[i] : begins[i] + sizes[i]] = places
-            which[begins[i] : begins[i] + sizes[i]] += whole
-        units += more
-        used, which = np.unique(which, return_inverse=True)  # words that were cut are no units
-        units = [units[i] for i in used]
-    return units, sizes, which
+    plain = np.fromiter(map(bytes.isalnum, words), bool, len(words))  # no sign, so one unit
+    signed = b"\n".join([mark + w for w in words if not w.isalnum()])
+    lines = cuts.sub(" ", signed.decode()).encode().split(b"\n") if signed else []
+    sizes = np.ones(len(words), np.int64)
+    sizes[~plain] = [x.count(b" ") + 1 for x in lines]
+    number: dict[bytes, int] = defaultdict(count().__next__)
+    which, of_plain = np.empty(sizes.sum(), np.int64), np.repeat(plain, sizes)
+    for at, units in ((of_plain, [mark + w for w in words if w.isalnum()]), (~of_plain, b" ".join(lines).split())):
+        which[at] = np.fromiter(map(number.__getitem__, units), np.int64, len(units))
+    return list(number), sizes, which
 
 
 def _squeeze(numbers: np.ndarray) -> bytes:
@@ -422,18 +405,12 @@ def piece_bytes(pieces: DataFrame) -> dict[int, bytes]:
     }
 
 
-def decode_ids(ids, stands_for: dict[int, bytes]) -> str:
-    joined = b"".join([stands_for.get(i, b"") for i in ids])
-    return joined.replace(MARK.encode(), b" ").removeprefix(b" ").decode("utf-8", "replace")
-
-
 def decode(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
-    """The rows of ``encoded`` (doc_id, n_words, ids) with ``text``."""
-    sent = encoded.sparkSession.sparkContext.broadcast(piece_bytes(pieces))
-
-    @F.pandas_udf("string")
-    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for rows in batches:
-            yield pd.Series([decode_ids(ids.tolist(), sent.value) for ids in rows])
-
-    return encoded.select("doc_id", "n_words", "ids", text("ids").alias("text"))
+    """The rows of ``encoded`` (doc_id, n_words, ids) with ``text``; bytes that are no UTF-8 become U+FFFD."""
+    stands_for = piece_bytes(pieces)
+    # A byte is a character of its own until all are joined, as a character may be spelled by several pieces.
+    spelled = [stands_for.get(i, b"").decode("latin-1") for i in range(max(stands_for) + 1)]
+    table = F.from_json(F.lit(json.dumps(spelled)), "array<string>")
+    joined = F.array_join(F.transform("ids", lambda i: F.get(table, i)), "")
+    text = F.replace(F.make_valid_utf8(F.encode(joined, "ISO-8859-1").cast("string")), F.lit(MARK), F.lit(" "))
+    return encoded.select("doc_id", "n_words", "ids", F.regexp_replace(text, "^ ", "").alias("text"))
