@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The characters that a trim removes, as a class for regular expressions of Java and RE2.
@@ -23,11 +23,6 @@ ENTITIES = (
 BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, TRIM, "")
 
@@ -50,3 +45,11 @@ def unescaped(text: Column) -> Column:
     for name, char in ENTITIES:
         text = replaced(text, name, char)
     return text
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` doesn't have: the given one, or one made from it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -69,19 +69,30 @@ def achievement_of(resume: Column, mode: str = "observed") -> Column:
     return or_else(F.get(lines, 0), F.lit(NO_ACHIEVEMENT))
 
 
-def render_letter(pairs: DataFrame, *, resume: str = "resume", posting: str = "posting") -> DataFrame:
+def render_letter(
+    pairs: DataFrame,
+    *,
+    resume: str = "resume",
+    posting: str = "posting",
+    resume_key: str | None = None,
+    posting_key: str | None = None,
+) -> DataFrame:
     """The pairs with ``letter``; empty if both texts are empty."""
     left, right = or_empty(F.col(resume)), or_empty(F.col(posting))
-    letter = filled(
-        LETTER,
-        title=title_of(right),
-        highlight=highlight_text(F.col("posting_words"), F.col("resume_words")),
-        achievement=achievement_of(left),
-        name=or_else(name_of(left), F.lit(NO_NAME)),
-    )
-    found = with_keywords(pairs, resume=resume, posting=posting)
-    found = found.withColumn("letter", F.when((left == "") & (right == ""), "").otherwise(letter))
-    return found.drop("resume_words", "posting_words")
+    # What a letter needs is taken from the texts first, so that no later step moves them unless they are kept.
+    parts = {
+        "title": title_of(right),
+        "achievement": achievement_of(left),
+        "name": or_else(name_of(left), F.lit(NO_NAME)),
+        "empty": (left == "") & (right == ""),
+    }
+    found = pairs.withColumns({f"letter_{k}": v for k, v in parts.items()})
+    found = with_keywords(found, resume=resume, posting=posting, resume_key=resume_key, posting_key=posting_key)
+    found = found.withColumn("letter_highlight", highlight_text(F.col("posting_words"), F.col("resume_words")))
+    letter = filled(LETTER, **{k: F.col(f"letter_{k}") for k in ("title", "highlight", "achievement", "name")})
+    found = found.withColumn("letter", F.when(F.col("letter_empty"), "").otherwise(letter))
+    helpers = [f"letter_{k}" for k in (*parts, "highlight")]
+    return found.drop("resume_words", "posting_words", *helpers)
 
 
 def build_prompts(pairs: DataFrame, *, resume: str = "resume", posting: str = "posting", key: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.text import or_empty
+from foliant.functions.text import or_empty, unused
 from foliant.operators.markup import marker
 
 
@@ -27,9 +27,10 @@ def insert_markers(
     docs: DataFrame, drops: DataFrame, *, key: str = "doc_id", text: str = "text", wrap: str = "none"
 ) -> DataFrame:
     """The documents with their drops (key, seq, offset, value) inserted in order of seq."""
-    gathered = drops.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "offset", "value"))).alias("edits"))
-    new = F.when(F.col("edits").isNull(), F.col(text)).otherwise(inserted(or_empty(F.col(text)), F.col("edits"), wrap))
-    return docs.join(gathered, key, "left").withColumn(text, new).drop("edits")
+    name = unused("edits", docs)
+    gathered = drops.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "offset", "value"))).alias(name))
+    new = F.when(F.col(name).isNull(), F.col(text)).otherwise(inserted(or_empty(F.col(text)), F.col(name), wrap))
+    return docs.join(gathered, key, "left").withColumn(text, new).drop(name)
 
 
 def moved(slots: Column, moves: Column) -> Column:
@@ -49,6 +50,7 @@ def noop_move_filter(moves: DataFrame) -> DataFrame:
 
 def move_fields(slotted: DataFrame, moves: DataFrame, *, session: str = "session") -> DataFrame:
     """session, slots after all moves (session, seq, from, to) in order of seq."""
-    gathered = moves.groupBy(session).agg(F.array_sort(F.collect_list(F.struct("seq", "from", "to"))).alias("moves"))
-    new = F.when(F.col("moves").isNull(), F.col("slots")).otherwise(moved(F.col("slots"), F.col("moves")))
+    name = unused("moves", slotted)
+    gathered = moves.groupBy(session).agg(F.array_sort(F.collect_list(F.struct("seq", "from", "to"))).alias(name))
+    new = F.when(F.col(name).isNull(), F.col("slots")).otherwise(moved(F.col("slots"), F.col(name)))
     return slotted.join(gathered, session, "left").select(session, new.alias("slots"))

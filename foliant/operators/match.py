@@ -1,7 +1,7 @@
 """Postings and résumés through the keywords that they share.
 
 The overlap of two texts is that of their two lists of top words, in the order of the posting's list. For given pairs
-it is computed within the row; for all pairs the lists are joined on the word, so that pairs without a common word
+the lists are joined to the pair; for all pairs the lists are joined on the word, so that pairs without a common word
 are never formed.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions.text import or_else
-from foliant.operators.tokens import top_array, top_keywords
+from foliant.operators.tokens import top_keywords, top_lists
 
 TOP = 20
 SHOWN = 8
@@ -30,11 +30,25 @@ def highlight_text(posting: Column, resume: Column) -> Column:
     return or_else(shared, F.array_join(F.slice(resume, 1, FALLBACK), ", "))
 
 
-def with_keywords(pairs: DataFrame, *, resume: str = "resume", posting: str = "posting") -> DataFrame:
-    """The pairs with the top words of both texts, ``resume_words`` and ``posting_words``."""
-    return pairs.withColumns(
-        {"resume_words": top_array(F.col(resume), TOP), "posting_words": top_array(F.col(posting), TOP)}
-    )
+def with_keywords(
+    pairs: DataFrame,
+    *,
+    resume: str = "resume",
+    posting: str = "posting",
+    resume_key: str | None = None,
+    posting_key: str | None = None,
+) -> DataFrame:
+    """The pairs with the top words of both texts, ``resume_words`` and ``posting_words``.
+
+    Words are counted once for each text, not for each pair. Keys tell texts apart without moving them to the pairs.
+    """
+    for key, text, name in ((resume_key, resume, "resume_words"), (posting_key, posting, "posting_words")):
+        of = F.col(key or text)
+        texts = pairs.select(of.alias("of"), F.col(text).alias("text")).groupBy("of").agg(F.first("text").alias("text"))
+        found = top_lists(texts, key="of", n=TOP).select(F.col("of").alias(f"{name}_of"), F.col("words").alias(name))
+        pairs = pairs.join(found, of.eqNullSafe(F.col(f"{name}_of")), "left").drop(f"{name}_of")
+        pairs = pairs.withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return pairs
 
 
 def match_corpus(

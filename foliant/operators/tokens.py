@@ -1,16 +1,17 @@
 """Words, their frequencies and the top words of each text.
 
-A document is one row, so its words are counted within the row: they are sorted with their places, and each run of
-equal words gives its length and first place. No word is shuffled; only corpus-wide counts shuffle, after each task has
-added up its own.
+Texts are dealt once by their key; words are then exploded, counted and ranked where they are, as all rows of a key
+are in one place. Only corpus-wide counts shuffle again, after each task has added up its own. A null key is a key;
+rows that repeat a key count as one text.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.functions.text import let, or_empty
+from foliant.functions.text import or_empty
 
 # The words that don't count as keywords.
 STOPWORDS = (
@@ -34,39 +35,6 @@ def is_content(word: Column) -> Column:
     return (F.length(word) >= 2) & ~word.isin(STOPWORDS)
 
 
-def frequency_array(text: Column) -> Column:
-    """(word, n, first_pos) of the content words, by word. Places count content words only."""
-
-    def runs(s: Column) -> Column:
-        starts = F.filter(
-            F.sequence(F.lit(0), F.size(s) - 1),
-            lambda j: (j == 0) | (F.get(s, j)["word"] != F.get(s, j - 1)["word"]),
-        )
-        return let(
-            starts,
-            lambda b: F.transform(
-                b,
-                lambda j, k: F.struct(
-                    F.get(s, j)["word"].alias("word"),
-                    (F.coalesce(F.get(b, k + 1), F.size(s)) - j).cast("long").alias("n"),
-                    F.get(s, j)["pos"].cast("long").alias("first_pos"),
-                ),
-            ),
-        )
-
-    placed = F.array_sort(F.transform(content_array(text), lambda w, i: F.struct(w.alias("word"), i.alias("pos"))))
-    none = F.array().cast("array<struct<word:string,n:bigint,first_pos:bigint>>")
-    return let(placed, lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(none))
-
-
-def top_array(text: Column, n: int) -> Column:
-    """The n most frequent content words; of equally frequent ones, that seen first."""
-    ranked = F.transform(
-        frequency_array(text), lambda f: F.struct((-f["n"]).alias("k"), f["first_pos"], f["word"].alias("word"))
-    )
-    return F.transform(F.slice(F.array_sort(ranked), 1, n), lambda f: f["word"])
-
-
 def tokenize(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, pos, word: all tokens in order."""
     return docs.select(key, F.posexplode(token_array(F.col(text))).alias("pos", "word")).select(
@@ -79,21 +47,36 @@ def content_words(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
     return docs.select(key, F.explode(content_array(F.col(text))).alias("word"))
 
 
+def _counted(docs: DataFrame, key: str, text: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """key, by, word, n, first_pos."""
+    dealt = docs.select(key, *by, F.col(text).alias("text")).repartition(key)
+    words = dealt.select(key, *by, F.posexplode(content_array(F.col("text"))).alias("pos", "word"))
+    return words.groupBy(key, *by, "word").agg(
+        F.count(F.lit(1)).alias("n"), F.min("pos").cast("long").alias("first_pos")
+    )
+
+
 def word_frequencies(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, word, n, first_pos."""
-    return docs.select(key, F.explode(frequency_array(F.col(text))).alias("f")).select(key, "f.*")
+    return _counted(docs, key, text)
 
 
-def corpus_frequencies(docs: DataFrame, *, text: str = "text", by: tuple[str, ...] = ("lang",)) -> DataFrame:
+def corpus_frequencies(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", by: tuple[str, ...] = ("lang",)
+) -> DataFrame:
     """by, word, n, docs: how often and in how many documents a word occurs."""
-    counted = docs.select(*by, F.explode(frequency_array(F.col(text))).alias("f"))
-    return counted.groupBy(*by, F.col("f.word").alias("word")).agg(
-        F.sum("f.n").alias("n"), F.count(F.lit(1)).alias("docs")
-    )
+    counted = _counted(docs, key, text, by)
+    return counted.groupBy(*by, "word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
 
 
 def top_keywords(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 10) -> DataFrame:
-    """key, rank (from 1), word."""
-    return docs.select(key, F.posexplode(top_array(F.col(text), n)).alias("rank", "word")).select(
-        key, (F.col("rank") + 1).cast("long").alias("rank"), "word"
-    )
+    """key, rank (from 1), word: the n most frequent content words; of equally frequent ones, that seen first."""
+    best = W.partitionBy(key).orderBy(F.desc("n"), "first_pos")
+    ranked = _counted(docs, key, text).withColumn("rank", F.row_number().over(best).cast("long"))
+    return ranked.where(F.col("rank") <= n).select(key, "rank", "word")
+
+
+def top_lists(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 10) -> DataFrame:
+    """key, words: the top words in order of their rank; texts without words have no row."""
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "word")))
+    return top_keywords(docs, key=key, text=text, n=n).groupBy(key).agg(ordered["word"].alias("words"))

@@ -7,9 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SLOT_OF = {"click": 0, "view": 1, "purchase": 2, "signup": 3, "error": 4}
-DROPS_OF_DOCUMENT = 5
-MOVES_OF_SESSION = 6
-ITEMS = 40
+#: Offsets of events are below 1000; so many times larger, most of them lie beyond the end of a text.
+FAR = 100
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +28,8 @@ def as_field_events(events: DataFrame) -> DataFrame:
     )
 
 
-def _first(rows: DataFrame, key: str, n: int) -> DataFrame:
-    seq = F.row_number().over(W.partitionBy(key).orderBy("ts", "event_id"))
-    return rows.withColumn("seq", seq).where(F.col("seq") <= n)
+def _numbered(rows: DataFrame, key: str) -> DataFrame:
+    return rows.withColumn("seq", F.row_number().over(W.partitionBy(key).orderBy("ts", "event_id")))
 
 
 def as_drops(events: DataFrame) -> DataFrame:
@@ -42,7 +40,7 @@ def as_drops(events: DataFrame) -> DataFrame:
 
 
 def drops(events: DataFrame) -> DataFrame:
-    return _first(as_drops(events), "doc_id", DROPS_OF_DOCUMENT)
+    return _numbered(as_drops(events), "doc_id")
 
 
 def as_moves(events: DataFrame) -> DataFrame:
@@ -53,12 +51,14 @@ def as_moves(events: DataFrame) -> DataFrame:
 
 
 def moves(events: DataFrame) -> DataFrame:
-    return _first(as_moves(events), "session", MOVES_OF_SESSION)
+    return _numbered(as_moves(events), "session")
 
 
 def pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Each document with one of all items, in turn; ids of items are 0, 1 and so on."""
+    n_items = items.agg(F.max("item_id")).first()[0] + 1
     right = items.select(F.col("item_id").alias("item"), F.col("text").alias("posting"))
-    left = docs.select("doc_id", (F.col("doc_id") % ITEMS).alias("item_id"), F.col("text").alias("resume"))
+    left = docs.select("doc_id", (F.col("doc_id") % n_items).alias("item_id"), F.col("text").alias("resume"))
     return left.join(right, F.col("item_id") == F.col("item")).drop("item")
 
 
@@ -114,13 +114,15 @@ SQL = {
     "field_events": "SELECT user_id AS session, CASE event_type "
     + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SLOT_OF.items())
     + " END AS slot, CAST(value AS VARCHAR) AS value, ts, event_id FROM events",
-    "drops": f"""SELECT * FROM (SELECT user_id AS doc_id, CAST(floor(value) AS INT) AS "offset", event_type AS value,
-        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events) WHERE seq <= {DROPS_OF_DOCUMENT}""",
-    "moves": f"""SELECT * FROM (SELECT user_id AS session, CAST(trunc(value) AS INT) % 10 AS "from",
+    "drops": """SELECT user_id AS doc_id, CAST(floor(value) AS INT) AS "offset", event_type AS value,
+        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events""",
+    "far_drops": f"""SELECT user_id AS doc_id, CAST(floor(value) AS INT) * {FAR} AS "offset", event_type AS value,
+        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events""",
+    "moves": """SELECT user_id AS session, CAST(trunc(value) AS INT) % 10 AS "from",
         CAST(trunc(value * 7) AS INT) % 10 AS "to",
-        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events) WHERE seq <= {MOVES_OF_SESSION}""",
-    "pairs": f"""SELECT d.doc_id, b.item_id, d.text AS resume, b.text AS posting
-        FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % {ITEMS}""",
+        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events""",
+    "pairs": """SELECT d.doc_id, b.item_id, d.text AS resume, b.text AS posting
+        FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT max(item_id) + 1 FROM benchmark)""",
     "headed_documents": """SELECT doc_id, CASE WHEN doc_id % 8 = 3 THEN '' WHEN doc_id % 4 = 0 THEN 'name: Ada Byron'
         WHEN doc_id % 4 = 1 THEN 'Ada Byron' WHEN doc_id % 4 = 2 THEN 'Name: Ada Byron' ELSE 'Led a project' END
         || chr(10) || text AS text FROM documents""",

@@ -148,12 +148,12 @@ for number, variable in enumerate(fields.VARIABLES, 1):
     FILLED = f"replace({FILLED}, {text(variable)}, slots[{number}])"
 
 
-def marked(docs: str, wrapped: bool = False) -> str:
+def marked(docs: str, wrapped: bool = False, drops: str = "drops") -> str:
     """CTEs whose last, ``marked``, has doc_id and text after the drops."""
     value = "'}}' || value || '{{'"
     if wrapped:
         value = f"{text(SPAN[0])} || {value} || {text(SPAN[1])}"
-    return f"""WITH RECURSIVE drops AS ({SQL['drops']}), docs AS ({docs}),
+    return f"""WITH RECURSIVE drops AS ({SQL[drops]}), docs AS ({docs}),
     folded AS (SELECT doc_id, 0 AS k, text FROM docs UNION ALL
         SELECT f.doc_id, f.k + 1, left(f.text, least(d."offset", length(f.text))) || {value}
             || substr(f.text, least(d."offset", length(f.text)) + 1)
@@ -206,7 +206,7 @@ ORACLE_SQL = {
         'City ' || CAST(page_id % 7 AS VARCHAR) AS city, 'Region' AS region, CAST(page_id AS VARCHAR) AS postal, 'XX' AS country
         FROM pages WHERE page_id % 5 <> 4""",
     "posting_description_text": f"SELECT page_id, array_to_string(({PARAGRAPHS})[1:80], chr(10) || chr(10)) AS text FROM pages WHERE page_id % 5 <> 4",
-    "job_title": f"SELECT doc_id, {title('left(text, 200)')} AS title FROM documents",
+    "job_title": f"SELECT doc_id, {title('text')} AS title FROM documents",
     "candidate_name": given(**inputs("headed_documents")) + f"SELECT doc_id, {name('text')} AS name FROM headed_documents",
     "achievement_line": given(**inputs("headed_documents"))
     + f"""SELECT doc_id, {observed('text')} AS observed, coalesce(nullif(list_filter(string_split(text, chr(10)),
@@ -235,7 +235,7 @@ ORACLE_SQL = {
     + f"SELECT d.doc_id AS session, coalesce({FILLED}, {text(fields.DEFAULT_MESSAGE)}) AS text FROM documents d LEFT JOIN slotted s ON s.session = d.doc_id",
     "insert_markers": MARKED + "SELECT doc_id, text FROM marked",
     "highlight_inserted": marked("SELECT doc_id, text FROM documents", wrapped=True) + "SELECT doc_id, text FROM marked",
-    "out_of_range_guard": marked("SELECT doc_id, left(text, 10) AS text FROM documents") + "SELECT doc_id, text FROM marked",
+    "out_of_range_guard": marked("SELECT doc_id, text FROM documents", drops="far_drops") + "SELECT doc_id, text FROM marked",
     "clean_export": MARKED
     + f"SELECT doc_id, {STRIPPED.format(x='regexp_replace(replace(' + TO_MARKUP.format(x='text') + ', ' + text('<br>') + ', chr(10)), chr(10) || ' + text('{2,}') + ', chr(10), ' + text('g') + ')')} AS text FROM marked",
     "strip_markers": MARKED + f"SELECT doc_id, {STRIPPED.format(x='text')} AS text FROM marked",
@@ -250,7 +250,9 @@ ORACLE_SQL = {
     "approved_version": "SELECT conv_id AS doc_id, max(turn) AS version, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY 1",
     "load_text": "SELECT doc_id % 8 AS part, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars FROM documents GROUP BY 1",
     "write_letters": PAIRED
-    + f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'final.txt' ELSE 'with_markers.txt' END AS kind, CASE WHEN resume = '' AND posting = '' THEN '' ELSE {LETTER} END AS letter FROM highlights",
+    + f"""SELECT kind, count(*) AS n, CAST(sum(length(letter) + 1) AS BIGINT) AS n_chars, CAST(sum(length(letter) + 1) AS BIGINT) AS n_chars_of_files
+        FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN 'final.txt' ELSE 'with_markers.txt' END AS kind,
+        CASE WHEN resume = '' AND posting = '' THEN '' ELSE {LETTER} END AS letter FROM highlights) GROUP BY 1""",
     "ingest_errors": given(**inputs("named_files", "postings"))
     + f"""SELECT source, status, count(*) AS n FROM (
         SELECT 'files' AS source, CASE WHEN {ROUTE} = 'fallback' THEN 'error' ELSE 'ok' END AS status FROM named_files UNION ALL

@@ -45,6 +45,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4()}"
 
 
+KEYS = {"resume_key": "doc_id", "posting_key": "item_id"}
+
 # Words
 of("tokenize", lambda d: tokens.tokenize(d), "documents")
 of("content_words", lambda d: tokens.content_words(d), "documents")
@@ -62,7 +64,7 @@ of("best_postings", lambda d, b: match.best_postings(match.match_corpus(d, b)),
 def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = inputs.pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     text = match.highlight_text(F.col("posting_words"), F.col("resume_words"))
-    return match.with_keywords(pairs).select("doc_id", text.alias("highlight"))
+    return match.with_keywords(pairs, **KEYS).select("doc_id", text.alias("highlight"))
 
 
 @query
@@ -70,7 +72,7 @@ def first_k_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = inputs.pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     shared = match.overlap_array(F.col("posting_words"), F.col("resume_words"), 3)
     first = F.slice("resume_words", 1, match.FALLBACK)
-    return match.with_keywords(pairs).select(
+    return match.with_keywords(pairs, **KEYS).select(
         "doc_id", F.array_join(shared, " ").alias("shared"), F.array_join(first, " ").alias("fallback")
     )
 
@@ -117,7 +119,7 @@ of(
 )
 
 # Letters and requests
-of("job_title", lambda d: d.select("doc_id", compose.title_of(F.substring("text", 1, 200)).alias("title")), "documents")
+of("job_title", lambda d: d.select("doc_id", compose.title_of(F.col("text")).alias("title")), "documents")
 of(
     "candidate_name",
     lambda d: inputs.headed_documents(d).select("doc_id", compose.name_of(F.col("text")).alias("name")),
@@ -134,7 +136,7 @@ of(
 )
 of(
     "render_letter",
-    lambda d, b: compose.render_letter(inputs.pairs(d, b)).select("doc_id", "item_id", "letter"),
+    lambda d, b: compose.render_letter(inputs.pairs(d, b), **KEYS).select("doc_id", "item_id", "letter"),
     "documents",
     "benchmark",
 )
@@ -235,7 +237,7 @@ of("highlight_inserted", lambda d, e: _marked(d, e, "span"), "documents", "event
 of(
     "out_of_range_guard",
     lambda d, e: edits.insert_markers(
-        d.select("doc_id", F.left("text", F.lit(10)).alias("text")), inputs.drops(e)
+        d.select("doc_id", "text"), inputs.drops(e).withColumn("offset", F.col("offset") * inputs.FAR)
     ),
     "documents",
     "events",
@@ -278,22 +280,25 @@ of(
 
 @query
 def load_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts written as files in eight folders, each file read as one text; characters by folder."""
+    """Texts written as files of a hundred in eight folders, each file read as one text; characters by folder."""
     folder = shared_folder(spark, "texts")
     docs = table(spark, sf_dir, "documents").select(or_empty(F.col("text")).alias("value"), (F.col("doc_id") % 8).alias("part"))
-    docs.write.partitionBy("part").text(folder)
-    read = spark.read.text(folder, wholetext=True)
-    return read.groupBy(F.col("part").cast("long").alias("part")).agg(F.sum(F.length("value")).alias("n_chars"))
+    docs.write.partitionBy("part").option("maxRecordsPerFile", 100).text(folder)
+    read = files.load_text(spark, folder, keep=("part",))
+    return read.groupBy(F.col("part").cast("long").alias("part")).agg(F.sum(F.length("text")).alias("n_chars"))
 
 
 @query
 def write_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Letters written by kind and read back from the rows kept beside them."""
+    """Letters written by kind and read back, from the text files and from the rows kept beside them."""
     folder = shared_folder(spark, "letters")
     letters = QUERIES["render_letter"](spark, sf_dir)
     kind = F.when(F.col("doc_id") % 2 == 0, "final.txt").otherwise("with_markers.txt")
     files.write_letters(letters.withColumn("kind", kind), folder)
-    return spark.read.parquet(f"{folder}/rows").select("doc_id", "kind", "letter")
+    rows = spark.read.parquet(f"{folder}/rows").groupBy("kind")
+    rows = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("letter") + 1).alias("n_chars"))
+    lines = spark.read.option("lineSep", "\n").text(f"{folder}/text").groupBy("kind")
+    return rows.join(lines.agg(F.sum(F.length("value") + 1).alias("n_chars_of_files")), "kind")
 
 
 @query
@@ -323,33 +328,33 @@ def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def field_events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = inputs.as_field_events(_events_stream(spark, sf_dir)).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
-    return streams.run_to_end(stream, shared_folder(spark, "stream"))
+    return streams.run_to_end(stream, shared_folder(spark, "stream"), mode="update", keys=("slot",))
 
 
 @query
 def stream_field_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = streams.stream_field_state(inputs.as_field_events(_events_stream(spark, sf_dir)))
-    return streams.run_to_end(stream, shared_folder(spark, "stream"))
+    return streams.run_to_end(stream, shared_folder(spark, "stream"), mode="update", keys=("session", "slot"))
 
 
 @query
 def stream_letter_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = inputs.as_field_events(_events_stream(spark, sf_dir))
     stream = streams.stream_letter_preview(events, fields.TEMPLATE)
-    return streams.run_to_end(stream, shared_folder(spark, "stream"))
+    return streams.run_to_end(stream, shared_folder(spark, "stream"), mode="update", keys=("session",))
 
 
 @query
 def stream_insert_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     drops, docs = inputs.as_drops(_events_stream(spark, sf_dir)), table(spark, sf_dir, "documents")
-    stream = streams.stream_insert_markers(drops, docs, limit=inputs.DROPS_OF_DOCUMENT)
+    stream = streams.stream_insert_markers(drops, docs)
     return streams.run_to_end(stream, shared_folder(spark, "stream"), mode="update", keys=("doc_id",))
 
 
 @query
 def stream_move_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     moves = inputs.as_moves(_events_stream(spark, sf_dir))
-    stream = streams.stream_move_fields(moves, _slots(table(spark, sf_dir, "events")), limit=inputs.MOVES_OF_SESSION)
+    stream = streams.stream_move_fields(moves, _slots(table(spark, sf_dir, "events")))
     found = streams.run_to_end(stream, shared_folder(spark, "stream"), mode="update", keys=("session",))
     return found.select("session", _joined(F.col("slots")).alias("slots"))
 
@@ -357,4 +362,5 @@ def stream_move_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_keyword_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table_stream(spark, sf_dir, "documents")
-    return streams.run_to_end(streams.stream_keyword_counts(docs), shared_folder(spark, "stream"))
+    counts = streams.stream_keyword_counts(docs)
+    return streams.run_to_end(counts, shared_folder(spark, "stream"), mode="update", keys=("word",))

@@ -9,10 +9,10 @@ from pyspark.sql import Window as W
 ON_OTHER = ("fallback", "rejected", "ignored")
 
 
-def load_text(spark: SparkSession, path: str) -> DataFrame:
-    """name, text: each file as one text."""
+def load_text(spark: SparkSession, path: str, *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """name, text: each file as one text. ``keep``: columns that the names of folders hold."""
     read = spark.read.text(path, wholetext=True)
-    return read.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
+    return read.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"), *keep)
 
 
 def route_of(name: Column, on_other: str = "fallback") -> Column:

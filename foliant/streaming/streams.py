@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from foliant.functions.text import or_empty
 from foliant.operators.fields import fill, last_field_values
-from foliant.operators.tokens import frequency_array
+from foliant.operators.tokens import content_array
 
 MODES = ("replay", "arrival")
 
@@ -42,8 +42,8 @@ def stream_letter_preview(events: DataFrame, template: str) -> DataFrame:
 
 def stream_keyword_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """word, n over all documents that have arrived."""
-    words = docs.select(F.explode(frequency_array(F.col(text))).alias("f"))
-    return words.groupBy(F.col("f.word").alias("word")).agg(F.sum("f.n").alias("n"))
+    words = docs.select(F.explode(content_array(F.col(text))).alias("word"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def insert_one(text: str, edit: list) -> str:
@@ -64,7 +64,7 @@ def move_one(slots: str, edit: list) -> str:
     return json.dumps(values)
 
 
-def _folded(apply: Callable[[str, list], str], mode: str, limit: int | None):
+def _folded(apply: Callable[[str, list], str], mode: str):
     """The state of a key: (base, log) for replay, (result, []) for arrival, as JSON."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -77,7 +77,7 @@ def _folded(apply: Callable[[str, list], str], mode: str, limit: int | None):
         ]
         new.sort(key=lambda e: e[:2])
         if mode == "replay":
-            log = sorted([*log, *new], key=lambda e: e[:2])[:limit]
+            log = sorted([*log, *new], key=lambda e: e[:2])
             result = base
             for edit in log:
                 result = apply(result, edit)
@@ -91,13 +91,13 @@ def _folded(apply: Callable[[str, list], str], mode: str, limit: int | None):
     return run
 
 
-def _stateful(edits: DataFrame, apply, second: str, mode: str, limit: int | None) -> DataFrame:
+def _stateful(edits: DataFrame, apply, second: str, mode: str) -> DataFrame:
     """``edits``: key (long), base, ts (micros), event_id, first, second."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
     typed = edits.withColumn("second", F.col("second").cast(second))
     return typed.groupBy("key").applyInPandasWithState(
-        _folded(apply, mode, limit), "key long, result string", "state string", "update", GroupStateTimeout.NoTimeout
+        _folded(apply, mode), "key long, result string", "state string", "update", GroupStateTimeout.NoTimeout
     )
 
 
@@ -106,28 +106,25 @@ def _micros(ts: Column) -> Column:
 
 
 def stream_insert_markers(
-    drops: DataFrame, docs: DataFrame, *, key: str = "doc_id", mode: str = "replay", limit: int | None = None
+    drops: DataFrame, docs: DataFrame, *, key: str = "doc_id", mode: str = "replay"
 ) -> DataFrame:
-    """key, text after each batch. ``drops``: key, ts, event_id, offset, value; ``docs``: a table of key, text.
-
-    ``limit``: only so many drops of a key, the first ones by time, count.
-    """
+    """key, text after each batch. ``drops``: key, ts, event_id, offset, value; ``docs``: a table of key, text."""
     rows = drops.join(docs.select(key, or_empty(F.col("text")).alias("base")), key)
     rows = rows.select(
         F.col(key).cast("long").alias("key"), "base", _micros(F.col("ts")).alias("ts"), "event_id",
         F.col("offset").alias("first"), F.col("value").alias("second"),
     )
-    return _stateful(rows, insert_one, "string", mode, limit).toDF(key, "text")
+    return _stateful(rows, insert_one, "string", mode).toDF(key, "text")
 
 
-def stream_move_fields(moves: DataFrame, slotted: DataFrame, *, mode: str = "replay", limit: int | None = None) -> DataFrame:
+def stream_move_fields(moves: DataFrame, slotted: DataFrame, *, mode: str = "replay") -> DataFrame:
     """session, slots after each batch. ``moves``: session, ts, event_id, from, to; ``slotted``: session, slots."""
     rows = moves.join(slotted.select("session", F.to_json("slots").alias("base")), "session")
     rows = rows.select(
         F.col("session").cast("long").alias("key"), "base", _micros(F.col("ts")).alias("ts"), "event_id",
         F.col("from").alias("first"), F.col("to").alias("second"),
     )
-    done = _stateful(rows, move_one, "long", mode, limit).toDF("session", "slots")
+    done = _stateful(rows, move_one, "long", mode).toDF("session", "slots")
     return done.withColumn("slots", F.from_json("slots", "array<string>"))
 
 

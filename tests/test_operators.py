@@ -35,24 +35,28 @@ def test_content_words(spark, text, words):
 
 
 def test_ties_go_to_the_word_seen_first(spark):
-    assert of_text(spark, lambda t: tokens.top_array(t, 10), "bb aa bb aa cc") == ["bb", "aa", "cc"]
-    assert of_text(spark, lambda t: tokens.top_array(t, 2), "bb aa bb aa cc") == ["bb", "aa"]
-    assert of_text(spark, lambda t: tokens.top_array(t, 2), None) == []
+    docs = spark.createDataFrame([(1, "bb aa bb aa cc"), (2, None), (None, "bb")], "doc_id long, text string")
+    for n, words in ((10, ["bb", "aa", "cc"]), (2, ["bb", "aa"])):
+        found = {r["doc_id"]: r["words"] for r in tokens.top_lists(docs, n=n).collect()}
+        assert found == {1: words, None: ["bb"]}
 
 
 def test_frequencies_count_each_word(spark):
     rng = random.Random(5)
     text = " ".join(rng.choice(["alpha", "beta", "gamma", "x1", "the"]) for _ in range(500))
     words = [w for w in text.split() if w != "the"]
-    found = {f["word"]: (f["n"], f["first_pos"]) for f in of_text(spark, tokens.frequency_array, text)}
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = {f["word"]: (f["n"], f["first_pos"]) for f in tokens.word_frequencies(docs).collect()}
     assert found == {w: (words.count(w), words.index(w)) for w in set(words)}
 
 
 def test_highlight_falls_back_to_the_resume(spark):
-    pair = spark.createDataFrame([("alpha beta gamma", "delta"), ("alpha beta", "beta alpha"), ("", "")], "resume string, posting string")
+    rows = [(0, "alpha beta gamma", "delta"), (1, "alpha beta", "beta alpha"), (2, "", ""), (None, None, "x")]
+    pairs = spark.createDataFrame(rows, "id long, resume string, posting string")
     text = match.highlight_text(F.col("posting_words"), F.col("resume_words"))
-    rows = match.with_keywords(pair).select(text.alias("h")).collect()
-    assert [r["h"] for r in rows] == ["alpha, beta, gamma", "beta, alpha", ""]
+    for keys in ({}, {"resume_key": "id", "posting_key": "id"}):
+        found = {r["id"]: r["h"] for r in match.with_keywords(pairs, **keys).select("id", text.alias("h")).collect()}
+        assert found == {0: "alpha, beta, gamma", 1: "beta, alpha", 2: "", None: ""}
 
 
 @pytest.mark.parametrize(
@@ -173,6 +177,12 @@ def test_markers_add_their_length(spark):
         assert len(row["bare"]) == before[row["doc_id"]] + bare[row["doc_id"]]
 
 
+def test_edits_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "ab", "e", "e")], "doc_id long, text string, edits string, Edits_ string")
+    found = edits.insert_markers(docs, _drops(spark, [(1, 1, 0, "x")]))
+    assert found.columns == docs.columns and found.first()["text"] == "}}x{{ab" and found.first()["edits"] == "e"
+
+
 def test_moves(spark):
     slots = spark.createDataFrame([(1, list("abcd"))], "session long, slots array<string>")
 

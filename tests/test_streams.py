@@ -37,7 +37,7 @@ def test_letter_preview(spark, events, tmp_path):
 def test_replayed_markers(spark, events, sf_dir, tmp_path):
     table, stream = events
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    live = streams.stream_insert_markers(inputs.as_drops(stream()), docs, limit=inputs.DROPS_OF_DOCUMENT)
+    live = streams.stream_insert_markers(inputs.as_drops(stream()), docs)
     found = streams.run_to_end(live, str(tmp_path / "s"), mode="update", keys=("doc_id",))
     drops = inputs.drops(table)
     assert rows(found) == rows(edits.insert_markers(docs, drops).join(drops.select("doc_id").distinct(), "doc_id"))
@@ -46,7 +46,7 @@ def test_replayed_markers(spark, events, sf_dir, tmp_path):
 def test_replayed_moves(spark, events, tmp_path):
     table, stream = events
     slots = fields.field_slots(fields.last_field_values(inputs.as_field_events(table)))
-    live = streams.stream_move_fields(inputs.as_moves(stream()), slots, limit=inputs.MOVES_OF_SESSION)
+    live = streams.stream_move_fields(inputs.as_moves(stream()), slots)
     found = streams.run_to_end(live, str(tmp_path / "s"), mode="update", keys=("session",))
     assert rows(found) == rows(edits.move_fields(slots, inputs.moves(table)))
 
