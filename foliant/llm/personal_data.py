@@ -3,8 +3,8 @@
 By form (leftmost matches of each kind, that don't overlap): e-mail addresses, IPv4 addresses, card numbers with a
 valid check digit, international phone numbers.
 
-By context, as bootstrapping: what the forms find are seeds. A lexical pattern is the word before an identifier, or
-the two words before it. Patterns and the identifiers that they extract (seeds, and other words with a digit) form a
+By context, as bootstrapping: what the forms find are seeds. A lexical pattern is the word before an identifier, of
+whatever length, or the two words before it. Patterns and the identifiers that they extract (seeds, and other words with a digit) form a
 graph with the number of their meetings. In turns, a pattern scores the share of its occurrences in the whole corpus
 that extract identifiers, each weighted by its score; an identifier that is no seed scores 1 - product(1 - score of
 its patterns). Identifiers that no form finds, in a pattern with at least MIN_SEEDS different seeds and a score of
@@ -21,7 +21,9 @@ equal spans; a null id stays null; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -42,15 +44,16 @@ BROADCAST_ROWS = 1_000_000
 MARK_BITS = 20
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+#: A match can begin only where a run of digits does, so that a long run is read once.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]+")
 #: Tokens end at ASCII white space and after each = or : sign.
-TOKEN = re.compile(r"[^\x20\x09-\x0D=:]*[=:]|[^\x20\x09-\x0D=:]+")
 BREAK = re.compile(r"[\x20\x09-\x0D=:]")
-CONTEXT = 200
+#: Signs between a context and its identifier.
+OPENING = frozenset("\"'([{<")
 
 
 def luhn(digits: str) -> bool:
@@ -67,7 +70,9 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Each @ with the longest run of local characters before it, from the end of the last match on, and a domain."""
     done, at = 0, text.find("@")
     while at >= 0:
-        back = LOCAL.match(text[done:at][::-1]).end()
+        back = 0
+        while at - back > done and text[at - back - 1] in LOCAL:
+            back += 1
         domain = DOMAIN.match(text, at + 1) if back else None
         if domain:
             done = domain.end()
@@ -96,6 +101,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def other_identifiers(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Words with a digit, without the signs around them, that touch no known span."""
     found, done = [], 0
+    starts = [a for a, _, _ in known]
+    reach = list(accumulate((b for _, b, _ in known), max))  # where the spans up to this one end
     for m in DIGITS.finditer(text):
         if m.start() < done:
             continue
@@ -109,29 +116,38 @@ def other_identifiers(text: str, known: list[tuple[int, int, int]]) -> list[tupl
             a += 1
         while a < b and not text[b - 1].isalnum():
             b -= 1
-        if b - a >= SHORTEST and not any(x < b and a < y for x, y, _ in known):
+        before = bisect_left(starts, b)
+        if b - a >= SHORTEST and not (before and reach[before - 1] > a):
             found.append((a, b))
     return found
 
 
-def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of all texts, in lower case (A-Z), and the index of the text of each."""
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Values of all bytes, in lower case (A-Z); where tokens start and stop; where the texts end. A text begins at 1."""
     buffer = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
     white = WHITE[buffer]
     ends = (buffer == 61) | (buffer == 58)
     starts = np.flatnonzero(~white[1:] & (white[:-1] | ends[:-1])) + 1
     stops = np.flatnonzero(~white[:-1] & (white[1:] | ends[:-1])) + 1
     lower = buffer + np.where((buffer >= 65) & (buffer <= 90), 32, 0).astype(np.uint8)
-    bounds = np.cumsum([len(t) + 1 for t in texts])
-    hashes = _runs(_byte_values(BASES[0][0])[lower], starts, stops, BASES[0][1])
-    return hashes, np.searchsorted(bounds, starts - 1, "right")
+    return _byte_values(BASES[0][0])[lower], starts, stops, np.cumsum([len(t) + 1 for t in texts])
+
+
+def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of all texts, and the index of the text of each."""
+    values, starts, stops, bounds = _tokens(texts)
+    return _runs(values, starts, stops, BASES[0][1]), np.searchsorted(bounds, starts - 1, "right")
+
+
+def _both(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return _mix(before * np.uint64(0x9E3779B97F4A7C15) + last)
 
 
 def pattern_hashes(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each token as the word before: the pattern of it, that of it and its predecessor, whether it has one."""
     one = _mix(hashes)
     two = np.zeros_like(one)
-    two[1:] = _mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])
+    two[1:] = _both(hashes[:-1], hashes[1:])
     has = np.zeros(len(one), bool)
     has[1:] = text[1:] == text[:-1]
     return one, two, has
@@ -150,27 +166,43 @@ SCAN = T.StructType([T.StructField("base", T.ArrayType(SPAN)), T.StructField("me
 def _scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Base spans; and all identifiers (kind -1: found by no form) with their patterns."""
     for texts in batches:
-        base, met, before = [], [], []
+        base, met = [], []
         for text in texts:
             text = text or ""
             spans = base_spans(text)
             base.append([dict(zip(("start", "stop", "kind"), s)) for s in spans])
-            rows = []
+            rows, ends = [], []
             for a, b, kind in [*spans, *[(a, b, -1) for a, b in other_identifiers(text, spans)]]:
-                words = TOKEN.findall(text[max(0, a - CONTEXT) : a].rstrip("\"'([{<"))[-2:]
-                before.append(" ".join(words).encode("utf-8", "replace"))
                 rows.append({"start": a, "stop": b, "kind": kind, "value": text[a:b]})
+                while a and text[a - 1] in OPENING:
+                    a -= 1
+                ends.append(a)
+            for row, patterns in zip(rows, _patterns_before(text, ends)):
+                row["patterns"] = patterns
             met.append(rows)
-        hashes, owner = token_hashes(before) if before else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        one, two, has = pattern_hashes(hashes, owner)
-        last = np.flatnonzero(np.diff(owner, append=len(before) + 1))  # the word just before each identifier
-        patterns = {int(owner[i]): [one[i]] + [two[i]] * bool(has[i]) for i in last}
-        rows = [row for one_text in met for row in one_text]
-        for i, row in enumerate(rows):
-            row["patterns"] = np.array(patterns.get(i, []), np.uint64).view(np.int64)
         yield pd.DataFrame({"base": base, "met": met})
 
 
+def _patterns_before(text: str, ends: list[int]) -> list[np.ndarray]:
+    """The patterns of the last tokens before each place of a text; a token that goes on after it counts up to it."""
+    if not ends:
+        return []
+    data, at = text.encode("utf-8", "replace"), np.array(ends)
+    if len(data) > len(text):  # from characters to bytes
+        at = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80), len(data))[at]
+    at = at + 1
+    values, starts, stops, _ = _tokens([data])
+    last = np.searchsorted(starts, at) - 1
+    has_one, has_two = last >= 0, last >= 1
+    if not len(starts):
+        return [np.zeros(0, np.int64)] * len(ends)
+    last, first = np.maximum(last, 0), np.maximum(last - 1, 0)
+    one = _runs(values, starts[last], np.minimum(stops[last], at), BASES[0][1])
+    before = _runs(values, starts[first], stops[first], BASES[0][1])
+    both = np.stack((_mix(one), _both(before, one)), axis=1).view(np.int64)
+    return [both[i, : int(has_one[i]) + int(has_two[i])] for i in range(len(ends))]
+
+
 def _count_patterns(marks):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bitmap = np.zeros(1 << MARK_BITS, bool)
@@ -251,7 +283,8 @@ def added_spans(docs: DataFrame, found: DataFrame, *, text_col: str = "text") ->
 
 def _with_added(rows: DataFrame, added: DataFrame) -> DataFrame:
     added = cut(added.withColumnsRenamed({"doc_id": "a_doc", "text_hash": "a_hash"}))
-    small = F.broadcast(added) if added.count() <= BROADCAST_ROWS else added
+    n_spans = added.agg(F.sum(F.size("added"))).first()[0] or 0
+    small = F.broadcast(added) if n_spans <= BROADCAST_ROWS else added
     same = F.col("doc_id").eqNullSafe(F.col("a_doc")) & (F.col("text_hash") == F.col("a_hash"))
     return rows.join(small, same, "left").drop("a_doc", "a_hash")
 
