@@ -6,13 +6,15 @@ package, follow the ZIP64 locator if there is one, parse the central directory,
 range: nothing is extracted. Archive members without an index are walked record by record.
 
 Of pages with equal payloads the one with the smallest id is a response and the others revisit it; payloads of fewer
-bytes than a minimum are all responses. Payload groups are found by digest: only digests that occur twice are joined.
+bytes than a minimum are all responses. Payload groups are found by digest: only pages whose digest is marked as one
+that occurs twice are joined, the others don't leave their task.
 
 Packages go to the folder that driver and executors share; the list of packages is kept there too, so that each is
 written once; packages of failed attempts are not in the list.
 
 Defined results: a null html is an empty payload, a null url no target; rows that repeat an id give a record each,
-all responses if their id is the smallest of its payload; a null id counts as larger than all others.
+all responses if their id is the smallest of its payload; a null id counts as larger than all others; an empty table
+gives no package and no record; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +37,9 @@ from foliant.llm.common import cut, shared_dir, small_batches
 PACKAGE_BYTES = 32 << 20
 #: Records of so many bytes of a package are read by one task.
 RANGE_BYTES = 4 << 20
+MAX_TASKS = 100_000
+#: Repeated digests are marked in a bitmap of so many bits, through which all others pass without a shuffle.
+MARK_BITS = 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -207,8 +212,13 @@ def write_packages(
         .where((F.col("n") > 1) & (F.col("size") >= min_revisit_bytes))
         .select("sha", "first")
     )
+    twice = cut(twice)
+    mark = F.pmod(F.xxhash64("sha"), F.lit(1 << MARK_BITS))
+    marks = F.broadcast(twice.select(mark.alias("mark")).distinct())  # 2^MARK_BITS rows at most
+    once = rows.join(marks, mark == F.col("mark"), "left_anti").withColumn("first", F.lit(None).cast(rows.schema["page_id"].dataType))
+    marked = rows.join(marks, mark == F.col("mark"), "left_semi").join(twice, "sha", "left")
     refers_to = F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first"))
-    ready = rows.join(twice, "sha", "left").select(
+    ready = once.unionByName(marked).select(
         F.col("page_id").cast("string").alias("page_id"), "url", "payload", refers_to.cast("string").alias("refers_to")
     )
     return cut(ready.mapInPandas(_write(root), "path string, records long, bytes long"))
@@ -272,7 +282,15 @@ def list_records(packages: DataFrame) -> DataFrame:
 
 
 def read_records(packages: DataFrame) -> DataFrame:
-    """page_id (string), payload_bytes, payload_digest, record_type, refers_to (string), payload of each record."""
-    ranges = list_records(packages).repartition("path", F.expr(f"at div {RANGE_BYTES}"))
+    """page_id (string), payload_bytes, payload_digest, record_type, refers_to (string), payload of each record.
+
+    ``packages``: path, and bytes if known, which then decide on the number of tasks.
+    """
+    ranges = list_records(packages)
+    by = [F.col("path"), F.expr(f"at div {RANGE_BYTES}")]
+    if "bytes" in packages.columns:  # ranges are small rows that stand for many bytes
+        total = packages.agg(F.sum("bytes")).first()[0] or 0
+        by = [min(MAX_TASKS, max(1, total // RANGE_BYTES)), *by]
+    ranges = ranges.repartition(*by)
     fields = "payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary"
     return ranges.sortWithinPartitions("path", "at").mapInPandas(_read, f"page_id string, {fields}")
