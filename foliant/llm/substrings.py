@@ -6,9 +6,11 @@ Three passes over the texts, each a Spark job; between them only windows that ma
    it, so that the windows around one run of words share one count: two windows of equal words that start at different
    places hold their minimiser at different places, so a count is never below the number of places of any of its
    windows. Each task sketches its texts in parts of bounded size (two rows of counters, only those in use, which
-   stop at two); the parts meet by blocks of counters, and the counters that reach two make two bitmaps of at most
-   2 * 2^WIDTH_BITS bits (32 MB), which go to all tasks. A larger corpus makes more windows pass, never fewer.
-2. Windows whose minimiser is estimated repeated in both rows, under a 96-bit hash of their words. Within a part of
+   stop at two); the parts meet by blocks of counters, and the counters that reach two make two bitmaps, which go to all
+   tasks. The width follows the bytes of text, up to 2 * 2^MAX_BITS bits (256 MB), so that up to some 30 GB of text
+   few windows pass by chance; beyond, more do, never fewer.
+2. Windows whose minimiser is estimated repeated in both rows, under a 96-bit hash of their words, which stands for
+   the words: two different windows of n are taken for equal with a probability below n^2 / 2^97 (n = 10^12: 10^-5). Within a part of
    bounded size only the first of equal windows goes on and the others are known to be repeats, so that one frequent
    passage gives a window for each part and not for each document; the known repeats of a part go to their documents
    without a bucket. The windows to be compared meet in buckets of their minimiser, packed by part and bucket, and are
@@ -18,7 +20,8 @@ Three passes over the texts, each a Spark job; between them only windows that ma
 Defined results: a null or empty text has no words; documents of fewer words than a window lose nothing; rows that
 repeat a doc_id with other texts count as one document each, in no defined order among them; rows that repeat it with
 the same text are one document, and each gets what that keeps; a null id comes after all others, and rows without an
-id are a document each: of equal texts, one keeps what starts nowhere earlier.
+id are a document each: of equal texts, one keeps what starts nowhere earlier. An empty table gives an empty table;
+other columns are ignored. Ids are integers.
 """
 
 from __future__ import annotations
@@ -37,7 +40,10 @@ from foliant.llm.common import small_batches
 
 WINDOW = 20
 GRAM = 8
-WIDTH_BITS = 27
+#: A row of the sketch has at least COUNTERS counters for each minimiser expected, and 2^MAX_BITS at most.
+COUNTERS, MIN_BITS, MAX_BITS = 4, 16, 30
+#: Bytes of text for each minimiser: some six a word, seven words.
+BYTES_OF_MINIMISER = 42
 BLOCK_BITS = 16
 ROWS = 2
 #: Windows in a part: bounds the memory of a task.
@@ -229,7 +235,12 @@ def _merge(width_bits: int):
     return run
 
 
-def repeated_counters(docs: DataFrame, width_bits: int = WIDTH_BITS) -> DataFrame:
+def width_for(text_bytes: int) -> int:
+    """Bits of the place of a counter, for a corpus of so many bytes of text."""
+    return min(MAX_BITS, max(MIN_BITS, (COUNTERS * text_bytes // BYTES_OF_MINIMISER).bit_length()))
+
+
+def repeated_counters(docs: DataFrame, width_bits: int) -> DataFrame:
     """row, block, bits: the counters that reach two in the sketch of all texts. ``docs``: doc_id, text."""
     parts = docs.mapInPandas(_sketch(width_bits), "row int, block int, cells binary, twice binary")
     ordered = parts.repartition("row", "block").sortWithinPartitions("row", "block")
@@ -390,11 +401,13 @@ def _later(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from done()
 
 
-def repeats(docs: DataFrame, *, width_bits: int = WIDTH_BITS, docs_per_bucket: int = 2000) -> DataFrame:
+def repeats(docs: DataFrame, *, width_bits: int | None = None, docs_per_bucket: int = 2000) -> DataFrame:
     """doc_id, turn, starts: the windows of each document whose words start earlier. ``docs``: doc_id, text."""
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    width_bits = width_for(size["bytes"] or 0) if width_bits is None else width_bits
     bitmaps = {(r["row"], r["block"]): bytes(r["bits"]) for r in repeated_counters(docs, width_bits).collect()}
-    sent = docs.sparkSession.sparkContext.broadcast(bitmaps)  # two rows of 2^WIDTH_BITS bits at most
-    n_buckets = max(8, docs.count() // docs_per_bucket)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmaps)  # two rows of 2^MAX_BITS bits at most
+    n_buckets = max(8, size["n"] // docs_per_bucket)
     windows = docs.mapInPandas(_candidates(sent, width_bits, n_buckets), PACKED)
     ordered = windows.repartition("bucket").sortWithinPartitions("bucket")
     later = ordered.mapInPandas(_later, "doc_id long, turn long, starts array<int>")
@@ -427,7 +440,7 @@ def _drop_covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def remove_repeats(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width_bits: int = WIDTH_BITS
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width_bits: int | None = None
 ) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text (the kept words joined by one space)."""
     id_type = docs.schema[id_col].dataType.simpleString()
