@@ -8,11 +8,12 @@ Text is lower-cased; letters stay, each run of other characters is one space. It
 characters, many at once: each step looks up the next state of all segments in the automaton's transition table.
 
 Learned from at most ``sample_docs`` labelled documents of each language (those of the smallest hash of the id, spread
-over the corpus) and SAMPLE_CHARS of their characters; all texts are parsed whole.
+over the corpus) and SAMPLE_CHARS of their characters, shared evenly among them; all texts are parsed whole.
 
 Defined results: ``und`` with score 0 for a text that is null or has no letter, or if nothing was learned; otherwise
 the score is the second-best entropy over the sum of the two best (0.5: undecided), or 1 if one language is known.
-Equal entropies go to the first language by name. Repeated rows are repeated.
+Equal entropies go to the first language by name. Repeated rows are repeated; a null id stays null; an empty table
+gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -80,10 +81,20 @@ def suffix_automaton(codes: list[int], n_codes: int) -> np.ndarray:
     return table
 
 
+def shared_out(sizes: list[int], total: int) -> list[int]:
+    """What each of texts of those sizes may give: equal shares of the total; what short ones leave goes to the others."""
+    shares, left = [0] * len(sizes), total
+    for done, i in enumerate(sorted(range(len(sizes)), key=sizes.__getitem__)):
+        shares[i] = min(sizes[i], left // (len(sizes) - done))
+        left -= shares[i]
+    return shares
+
+
 def _learn(rows: pd.DataFrame) -> pd.DataFrame:
     """The automaton of one language; code 0 is the space, the others are its letters in order."""
-    texts = [plain(t) for t in rows.sort_values(["rank", "text"])["text"] if t]
-    text = " ".join(t for t in texts if t)[:SAMPLE_CHARS]
+    texts = [x for x in (plain(t) for t in rows.sort_values(["rank", "text"])["text"]) if x]
+    shares = shared_out([len(x) + 1 for x in texts], SAMPLE_CHARS)
+    text = " ".join([x[:n] for x, n in zip(texts, shares) if n])[:SAMPLE_CHARS]
     letters = "".join(sorted(set(text) - {" "}))
     code = {" ": 0} | {c: i + 1 for i, c in enumerate(letters)}
     table = suffix_automaton([code[c] for c in text], len(code))
