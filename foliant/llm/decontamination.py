@@ -14,7 +14,8 @@ is five deviations away.
 
 Defined results: null or empty texts and items match nothing; an item of fewer than five words is one shingle;
 items with equal words are matched once and reported each; repeated documents give one row; a null id is reported as
-null. Only built-in functions are used.
+null; an empty table of documents or items gives no leak; other columns are ignored, ``without_leaks`` keeps them.
+Only built-in functions are used.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.text import unused
 from foliant.llm.common import cut, let
 
 SHINGLE = 5
@@ -94,9 +96,10 @@ def _with_blocks(df: DataFrame, radius: int) -> DataFrame:
     return df.withColumn("b", F.explode(F.array(*blocks))).select("*", "b.*").drop("b")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """For a table in the shared folder: broadcast if it is checked to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, weight: Column | None = None) -> DataFrame:
+    """For a table in the shared folder: broadcast if its rows, or the numbers in their lists, are checked to be few."""
+    weight = F.lit(1) if weight is None else weight
+    return F.broadcast(df) if (df.agg(F.sum(weight)).first()[0] or 0) <= BROADCAST_ROWS else df
 
 
 def _overlap(a: Column, b: Column) -> Column:
@@ -179,7 +182,7 @@ def _leaks_of_size(corpus: DataFrame, items: DataFrame, k: int, threshold: float
     per_doc = corpus.select("doc_id", "text_hash", shingle_hashes(F.col("words"), k).alias("hashes"))
     hits = (
         per_doc.select("doc_id", "text_hash", F.size("hashes").alias("m"), F.posexplode("hashes").alias("at", "h"))
-        .join(_small(owners), "h")
+        .join(_small(owners, F.size("of")), "h")
         .select("doc_id", "text_hash", "m", "at", F.explode("of").alias("o"))
         .select("doc_id", "text_hash", "m", "at", "o.*")
         .groupBy("doc_id", "text_hash", "item", "n")
@@ -224,7 +227,8 @@ def _leaks_of_size(corpus: DataFrame, items: DataFrame, k: int, threshold: float
         .groupBy("doc_id", "text_hash")
         .agg(F.collect_list(F.struct("n", "starts")).alias("windows"))
     )
-    wanted = _small(starts.withColumnsRenamed({"doc_id": "w_doc", "text_hash": "w_hash"}))
+    numbers = F.aggregate("windows", F.lit(0), lambda total, w: total + F.size(w["starts"]))
+    wanted = _small(starts.withColumnsRenamed({"doc_id": "w_doc", "text_hash": "w_hash"}), numbers)
     windows = (
         corpus.join(
             wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("text_hash") == F.col("w_hash")), "inner"
@@ -264,8 +268,9 @@ def _leaks_of_size(corpus: DataFrame, items: DataFrame, k: int, threshold: float
 def without_leaks(
     docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The documents that hold no item."""
+    """The documents that hold no item, with all their columns."""
     found = leaks(docs, items, id_col=id_col, text_col=text_col).select("doc_id", "text_hash").distinct()
-    found = found.withColumnsRenamed({"doc_id": "leak_doc", "text_hash": "leak_hash"})
-    same = docs[id_col].eqNullSafe(F.col("leak_doc")) & (F.xxhash64(docs[text_col]) == F.col("leak_hash"))
+    doc, text_hash = unused("leak_doc", docs), unused("leak_hash", docs)
+    found = found.withColumnsRenamed({"doc_id": doc, "text_hash": text_hash})
+    same = docs[id_col].eqNullSafe(F.col(doc)) & (F.xxhash64(docs[text_col]) == F.col(text_hash))
     return docs.join(_small(cut(found)), same, "left_anti")

@@ -17,7 +17,8 @@ That is ``near_duplicates``. ``representatives``, for the pipeline, takes anothe
 similarity of their sets of five-word shingles, among candidates that share a band of minima of shingle hashes.
 
 Defined results: a null text is an empty text; texts without words have fingerprint zero and are linked like any
-other; rows that repeat a doc_id give repeated rows; null ids count as larger than all others and are returned.
+other; rows that repeat a doc_id give repeated rows; null ids count as larger than all others and are returned; ids
+may be numbers or text; an empty table gives an empty table; ``representatives`` keeps the other columns.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from foliant.functions.text import unused
 from foliant.llm.common import cut, small_batches
 
 SHINGLE = 3
@@ -130,17 +132,17 @@ def components(pairs: DataFrame) -> DataFrame:
     """node, label: the smallest node that it reaches, for each node of the pairs (a, b)."""
     edges = cut(pairs.union(pairs.select("b", "a")).toDF("u", "v"))
     labels = cut(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("label")))
-    before = None
-    while True:
-        total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)")).alias("s")).first()["s"]
-        if total == before:
-            return labels.select(F.col("u").alias("node"), "label")
-        before = total
+    changed = labels.limit(1).count()
+    while changed:
         of_v = labels.select(F.col("u").alias("v"), "label")
         low = edges.join(of_v, "v").groupBy("u").agg(F.min("label").alias("m"))
-        near = labels.join(low, "u").select("u", F.least("label", "m").alias("label"))
+        near = labels.join(low, "u").select("u", F.least("label", "m").alias("label"), F.col("label").alias("was"))
         jump = labels.select(F.col("u").alias("label"), F.col("label").alias("next"))
-        labels = cut(near.join(jump, "label").select("u", F.least("label", "next").alias("label")))
+        found = near.join(jump, "label").select("u", F.least("label", "next").alias("label"), "was")
+        labels = cut(found.select("u", "label", (F.col("label") != F.col("was")).alias("new")))
+        changed = labels.where("new").limit(1).count()
+        labels = labels.drop("new")
+    return labels.select(F.col("u").alias("node"), "label")
 
 
 def near_duplicates(
@@ -256,9 +258,9 @@ def representatives(
     known = docs.where(F.col(id_col).isNotNull())
     classes = cut(similar(known, id_col=id_col, text_col=text_col, threshold=threshold))
     best = classes.groupBy("component").agg(F.min(F.struct("doc_id", "t")).alias("best"))
-    stay = best.select(F.col("best.doc_id").alias("stay_id"), F.col("best.t").alias("stay_t"))
-    ids = stay.select(F.col("stay_id").alias(id_col)).distinct()
-    rows = small_batches(known.join(ids, id_col, "left_semi")).withColumn("stay_t", _named(F.col(text_col)))
-    rows = rows.join(stay.withColumnRenamed("stay_id", id_col), [id_col, "stay_t"], "left_semi")
-    kept = rows.dropDuplicates([id_col, "stay_t"]).select(*docs.columns)
+    t = unused("t", docs)
+    stay = best.select(F.col("best.doc_id").alias(id_col), F.col("best.t").alias(t))
+    rows = small_batches(known.join(stay.select(id_col).distinct(), id_col, "left_semi"))
+    rows = rows.withColumn(t, _named(F.col(text_col))).join(stay, [id_col, t], "left_semi")
+    kept = rows.dropDuplicates([id_col, t]).select(*docs.columns)
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

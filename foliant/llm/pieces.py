@@ -18,7 +18,8 @@ block. Its lists are dealt once by bucket: there their distinct units are encode
 as ids. The block's texts, which aren't shuffled, are then written as ids.
 
 Defined results: a null text or one without words has no ids; decoding gives the words joined by one space; repeated
-rows are encoded each; unknown ids decode to nothing.
+rows are encoded each; a null id stays null; unknown ids decode to nothing; an empty table gives an empty table;
+other columns are ignored.
 """
 
 from __future__ import annotations
