@@ -25,6 +25,7 @@ from foliant.llm.common import cut, let, words_of
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
+SAMPLE_TASKS = 4
 
 
 def word_chars(words: Column) -> Column:
@@ -164,13 +165,14 @@ def estimate_rules(
 ) -> list[Estimate]:
     """Cost and rejected share of each rule on a bounded sample of rows. The sample decides only the order of rules.
 
-    The sample are the rows of the smallest hashes, from all over the table. A rule is timed over ``repeats`` times the
+    The sample are the rows of the smallest hashes, from all over the table: as many as ``sample_rows``, give or take
+    the chance of a draw, as a row is taken by its hash alone. A rule is timed over ``repeats`` times the
     sample, twice, less the time of a rule that asks for nothing; what it costs for a row is rounded to a power of four
     microseconds, so that the same table gives the same order.
     """
-    rank = F.xxhash64(F.col(id_col), F.col(text_col)).alias("rank")
-    rows = docs.select(F.col(text_col).alias("text"), rank).orderBy("rank").limit(sample_rows)
-    sample = cut(_texts(rows, "text"))
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    below = F.xxhash64(F.col(id_col), F.col(text_col)) <= int(share * 2**64) - 2**63 - 1
+    sample = cut(_texts(docs.where(below), text_col).repartition(SAMPLE_TASKS))
     many = sample.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     n = max(1, repeats * sample.count())
 
