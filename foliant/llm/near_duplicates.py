@@ -195,14 +195,30 @@ def _shingled(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([shingles((t or "").encode()).view(np.int64) for t in batch])
 
 
-def _verified(pairs: DataFrame, named: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose shingles are similar. ``named``: t, text. Only texts of pairs are cut into shingles."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
-    texts = small_batches(named.join(wanted, "t", "left_semi").groupBy("t").agg(F.first("text").alias("text")))
-    sets = cut(texts.select("t", _shingled("text").alias("s")))
+def _similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the similarity of their sets of shingles. ``sets``: t, s."""
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared >= threshold * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b")
+    return both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity"))
+
+
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """t, n, own: the number of shingles of each text, and of those that no other text has."""
+    hashes = sets.select("t", F.explode("s").alias("h")).groupBy("h")
+    single = hashes.agg(F.min("t").alias("t"), F.count(F.lit(1)).alias("c")).where("c = 1")
+    own = single.groupBy("t").agg(F.count(F.lit(1)).alias("own"))
+    return sets.select("t", F.size("s").alias("n")).join(own, "t", "left").fillna(0, ["own"])
+
+
+def _may_be_similar(threshold: float) -> Column:
+    """Of texts l and r of a band: whether their similarity can reach the threshold, from what is known of each alone.
+
+    They share no shingle that only one of them has; and as the distance of sets (1 - similarity) obeys the triangle
+    inequality, their distances to the first text of the band can't be far apart.
+    """
+    shared = F.least(F.col("l.n") - F.col("l.own"), F.col("r.n") - F.col("r.own"))
+    enough = shared >= threshold * (F.col("l.n") + F.col("r.n") - shared) - 1e-9
+    return enough & (F.abs(F.col("l.away") - F.col("r.away")) <= 1 - threshold + 1e-9)
 
 
 def similar(
@@ -213,29 +229,50 @@ def similar(
     Texts that share one of BANDS bands are candidates: at a similarity of 0.8 a pair shares none with a probability
     of (1 - 0.8^3)^32 = 1e-10. Each text meets the smallest of its band first; a band whose texts are then all
     connected needs no more pairs, so that a large group of near copies gives a few pairs for each text. In other bands
-    all texts of different components meet.
+    all texts of different components meet that may be similar by what is known of each alone, each pair in the first
+    band that it shares.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = cut(small_batches(named).select("doc_id", _banded("text").alias("f")).select("doc_id", "f.*"))
     # The texts again, for those of pairs: t is the hash of the words, as _banded names them.
     texts = small_batches(named).select(_named("text").alias("t"), "text")
-    keyed = found.groupBy("t").agg(F.first("bands").alias("bands")).select("t", F.explode("bands").alias("k"))
+    banded = found.groupBy("t").agg(F.first("bands").alias("bands"))
+    keyed = banded.select("t", F.explode("bands").alias("k"))
     shared = keyed.groupBy("k").agg(F.min("t").alias("a"), F.max("t").alias("z")).where("a < z").select("k", "a")
     members = cut(keyed.join(shared, "k"))
-    stars = cut(members.where("a < t").select("a", F.col("t").alias("b")).distinct())
-    near = cut(_verified(stars, texts, threshold))
+    met = members.select("t").distinct()
+    plain = texts.join(met, "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
+    sets = cut(small_batches(plain).select("t", _shingled("text").alias("s")))
+    stars = members.where("a < t").select("a", F.col("t").alias("b")).distinct()
+    stars = cut(_similarity(stars, sets))
+    near = stars.where(F.col("similarity") >= threshold - 1e-9).select("a", "b")
     labels = components(near)
-    placed = members.join(labels.withColumnRenamed("node", "t"), "t", "left").select(
-        "k", "t", F.coalesce("label", "t").alias("label")
+    away = stars.select("a", F.col("b").alias("t"), (1 - F.col("similarity")).alias("away"))
+    placed = (
+        members.join(labels.withColumnRenamed("node", "t"), "t", "left")
+        .join(away, ["a", "t"], "left")
+        .select("k", "t", F.coalesce("label", "t").alias("label"), F.coalesce("away", F.lit(0.0)).alias("away"))
     )
     placed = cut(placed)
     mixed = placed.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    apart = placed.join(mixed.select("k"), "k")
+    apart = cut(placed.join(mixed.select("k"), "k"))
+    ones = apart.select("t").distinct()
+    about = _own_shingles(sets.join(ones, "t", "left_semi")).join(banded, "t")
+    able = F.col("n") - F.col("own") >= threshold * F.col("n") - 1e-9  # else no text can be similar
+    apart = cut(apart.join(cut(about.where(able)), "t"))
     left, right = apart.alias("l"), apart.alias("r")
-    rest = left.join(right, (F.col("l.k") == F.col("r.k")) & (F.col("l.t") < F.col("r.t")) & (F.col("l.label") != F.col("r.label")))
-    rest = rest.select(F.col("l.t").alias("a"), F.col("r.t").alias("b")).distinct()
-    rest = cut(rest.join(stars, ["a", "b"], "left_anti"))
-    whole = components(near.union(_verified(rest, texts, threshold)))
+    first = F.element_at("l.bands", F.array_position(F.zip_with("l.bands", "r.bands", lambda x, y: x == y), True).cast("int"))
+    rest = left.join(
+        right,
+        (F.col("l.k") == F.col("r.k"))
+        & (F.col("l.t") < F.col("r.t"))
+        & (F.col("l.label") != F.col("r.label"))
+        & _may_be_similar(threshold)
+        & (first == F.col("l.k")),
+    )
+    rest = cut(rest.select(F.col("l.t").alias("a"), F.col("r.t").alias("b")))
+    more = _similarity(rest, sets).where(F.col("similarity") >= threshold - 1e-9).select("a", "b")
+    whole = components(near.union(more))
     return found.join(whole.withColumnRenamed("node", "t"), "t", "left").select(
         "doc_id", "t", F.coalesce("label", "t").alias("component")
     )
