@@ -24,6 +24,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import math
 import re
@@ -220,6 +222,15 @@ def _stops(sizes: np.ndarray, n: list[int]) -> np.ndarray:
 PACKED = "block long, bucket int, units string, ids array<string>, n_units array<int>, n_words array<long>, packed binary, rarity binary"
 
 
+def _give_back() -> None:
+    """Memory that a task no longer uses goes back to the system, as Python workers live on for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def _pack(n_buckets: int, cuts: str):
     """For each block: rows of its texts (bucket null) and one row for each bucket of its units.
 
@@ -274,6 +285,8 @@ def _pack(n_buckets: int, cuts: str):
                     number = defaultdict(count().__next__)
         if ids:
             yield from block()
+        del number, ids, stream
+        _give_back()
 
     return run
 
@@ -346,6 +359,7 @@ def _unpack(_, texts: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
     as_listed = np.argsort(_unsqueeze(rarity.iloc[0], np.uint8), kind="stable") if len(rarity) else np.zeros(0, np.int64)
     begins = (np.cumsum(sizes) - sizes)[as_listed]
     sizes = sizes[as_listed]
+    _give_back()
     out = [pd.DataFrame({"doc_id": [], "n_words": [], "ids": []})]
     for keys, n_units, n_words, packed in zip(texts["ids"], texts["n_units"], texts["n_words"], texts["packed"]):
         size, flat = _expanded(_unsqueeze(packed, np.uint32).astype(np.int64), begins, sizes, ids)
@@ -360,7 +374,7 @@ def encode(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    docs_per_bucket: int = 1000,
+    docs_per_bucket: int = 500,
 ) -> DataFrame:
     """One row per document: doc_id, n_words, ids. The number of buckets follows that of documents.
 
