@@ -376,14 +376,19 @@ def similar_by_brute_force(texts):
         return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
     sets = {d: runs(t) for d, t in texts.items()}
+    def similar(a, b):
+        small, large = sorted((len(sets[a]), len(sets[b])))
+        return small >= 0.8 * large and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+
+    links = [(a, b) for a in sets for b in sets if b < a and similar(a, b)]
     label = {d: d for d in texts}
     changed = True
     while changed:
         changed = False
-        for a in sets:
-            for b in sets:
-                if label[b] < label[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                    label[a], changed = label[b], True
+        for a, b in links:
+            low = min(label[a], label[b])
+            changed = changed or label[a] != low or label[b] != low
+            label[a] = label[b] = low
     return label
 
 
