@@ -48,6 +48,8 @@ BLOCK_BITS = 16
 ROWS = 2
 #: Windows in a part: bounds the memory of a task.
 PART = 2_000_000
+#: Repeats that a task gathers from its buckets before it gives them to their documents.
+HELD = 500_000
 #: Bytes of text that are hashed at a time, if no single text is longer.
 CHUNK = 1 << 20
 #: Stands for a null id between the steps.
@@ -376,8 +378,13 @@ def _turn(text: bytes) -> int:
 
 
 def _later(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in order of buckets: the starts of repeats by document. Known repeats go on as they come."""
+    """Rows in order of buckets: the starts of repeats by document. Known repeats go on as they come; those of buckets
+    are gathered, HELD at least, as a document's repeats lie in several buckets of a task."""
     now, held = None, []
+    found, n = [], 0
+
+    def joined(parts: list[Windows]) -> Windows:
+        return Windows(*[np.concatenate(x) for x in zip(*parts)])
 
     def starts_of(rows: Windows) -> Iterator[pd.DataFrame]:
         rows, begins = rows.by_document()
@@ -385,20 +392,24 @@ def _later(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             starts = [x.astype(np.int32) for x in np.split(rows.start, begins[1:])]
             yield pd.DataFrame({"doc_id": rows.doc[begins], "turn": rows.turn[begins], "starts": starts})
 
-    def done() -> Iterator[pd.DataFrame]:
-        if held:
-            yield from starts_of(Windows(*[np.concatenate(x) for x in zip(*held)]).later()[1])
-
     for batch in batches:
         for bucket, *packed in batch.itertuples(index=False):
             if packed[-1] is None:
                 yield from starts_of(Windows.unpacked(*packed))
                 continue
             if bucket != now:
-                yield from done()
+                if held:
+                    found.append(joined(held).later()[1])
+                    n += len(found[-1].doc)
+                if n >= HELD:
+                    yield from starts_of(joined(found))
+                    found, n = [], 0
                 now, held = bucket, []
             held.append(Windows.unpacked(*packed))
-    yield from done()
+    if held:
+        found.append(joined(held).later()[1])
+    if found:
+        yield from starts_of(joined(found))
 
 
 def repeats(docs: DataFrame, *, width_bits: int | None = None, docs_per_bucket: int = 2000) -> DataFrame:
