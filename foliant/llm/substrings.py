@@ -15,7 +15,8 @@ Three passes over the texts, each a Spark job; between them only windows that ma
    passage gives a window for each part and not for each document; the known repeats of a part go to their documents
    without a bucket. The windows to be compared meet in buckets of their minimiser, packed by part and bucket, and are
    put in order of (hash, document, start): the first starts the passage and all others are repeats. No window is left out. The number of buckets follows that of documents.
-3. Each document, its text compressed, meets the starts of its repeats and drops the words that they cover.
+3. Each document, its text compressed, meets its repeats as runs of consecutive starts and drops the words that they
+   cover.
 
 Defined results: a null or empty text has no words; documents of fewer words than a window lose nothing; rows that
 repeat a doc_id with other texts count as one document each, in no defined order among them; rows that repeat it with
@@ -48,8 +49,6 @@ BLOCK_BITS = 16
 ROWS = 2
 #: Windows in a part: bounds the memory of a task.
 PART = 2_000_000
-#: Repeats that a task gathers from its buckets before it gives them to their documents.
-HELD = 500_000
 #: Bytes of text that are hashed at a time, if no single text is longer.
 CHUNK = 1 << 20
 #: Stands for a null id between the steps.
@@ -285,6 +284,17 @@ class Windows(NamedTuple):
         new = (np.diff(rows.doc) != 0) | (np.diff(rows.turn) != 0)
         return rows, np.concatenate(([0], np.flatnonzero(new) + 1)) if len(rows.doc) else np.zeros(0, np.int64)
 
+    def runs(self) -> pd.DataFrame:
+        """A row for each run of consecutive starts of a document: its first and its last start."""
+        rows, begins = self.by_document()
+        new = np.diff(rows.start, prepend=0) > 1
+        new[begins] = True
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(new)) - 1 if len(first) else first
+        return pd.DataFrame(
+            {"doc_id": rows.doc[first], "turn": rows.turn[first], "first": rows.start[first], "last": rows.start[last]}
+        )
+
     def packed(self, bucket: int, known: bool) -> dict:
         """One row; of windows known to be repeats the hashes aren't needed."""
         rows, begins = self.by_document()
@@ -378,42 +388,29 @@ def _turn(text: bytes) -> int:
 
 
 def _later(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in order of buckets: the starts of repeats by document. Known repeats go on as they come; those of buckets
-    are gathered, HELD at least, as a document's repeats lie in several buckets of a task."""
+    """Rows in order of buckets: the repeats of each document as runs of starts. Known repeats go on as they come."""
     now, held = None, []
-    found, n = [], 0
 
-    def joined(parts: list[Windows]) -> Windows:
-        return Windows(*[np.concatenate(x) for x in zip(*parts)])
-
-    def starts_of(rows: Windows) -> Iterator[pd.DataFrame]:
-        rows, begins = rows.by_document()
-        if len(begins):
-            starts = [x.astype(np.int32) for x in np.split(rows.start, begins[1:])]
-            yield pd.DataFrame({"doc_id": rows.doc[begins], "turn": rows.turn[begins], "starts": starts})
+    def done() -> Iterator[pd.DataFrame]:
+        if held:
+            yield Windows(*[np.concatenate(x) for x in zip(*held)]).later()[1].runs()
 
     for batch in batches:
         for bucket, *packed in batch.itertuples(index=False):
             if packed[-1] is None:
-                yield from starts_of(Windows.unpacked(*packed))
+                yield Windows.unpacked(*packed).runs()
                 continue
             if bucket != now:
-                if held:
-                    found.append(joined(held).later()[1])
-                    n += len(found[-1].doc)
-                if n >= HELD:
-                    yield from starts_of(joined(found))
-                    found, n = [], 0
+                yield from done()
                 now, held = bucket, []
             held.append(Windows.unpacked(*packed))
-    if held:
-        found.append(joined(held).later()[1])
-    if found:
-        yield from starts_of(joined(found))
+    yield from done()
 
 
 def repeats(docs: DataFrame, *, width_bits: int | None = None, docs_per_bucket: int = 2000) -> DataFrame:
-    """doc_id, turn, starts: the windows of each document whose words start earlier. ``docs``: doc_id, text."""
+    """The windows of each document whose words start earlier, as runs of starts: doc_id, turn, firsts, lasts (of the
+    runs, in any order). A run ends where its minimiser does at the latest, so their number follows that of the repeated
+    words, whatever the number of tasks and buckets. ``docs``: doc_id, text."""
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     width_bits = width_for(size["bytes"] or 0) if width_bits is None else width_bits
     bitmaps = {(r["row"], r["block"]): bytes(r["bits"]) for r in repeated_counters(docs, width_bits).collect()}
@@ -421,27 +418,29 @@ def repeats(docs: DataFrame, *, width_bits: int | None = None, docs_per_bucket:
     n_buckets = max(8, size["n"] // docs_per_bucket)
     windows = docs.mapInPandas(_candidates(sent, width_bits, n_buckets), PACKED)
     ordered = windows.repartition("bucket").sortWithinPartitions("bucket")
-    later = ordered.mapInPandas(_later, "doc_id long, turn long, starts array<int>")
-    return later.groupBy("doc_id", "turn").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    later = ordered.mapInPandas(_later, "doc_id long, turn long, first int, last int")
+    return later.groupBy("doc_id", "turn").agg(
+        F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts")
+    )
 
 
 def _drop_covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         n_words, n_removed, kept = [], [], []
-        for packed, starts, copy in zip(batch["packed"], batch["starts"], batch["copy"]):
+        for packed, firsts, lasts, copy in zip(batch["packed"], batch["firsts"], batch["lasts"], batch["copy"]):
             words = zlib.decompress(packed).split()
             n_words.append(len(words))
             if copy > 1 and len(words) >= WINDOW:
                 n_removed.append(len(words))
                 kept.append("")
                 continue
-            if starts is None or not len(starts):
+            if firsts is None or not len(firsts):
                 n_removed.append(0)
                 kept.append(b" ".join(words).decode())
                 continue
             edges = np.zeros(len(words) + 1, np.int64)
-            np.add.at(edges, starts, 1)
-            np.add.at(edges, np.asarray(starts) + WINDOW, -1)
+            np.add.at(edges, firsts, 1)
+            np.add.at(edges, np.asarray(lasts) + WINDOW, -1)
             stay = np.flatnonzero(np.cumsum(edges[:-1]) == 0)
             n_removed.append(len(words) - len(stay))
             kept.append(b" ".join([words[i] for i in stay]).decode())
@@ -468,7 +467,7 @@ def remove_repeats(
     keyed = keyed.where(F.col("doc_id") != NO_ID).withColumn("copy", F.lit(1)).unionByName(unnamed)
     kept = (
         keyed.join(found, ["doc_id", "turn"], "left")
-        .select("doc_id", "packed", "starts", "copy")
+        .select("doc_id", "packed", "firsts", "lasts", "copy")
         .mapInPandas(_drop_covered, "doc_id long, n_words long, n_removed long, kept_text string")
     )
     return kept.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)).cast(id_type))

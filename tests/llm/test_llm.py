@@ -212,8 +212,8 @@ def test_known_repeats_of_a_hot_passage_meet_in_no_bucket():
     assert (known["bucket"] < 0).all() and known["sizes"].map(sum).sum() == 499 * 21
     compared = rows[~rows["hashes"].isna()]
     assert (compared["bucket"] >= 0).all() and compared["sizes"].map(sum).sum() == 21 + 500 * 2
-    starts = substrings.pd.concat(substrings._later(iter([rows.sort_values("bucket")])))
-    got = Counter((r.doc_id, s) for r in starts.itertuples() for s in r.starts)
+    runs = substrings.pd.concat(substrings._later(iter([rows.sort_values("bucket")])))
+    got = Counter((r.doc_id, s) for r in runs.itertuples() for s in range(r.first, r.last + 1))
     assert got == Counter((d, s) for d in range(1, 500) for s in range(1, 22))
 
 
