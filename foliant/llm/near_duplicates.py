@@ -45,6 +45,8 @@ LARGE_GROUP = 64
 SIMILAR_SHINGLE = 5
 SIMILAR = 0.8
 BANDS, BAND_ROWS = 32, 3
+#: Longs that hold the parities of a set of shingles, by which dissimilar pairs are told without their sets.
+PARITY_WORDS = 16
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
@@ -195,6 +197,15 @@ def _shingled(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([shingles((t or "").encode()).view(np.int64) for t in batch])
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def _parities(sets: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """64 * PARITY_WORDS bits: whether an odd number of the shingles falls on each."""
+    size = 64 * PARITY_WORDS
+    for batch in sets:
+        odd = [np.bincount(np.asarray(s, np.int64).view(np.uint64) % size, minlength=size) & 1 for s in batch]
+        yield pd.Series([np.packbits(x.astype(np.uint8)).view(np.int64) for x in odd])
+
+
 def _similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) with the similarity of their sets of shingles. ``sets``: t, s."""
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
@@ -203,22 +214,33 @@ def _similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _own_shingles(sets: DataFrame) -> DataFrame:
-    """t, n, own: the number of shingles of each text, and of those that no other text has."""
+    """t, n, odd, own: the number of shingles of each text, their parities, and the number that no other text has."""
     hashes = sets.select("t", F.explode("s").alias("h")).groupBy("h")
     single = hashes.agg(F.min("t").alias("t"), F.count(F.lit(1)).alias("c")).where("c = 1")
     own = single.groupBy("t").agg(F.count(F.lit(1)).alias("own"))
-    return sets.select("t", F.size("s").alias("n")).join(own, "t", "left").fillna(0, ["own"])
+    return sets.select("t", F.size("s").alias("n"), _parities("s").alias("odd")).join(own, "t", "left").fillna(0, ["own"])
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The rows of the bands (k) whose texts aren't all of one component (label)."""
+    several = placed.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return placed.join(several.select("k"), "k")
 
 
 def _may_be_similar(threshold: float) -> Column:
     """Of texts l and r of a band: whether their similarity can reach the threshold, from what is known of each alone.
 
     They share no shingle that only one of them has; and as the distance of sets (1 - similarity) obeys the triangle
-    inequality, their distances to the first text of the band can't be far apart.
+    inequality, their distances to the first text of the band can't be far apart, nor those to its centre. Each bit that
+    their parities differ in stands for a shingle at least that only one of them has.
     """
     shared = F.least(F.col("l.n") - F.col("l.own"), F.col("r.n") - F.col("r.own"))
     enough = shared >= threshold * (F.col("l.n") + F.col("r.n") - shared) - 1e-9
-    return enough & (F.abs(F.col("l.away") - F.col("r.away")) <= 1 - threshold + 1e-9)
+    for distance in ("away", "off"):
+        enough &= F.abs(F.col(f"l.{distance}") - F.col(f"r.{distance}")) <= 1 - threshold + 1e-9
+    differing = sum(F.bit_count(F.col("l.odd")[i].bitwiseXOR(F.col("r.odd")[i])) for i in range(PARITY_WORDS))
+    most = (1 - threshold) / (1 + threshold) * (F.col("l.n") + F.col("r.n"))
+    return enough & (differing <= most + 1e-6)
 
 
 def similar(
@@ -229,8 +251,9 @@ def similar(
     Texts that share one of BANDS bands are candidates: at a similarity of 0.8 a pair shares none with a probability
     of (1 - 0.8^3)^32 = 1e-10. Each text meets the smallest of its band first; a band whose texts are then all
     connected needs no more pairs, so that a large group of near copies gives a few pairs for each text. In other bands
-    all texts of different components meet that may be similar by what is known of each alone, each pair in the first
-    band that it shares.
+    each text then meets the centre, the text with the smallest share of shingles of its own; where several components
+    are left even so, all texts of different ones meet that may be similar by what is known of each alone, each pair in
+    the first band that it shares.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = cut(small_batches(named).select("doc_id", _banded("text").alias("f")).select("doc_id", "f.*"))
@@ -254,12 +277,21 @@ def similar(
         .select("k", "t", F.coalesce("label", "t").alias("label"), F.coalesce("away", F.lit(0.0)).alias("away"))
     )
     placed = cut(placed)
-    mixed = placed.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    apart = cut(placed.join(mixed.select("k"), "k"))
+    apart = cut(_mixed(placed))
     ones = apart.select("t").distinct()
     about = _own_shingles(sets.join(ones, "t", "left_semi")).join(banded, "t")
     able = F.col("n") - F.col("own") >= threshold * F.col("n") - 1e-9  # else no text can be similar
-    apart = cut(apart.join(cut(about.where(able)), "t"))
+    apart = cut(_mixed(apart.join(cut(about.where(able)), "t")))
+    # The first of a band is any text of it; one with few shingles of its own is similar to most that are similar to any.
+    centre = apart.groupBy("k").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "t")).alias("c"))
+    apart = cut(apart.join(centre.select("k", F.col("c.t").alias("c")), "k"))
+    spokes = cut(_similarity(apart.where("t != c").select(F.col("c").alias("a"), F.col("t").alias("b")).distinct(), sets))
+    near = cut(near.union(spokes.where(F.col("similarity") >= threshold - 1e-9).select("a", "b")))
+    labels = components(near).select(F.col("node").alias("t"), F.col("label").alias("now"))
+    turned = spokes.select(F.col("a").alias("c"), F.col("b").alias("t"), (1 - F.col("similarity")).alias("off"))
+    apart = apart.join(labels, "t", "left").join(turned, ["c", "t"], "left")
+    apart = apart.withColumn("label", F.coalesce("now", "t")).withColumn("off", F.coalesce("off", F.lit(0.0)))
+    apart = cut(_mixed(apart.drop("now", "c")))
     left, right = apart.alias("l"), apart.alias("r")
     first = F.element_at("l.bands", F.array_position(F.zip_with("l.bands", "r.bands", lambda x, y: x == y), True).cast("int"))
     rest = left.join(
