@@ -71,7 +71,32 @@ LEAKS = f"""WITH items AS (SELECT item_id, ws, len(ws) AS n, least(len(ws), {SHI
     SELECT doc_id, item_id, max(x / (2 * m - x)) AS similarity, arg_min(start, (-x / (2 * m - x), start)) - 1 AS start_word
         FROM shared WHERE x / (2 * m - x) >= {THRESHOLD} GROUP BY 1, 2"""
 
+
+
+def _rounds(rounds: int = 3) -> str:
+    """Assignments a0, a1, ... of the vectors v to the centroids c0, c1, ...: one of each for a round, and a last one."""
+    parts = []
+    for i in range(rounds + 1):
+        parts.append(f"""d{i} AS (SELECT v.n, v.x, c.j, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d
+        FROM v, c{i} c), a{i} AS MATERIALIZED (SELECT n, any_value(x) AS x, arg_min(j, (d, j)) AS j, min(d) AS d FROM d{i} GROUP BY n)""")
+        if i < rounds:
+            parts.append(f"""s{i} AS (SELECT j, i, sum(y)::HUGEINT AS s, count(*) AS m FROM (SELECT j, unnest(x) AS y,
+        generate_subscripts(x, 1) AS i FROM a{i}) GROUP BY 1, 2), m{i} AS (SELECT j, list(((s - ((s % m) + m) % m) // m)::BIGINT ORDER BY i) AS x
+        FROM s{i} GROUP BY 1), c{i + 1} AS MATERIALIZED (SELECT j, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN m{i} m USING (j))""")
+    return ",\n    ".join(parts)
+
+
+CENTROIDS = f"""WITH kept AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64
+        AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+    v AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x FROM kept),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS j, x FROM (SELECT sha256('1:' || vec_id) AS h, x FROM v ORDER BY h, x LIMIT 16)),
+    {_rounds()}
+    SELECT vec_id, a3.j::INTEGER AS cluster, a3.d::BIGINT AS distance, (sum(a3.d) OVER (PARTITION BY a3.j))::BIGINT AS cluster_inertia,
+        (sum(a3.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c3.x, ',')) AS centroid_sha256
+    FROM a3 JOIN v USING (n) JOIN c3 ON a3.j = c3.j"""
+
 ORACLE_SQL = {
+    "op13_centroids": CENTROIDS,
     "op3_substring_dedup": REPEATS,
     "op5_warc": RECORDS,
     "op7_quality_rules": RULES,
