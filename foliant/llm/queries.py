@@ -18,6 +18,7 @@ from foliant.llm import (
     quality_model,
     quality_rules,
     substrings,
+    toxicity,
     warc,
 )
 from foliant.llm.common import table
@@ -102,6 +103,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "similarity", F.col("start_word").cast("long").alias("start_word"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = language_id.held_out(mod=4, of=2)
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("toxic").alias("label"))
+    found = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), labels)
+    predicted = (F.col("score") >= 0.3).cast("int")
+    return found.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.with_inertia(*centroids.clusters(table(spark, sf_dir, "embeddings")))
 
@@ -119,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_model,
         op9_pieces,
         op10_decontamination,
+        op12_toxicity,
         op13_centroids,
     )
 }
