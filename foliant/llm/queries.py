@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import (
+    alignment,
     centroids,
     decontamination,
     html_text,
@@ -23,7 +24,7 @@ from foliant.llm import (
 )
 from foliant.llm.common import table
 from foliant.llm.oracle import ORACLE_SQL
-from foliant.llm.stages import PIECE_MODEL
+from foliant.llm.stages import BYTE_MODEL, PIECE_MODEL
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +104,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "similarity", F.col("start_word").cast("long").alias("start_word"))
 
 
+def op11_alignment(
+    spark: SparkSession, sf_dir: str, byte_file: str = BYTE_MODEL, piece_file: str = PIECE_MODEL
+) -> DataFrame:
+    found = alignment.link_digests(table(spark, sf_dir, "documents"), byte_file=byte_file, piece_file=piece_file)
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = language_id.held_out(mod=4, of=2)
     labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("toxic").alias("label"))
@@ -128,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_model,
         op9_pieces,
         op10_decontamination,
+        op11_alignment,
         op12_toxicity,
         op13_centroids,
     )

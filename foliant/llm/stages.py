@@ -9,8 +9,9 @@ from foliant.functions.text import unused
 from foliant.llm import decontamination, near_duplicates, personal_data, pieces, quality_rules
 from foliant.llm.common import table
 
-#: A vocabulary file outside the repository; a parameter of what uses it.
+#: Vocabulary files outside the repository; parameters of what uses them.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
