@@ -42,7 +42,7 @@ DIMENSIONS = 8
 SIZES = (3, 4, 5)
 SPAN = 4
 TRAIN_ROWS = 6_000
-TRAIN_CHARS = 40_000_000
+TRAIN_CHARS = 16_000_000
 EPOCHS = 30
 #: Characters that are looked at together; a longer text is cut between words.
 PIECE = 1 << 20
@@ -130,6 +130,21 @@ def pieces_of(text: str | None) -> Iterator[str]:
         at = max(1, stop)
 
 
+def _in_pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """Texts, or pieces of them, about PIECE characters together, and the place of the text of each."""
+    places, pieces, size = [], [], 0
+    for i, text in enumerate(texts):
+        for piece in pieces_of(text):
+            places.append(i)
+            pieces.append(piece)
+            size += len(piece)
+            if size >= PIECE:
+                yield places, pieces
+                places, pieces, size = [], [], 0
+    if pieces:
+        yield places, pieces
+
+
 def passage_starts(n: int) -> np.ndarray:
     """Where the passages of a text of n words begin."""
     return np.minimum(np.arange(0, max(1, n), SPAN), max(0, n - SPAN))
@@ -156,25 +171,11 @@ class Scorer:
     def margin(self, texts: list[str | None]) -> np.ndarray:
         """The margin of the most toxic passage of each text."""
         numbers: list[list[np.ndarray]] = [[] for _ in texts]
-        held: list[tuple[int, str]] = []
-
-        def look():
-            words = Words.of([piece for _, piece in held])
-            parts = np.split(word_numbers(words, self.margins), np.searchsorted(words.text, range(1, len(held))))
-            for (i, _), part in zip(held, parts):
+        for places, pieces in _in_pieces(texts):
+            words = Words.of(pieces)
+            parts = np.split(word_numbers(words, self.margins), np.searchsorted(words.text, range(1, len(places))))
+            for i, part in zip(places, parts):
                 numbers[i].append(part)
-            held.clear()
-
-        size = 0
-        for i, text in enumerate(texts):
-            for piece in pieces_of(text):
-                held.append((i, piece))
-                size += len(piece)
-                if size >= PIECE:
-                    look()
-                    size = 0
-        if held:
-            look()
         return np.array([passage_means(np.concatenate(parts)).max() for parts in numbers]) + self.base
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
@@ -202,18 +203,28 @@ class Bags:
 
     @classmethod
     def of(cls, texts: list[str]) -> Bags:
-        found = Words.of([t.lower() for t in texts])
-        whole = found.whole()
-        _, first, number = np.unique(whole, return_index=True, return_inverse=True)
-        chosen = Words(found.codes, found.starts[first], found.stops[first], found.text[first])
-        sizes, parts = [np.ones(len(first), np.int64)], [_bucket(whole[first])]
-        for size in SIZES:
-            sizes.append(chosen.counts(size))
-            parts.append(chosen.runs(size)[_ranges(chosen.starts - 1, sizes[-1])].astype(np.int64))
-        word = np.concatenate([np.repeat(np.arange(len(first)), n) for n in sizes])
-        buckets = np.concatenate(parts)[np.argsort(word, kind="stable")]
-        ends = np.searchsorted(found.text, np.arange(len(texts)), "right")
-        return cls(number, ends, buckets, np.concatenate(([0], np.cumsum(sum(sizes)))))
+        hashes, counts, seen = [], np.zeros(len(texts), np.int64), np.zeros(0, np.uint64)
+        new, sizes, buckets = [], [], []
+        for places, pieces in _in_pieces(texts):
+            found = Words.of(pieces)
+            whole = found.whole()
+            hashes.append(whole)
+            np.add.at(counts, np.array(places)[found.text], 1)
+            distinct, first = np.unique(whole, return_index=True)
+            first = first[~np.isin(distinct, seen, assume_unique=True)]
+            seen = np.union1d(seen, distinct)
+            chosen = Words(found.codes, found.starts[first], found.stops[first], found.text[first])
+            n_runs = [chosen.counts(size) for size in SIZES]
+            runs = [chosen.runs(size)[_ranges(chosen.starts - 1, n)] for size, n in zip(SIZES, n_runs)]
+            word = np.concatenate([np.repeat(np.arange(len(first)), n) for n in (1, *n_runs)])
+            of_word = np.concatenate([_bucket(whole[first]), *runs]).astype(np.int32)
+            new.append(whole[first])
+            sizes.append(1 + sum(n_runs))
+            buckets.append(of_word[np.argsort(word, kind="stable")])
+        known = np.concatenate(new)
+        order = np.argsort(known)
+        words = order[np.searchsorted(known, np.concatenate(hashes), sorter=order)]
+        return cls(words, np.cumsum(counts), np.concatenate(buckets), np.concatenate(([0], np.cumsum(np.concatenate(sizes)))))
 
     def word_means(self, values: np.ndarray) -> np.ndarray:
         """Of each distinct word the mean of its buckets' values."""
