@@ -86,7 +86,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind) by start and kind."""
     found = [(a, b, 0) for a, b in _emails(text)]
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             found.append((*m.span(), 1))
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")

@@ -229,6 +229,12 @@ def base_by_brute_force(text):
     return sorted(found)
 
 
+def test_an_address_of_any_number_of_zeros():
+    zeros = "0" * 5000
+    text = f"{zeros}.1.2.3 and {zeros}1.{zeros}.2.255 but {zeros}256.1.1.1"
+    assert [(a, b, kind) for a, b, kind in personal_data.base_spans(text) if kind == 1] == [(0, 5006, 1), (5011, 5011 + 10_008, 1)]
+
+
 def test_base_spans(texts):
     rng = random.Random(6)
     samples = ["".join(rng.choice("ab1290.@_-+% ()é") for _ in range(60)) for _ in range(3000)]
