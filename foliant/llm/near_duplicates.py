@@ -31,7 +31,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from foliant.functions.text import unused
 from foliant.llm.common import cut, small_batches
@@ -181,14 +181,24 @@ def bands(hashes: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
     return mixed
 
 
-@F.pandas_udf(StructType([StructField("t", LongType()), StructField("bands", ArrayType(LongType()))]))
+def name_of(text: bytes) -> bytes:
+    """128 bits that stand for the words of a text: two different ones of n are taken for equal below n^2 / 2^129."""
+    return xxhash.xxh3_128_digest(b" ".join(text.lower().split()), SEED)
+
+
+@F.pandas_udf(StructType([StructField("name", BinaryType()), StructField("bands", ArrayType(LongType()))]))
 def _banded(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     multipliers = _multipliers()
     for batch in texts:
         plain = [(t or "").encode() for t in batch]
-        named = [xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED) for t in plain]
         found = [bands(shingles(t), multipliers).view(np.int64) for t in plain]
-        yield pd.DataFrame({"t": np.array(named, np.uint64).view(np.int64), "bands": found})
+        yield pd.DataFrame({"name": [*map(name_of, plain)], "bands": found})
+
+
+@F.pandas_udf(BinaryType())
+def _named(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in texts:
+        yield pd.Series([name_of((t or "").encode()) for t in batch])
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -206,115 +216,99 @@ def _parities(sets: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([np.packbits(x.astype(np.uint8)).view(np.int64) for x in odd])
 
 
-def _similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with the similarity of their sets of shingles. ``sets``: t, s."""
+def _similar_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets of shingles are similar. ``sets``: t, s."""
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity"))
-
-
-def _own_shingles(sets: DataFrame) -> DataFrame:
-    """t, n, odd, own: the number of shingles of each text, their parities, and the number that no other text has."""
-    hashes = sets.select("t", F.explode("s").alias("h")).groupBy("h")
-    single = hashes.agg(F.min("t").alias("t"), F.count(F.lit(1)).alias("c")).where("c = 1")
-    own = single.groupBy("t").agg(F.count(F.lit(1)).alias("own"))
-    return sets.select("t", F.size("s").alias("n"), _parities("s").alias("odd")).join(own, "t", "left").fillna(0, ["own"])
-
-
-def _mixed(placed: DataFrame) -> DataFrame:
-    """The rows of the bands (k) whose texts aren't all of one component (label)."""
-    several = placed.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    return placed.join(several.select("k"), "k")
+    similarity = shared / (F.size("sa") + F.size("sb") - shared)
+    return both.where(similarity >= threshold - 1e-9).select("a", "b")
 
 
-def _may_be_similar(threshold: float) -> Column:
-    """Of texts l and r of a band: whether their similarity can reach the threshold, from what is known of each alone.
+def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """h, at, n, own, t: of each set of n shingles (t, s), ``own`` of which no other has, the rarest others and their places.
 
-    They share no shingle that only one of them has; and as the distance of sets (1 - similarity) obeys the triangle
-    inequality, their distances to the first text of the band can't be far apart, nor those to its centre. Each bit that
-    their parities differ in stands for a shingle at least that only one of them has.
+    Shingles are in order of the number of texts that have them, those that one text has alone first. Sets at the
+    threshold share a shingle among their first n - threshold * n + 1: a set of which so many are its own is similar to
+    none.
     """
-    shared = F.least(F.col("l.n") - F.col("l.own"), F.col("r.n") - F.col("r.own"))
-    enough = shared >= threshold * (F.col("l.n") + F.col("r.n") - shared) - 1e-9
-    for distance in ("away", "off"):
-        enough &= F.abs(F.col(f"l.{distance}") - F.col(f"r.{distance}")) <= 1 - threshold + 1e-9
+    each = sets.select("t", F.size("s").alias("n"), F.explode("s").alias("h"))
+    often = each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = each.join(often, "h").groupBy("t", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s"))
+    own = F.col("n") - F.size("s")
+    first = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+    rare = F.slice("s", 1, F.greatest(F.lit(0), F.least(first - own, F.size("s"))))
+    listed = shared.select("t", "n", own.alias("own"), F.posexplode(rare).alias("at", "x"))
+    return listed.select(F.col("x.h").alias("h"), (F.col("at") + F.col("own")).alias("at"), "n", "own", "t")
+
+
+def _hub_pairs(listed: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b): of the texts that list a shingle, those of other components with the one that has the smallest share
+    of shingles of its own, which is similar to most that are similar to any. ``labels``: t, label."""
+    rows = listed.select("h", "t", (F.col("own") / F.col("n")).alias("share")).join(labels, "t")
+    hubs = rows.groupBy("h").agg(F.min(F.struct("share", "t", "label")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
+    met = rows.join(hubs.where("low < high").drop("low", "high"), "h").where("label <> hub.label")
+    return met.select(F.least("t", "hub.t").alias("a"), F.greatest("t", "hub.t").alias("b")).distinct()
+
+
+def _candidates(listed: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components that list a shingle and may be similar by sizes, places and parities.
+
+    ``listed`` is what ``_prefixes`` gives, ``labels`` (t, label, odd) the components so far and the parities. Of the
+    components that list a shingle, the one with most texts meets only the others, not itself. Each bit that parities
+    differ in stands for a shingle at least that only one of two texts has.
+    """
+    rows = cut(listed.join(labels, "t"))
+    sizes = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c"))
+    largest = sizes.groupBy("h").agg(F.max_by("label", F.struct("c", "label")).alias("largest"), F.count(F.lit(1)).alias("m"))
+    rows = cut(rows.join(largest.where("m > 1").drop("m"), "h"))
+    left, right = rows.where("label <> largest").alias("l"), rows.alias("r")
+    after = F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at"))  # shared ones from this one on
+    enough = after >= threshold / (1 + threshold) * (F.col("l.n") + F.col("r.n")) - 1e-6
     differing = sum(F.bit_count(F.col("l.odd")[i].bitwiseXOR(F.col("r.odd")[i])) for i in range(PARITY_WORDS))
-    most = (1 - threshold) / (1 + threshold) * (F.col("l.n") + F.col("r.n"))
-    return enough & (differing <= most + 1e-6)
+    enough &= differing <= (1 - threshold) / (1 + threshold) * (F.col("l.n") + F.col("r.n")) + 1e-6
+    once = (F.col("r.label") == F.col("r.largest")) | (F.col("l.t") < F.col("r.t"))
+    met = left.join(right, (F.col("l.h") == F.col("r.h")) & (F.col("l.label") != F.col("r.label")) & enough & once)
+    return met.select(F.least("l.t", "r.t").alias("a"), F.greatest("l.t", "r.t").alias("b")).distinct()
 
 
 def similar(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILAR
 ) -> DataFrame:
-    """doc_id, t, component: t names the words of a row; texts are linked at the threshold of shingle similarity.
+    """doc_id, name, component: name stands for the words of a row; texts are linked at the threshold of similarity.
 
     Texts that share one of BANDS bands are candidates: at a similarity of 0.8 a pair shares none with a probability
     of (1 - 0.8^3)^32 = 1e-10. Each text meets the smallest of its band first; a band whose texts are then all
-    connected needs no more pairs, so that a large group of near copies gives a few pairs for each text. In other bands
-    each text then meets the centre, the text with the smallest share of shingles of its own; where several components
-    are left even so, all texts of different ones meet that may be similar by what is known of each alone, each pair in
-    the first band that it shares.
+    connected needs no more pairs, so that a large group of near copies gives a few pairs for each text. The texts of
+    all other bands are joined through their rarest shingles: those that list one meet a hub first, and what is then
+    still apart is joined exactly (``_prefixes``, ``_hub_pairs``, ``_candidates``).
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = cut(small_batches(named).select("doc_id", _banded("text").alias("f")).select("doc_id", "f.*"))
-    # The texts again, for those of pairs: t is the hash of the words, as _banded names them.
-    texts = small_batches(named).select(_named("text").alias("t"), "text")
-    banded = found.groupBy("t").agg(F.first("bands").alias("bands"))
-    keyed = banded.select("t", F.explode("bands").alias("k"))
+    # Equal texts are one, under a number; the row with the smallest id gives its words.
+    once = found.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    once = cut(once.withColumn("t", F.monotonically_increasing_id()))
+    keyed = once.select("t", F.explode("bands").alias("k"))
     shared = keyed.groupBy("k").agg(F.min("t").alias("a"), F.max("t").alias("z")).where("a < z").select("k", "a")
     members = cut(keyed.join(shared, "k"))
-    met = members.select("t").distinct()
-    plain = texts.join(met, "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
+    met = once.select("doc_id", "name", "t").join(members.select("t").distinct(), "t")
+    rows = small_batches(named).withColumn("name", _named("text")).join(met, ["doc_id", "name"])
+    plain = rows.groupBy("doc_id", "name").agg(F.first("t").alias("t"), F.first("text").alias("text"))
     sets = cut(small_batches(plain).select("t", _shingled("text").alias("s")))
     stars = members.where("a < t").select("a", F.col("t").alias("b")).distinct()
-    stars = cut(_similarity(stars, sets))
-    near = stars.where(F.col("similarity") >= threshold - 1e-9).select("a", "b")
-    labels = components(near)
-    away = stars.select("a", F.col("b").alias("t"), (1 - F.col("similarity")).alias("away"))
-    placed = (
-        members.join(labels.withColumnRenamed("node", "t"), "t", "left")
-        .join(away, ["a", "t"], "left")
-        .select("k", "t", F.coalesce("label", "t").alias("label"), F.coalesce("away", F.lit(0.0)).alias("away"))
-    )
-    placed = cut(placed)
-    apart = cut(_mixed(placed))
-    ones = apart.select("t").distinct()
-    about = _own_shingles(sets.join(ones, "t", "left_semi")).join(banded, "t")
-    able = F.col("n") - F.col("own") >= threshold * F.col("n") - 1e-9  # else no text can be similar
-    apart = cut(_mixed(apart.join(cut(about.where(able)), "t")))
-    # The first of a band is any text of it; one with few shingles of its own is similar to most that are similar to any.
-    centre = apart.groupBy("k").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "t")).alias("c"))
-    apart = cut(apart.join(centre.select("k", F.col("c.t").alias("c")), "k"))
-    spokes = cut(_similarity(apart.where("t != c").select(F.col("c").alias("a"), F.col("t").alias("b")).distinct(), sets))
-    near = cut(near.union(spokes.where(F.col("similarity") >= threshold - 1e-9).select("a", "b")))
-    labels = components(near).select(F.col("node").alias("t"), F.col("label").alias("now"))
-    turned = spokes.select(F.col("a").alias("c"), F.col("b").alias("t"), (1 - F.col("similarity")).alias("off"))
-    apart = apart.join(labels, "t", "left").join(turned, ["c", "t"], "left")
-    apart = apart.withColumn("label", F.coalesce("now", "t")).withColumn("off", F.coalesce("off", F.lit(0.0)))
-    apart = cut(_mixed(apart.drop("now", "c")))
-    left, right = apart.alias("l"), apart.alias("r")
-    first = F.element_at("l.bands", F.array_position(F.zip_with("l.bands", "r.bands", lambda x, y: x == y), True).cast("int"))
-    rest = left.join(
-        right,
-        (F.col("l.k") == F.col("r.k"))
-        & (F.col("l.t") < F.col("r.t"))
-        & (F.col("l.label") != F.col("r.label"))
-        & _may_be_similar(threshold)
-        & (first == F.col("l.k")),
-    )
-    rest = cut(rest.select(F.col("l.t").alias("a"), F.col("r.t").alias("b")))
-    more = _similarity(rest, sets).where(F.col("similarity") >= threshold - 1e-9).select("a", "b")
-    whole = components(near.union(more))
-    return found.join(whole.withColumnRenamed("node", "t"), "t", "left").select(
-        "doc_id", "t", F.coalesce("label", "t").alias("component")
-    )
-
-
-@F.pandas_udf(LongType())
-def _named(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        found = [xxhash.xxh64_intdigest(b" ".join((t or "").encode().lower().split()), SEED) for t in batch]
-        yield pd.Series(np.array(found, np.uint64).view(np.int64))
+    near = cut(_similar_pairs(stars, sets, threshold))
+    labels = components(near).withColumnRenamed("node", "t")
+    placed = members.join(labels, "t", "left").select("k", "t", F.coalesce("label", "t").alias("label"))
+    mixed = placed.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    apart = cut(placed.join(mixed.select("k"), "k").select("t", "label").distinct())
+    theirs = cut(sets.join(apart.select("t"), "t", "left_semi").withColumn("odd", _parities("s")))
+    listed = cut(_prefixes(theirs, threshold))
+    near = cut(near.union(_similar_pairs(_hub_pairs(listed, apart), sets, threshold)))
+    labels = components(near).withColumnRenamed("node", "t")
+    labelled = theirs.select("t", "odd").join(labels, "t", "left").withColumn("label", F.coalesce("label", "t"))
+    more = _similar_pairs(cut(_candidates(listed, labelled, threshold)), sets, threshold)
+    whole = components(near.union(more)).withColumnRenamed("node", "t")
+    classes = once.select("name", "t").join(whole, "t", "left").select("name", F.coalesce("label", "t").alias("component"))
+    return found.select("doc_id", "name").join(classes, "name")
 
 
 def representatives(
@@ -326,10 +320,10 @@ def representatives(
     """
     known = docs.where(F.col(id_col).isNotNull())
     classes = cut(similar(known, id_col=id_col, text_col=text_col, threshold=threshold))
-    best = classes.groupBy("component").agg(F.min(F.struct("doc_id", "t")).alias("best"))
-    t = unused("t", docs)
-    stay = best.select(F.col("best.doc_id").alias(id_col), F.col("best.t").alias(t))
+    best = classes.groupBy("component").agg(F.min(F.struct("doc_id", "name")).alias("best"))
+    name = unused("name", docs)
+    stay = best.select(F.col("best.doc_id").alias(id_col), F.col("best.name").alias(name))
     rows = small_batches(known.join(stay.select(id_col).distinct(), id_col, "left_semi"))
-    rows = rows.withColumn(t, _named(F.col(text_col))).join(stay, [id_col, t], "left_semi")
-    kept = rows.dropDuplicates([id_col, t]).select(*docs.columns)
+    rows = rows.withColumn(name, _named(F.col(text_col))).join(stay, [id_col, name], "left_semi")
+    kept = rows.dropDuplicates([id_col, name]).select(*docs.columns)
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
