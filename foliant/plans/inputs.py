@@ -40,7 +40,12 @@ def as_drops(events: DataFrame) -> DataFrame:
 
 
 def drops(events: DataFrame) -> DataFrame:
-    return _numbered(as_drops(events), "doc_id")
+    return as_drops(events).withColumn("seq", F.struct("ts", "event_id"))
+
+
+def hot_drops(events: DataFrame, n: int = 10) -> DataFrame:
+    """All drops, on n documents."""
+    return drops(events).withColumn("doc_id", F.col("doc_id") % n)
 
 
 def as_moves(events: DataFrame) -> DataFrame:
@@ -54,6 +59,13 @@ def moves(events: DataFrame) -> DataFrame:
     return _numbered(as_moves(events), "session")
 
 
+def far_moves(events: DataFrame) -> DataFrame:
+    """Moves of which some are from or to places that aren't there, or to none."""
+    far = as_moves(events).withColumn("seq", F.struct("ts", "event_id"))
+    to = F.when(F.col("event_id") % 7 != 0, (F.col("event_id") % 14 - 2).cast("int"))
+    return far.withColumns({"from": F.col("from") + (F.col("event_id") % 5 - 2).cast("int"), "to": to})
+
+
 def pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Each document with one of all items, in turn; ids of items are 0, 1 and so on."""
     n_items = items.agg(F.max("item_id")).first()[0] + 1
@@ -118,6 +130,11 @@ SQL = {
         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events""",
     "far_drops": f"""SELECT user_id AS doc_id, CAST(floor(value) AS INT) * {FAR} AS "offset", event_type AS value,
         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events""",
+    "hot_drops": """SELECT user_id % 10 AS doc_id, CAST(floor(value) AS INT) AS "offset", event_type AS value,
+        row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS seq FROM events""",
+    "far_moves": """SELECT user_id AS session, CAST(trunc(value) AS INT) % 10 + event_id % 5 - 2 AS "from",
+        CASE WHEN event_id % 7 <> 0 THEN event_id % 14 - 2 END AS "to",
+        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events""",
     "moves": """SELECT user_id AS session, CAST(trunc(value) AS INT) % 10 AS "from",
         CAST(trunc(value * 7) AS INT) % 10 AS "to",
         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events""",

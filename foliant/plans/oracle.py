@@ -164,13 +164,21 @@ def marked(docs: str, wrapped: bool = False, drops: str = "drops") -> str:
 MARKED = marked("SELECT doc_id, text FROM documents")
 TO_MARKUP = "replace(replace({x}, chr(13) || chr(10), chr(10)), chr(10), '<br>')"
 STRIPPED = "replace(replace({x}, '}}}}', ''), '{{{{', '')"
-MOVED = f"""WITH RECURSIVE field_events AS ({SQL['field_events']}), vals AS ({VALUES}), slotted AS ({SLOTS}), moves AS ({SQL['moves']}),
+
+
+def moved(moves: str = "moves") -> str:
+    """Sessions with their slots after the moves; those that aren't from and to places of slots do nothing."""
+    return f"""WITH RECURSIVE field_events AS ({SQL['field_events']}), vals AS ({VALUES}), slotted AS ({SLOTS}), moves AS ({SQL[moves]}),
     folded AS (SELECT session, 0 AS k, slots FROM slotted UNION ALL
-        SELECT f.session, f.k + 1, list_concat(list_concat(rest[1:m."to"], [moved]), rest[m."to" + 1:]) FROM (
-            SELECT f.session, f.k, list_concat(f.slots[1:m."from"], f.slots[m."from" + 2:]) AS rest, f.slots[m."from" + 1] AS moved
+        SELECT f.session, f.k + 1, CASE WHEN m."from" BETWEEN 0 AND len(f.slots) - 1 AND m."to" BETWEEN 0 AND len(f.slots) - 1
+            THEN list_concat(list_concat(rest[1:m."to"], [moved]), rest[m."to" + 1:]) ELSE f.slots END FROM (
+            SELECT f.session, f.k, f.slots, list_concat(f.slots[1:m."from"], f.slots[m."from" + 2:]) AS rest, f.slots[m."from" + 1] AS moved
             FROM folded f JOIN moves m ON m.session = f.session AND m.seq = f.k + 1) f
         JOIN moves m ON m.session = f.session AND m.seq = f.k + 1)
     SELECT session, array_to_string(arg_max(slots, k), '|') AS slots FROM folded GROUP BY 1"""
+
+
+MOVED = moved()
 ROUTE = "CASE WHEN lower(name) LIKE '%.txt' OR lower(name) LIKE '%.md' THEN 'text' WHEN lower(name) LIKE '%.pdf' THEN 'paged' ELSE 'fallback' END"
 POSTED = "FROM postings LEFT JOIN (SELECT url, html FROM pages) p USING (url)"
 FAILED = text(UNABLE.replace("{error}", "no page"))
@@ -236,6 +244,8 @@ ORACLE_SQL = {
     "insert_markers": MARKED + "SELECT doc_id, text FROM marked",
     "highlight_inserted": marked("SELECT doc_id, text FROM documents", wrapped=True) + "SELECT doc_id, text FROM marked",
     "out_of_range_guard": marked("SELECT doc_id, text FROM documents", drops="far_drops") + "SELECT doc_id, text FROM marked",
+    "insert_markers_hot_log": marked("SELECT doc_id, text FROM documents", drops="hot_drops")
+    + "SELECT doc_id, length(text) AS n_chars, sha256(text) AS text_sha256 FROM marked",
     "clean_export": MARKED
     + f"SELECT doc_id, {STRIPPED.format(x='regexp_replace(replace(' + TO_MARKUP.format(x='text') + ', ' + text('<br>') + ', chr(10)), chr(10) || ' + text('{2,}') + ', chr(10), ' + text('g') + ')')} AS text FROM marked",
     "strip_markers": MARKED + f"SELECT doc_id, {STRIPPED.format(x='text')} AS text FROM marked",
@@ -244,6 +254,7 @@ ORACLE_SQL = {
     + rf"""SELECT doc_id, regexp_replace({TO_MARKUP.format(x="replace(text, '.', chr(10) || ' ' || chr(10))")}, '(<br>\s*){{2,}}', '<br>', 'g') AS markup FROM crlf_documents""",
     "noop_move_filter": given(**inputs("moves")) + 'SELECT session, CAST(seq AS INT) AS seq, "from", "to" FROM moves WHERE "from" <> "to"',
     "move_fields": MOVED,
+    "move_fields_out_of_range": moved("far_moves"),
     "route_files": given(**inputs("named_files")) + f"SELECT doc_id, name, {ROUTE} AS route FROM named_files",
     "first_file": given(**inputs("named_files")) + "SELECT session, arg_min(name, pos) AS name FROM named_files GROUP BY 1",
     "assemble_pages": "SELECT conv_id AS doc_id, string_agg(text || chr(10) || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY 1",

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions.lineage import shared_folder
 from foliant.functions.text import or_empty
 from foliant.operators import compose, edits, fields, markup, match, pages, tokens
 from foliant.plans import inputs
@@ -33,18 +33,6 @@ def of(name: str, build: Callable[..., DataFrame], *tables: str) -> None:
     QUERIES[name] = run
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where the cluster keeps what driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="foliant-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4()}"
-
-
 KEYS = {"resume_key": "doc_id", "posting_key": "item_id"}
 
 # Words
@@ -242,6 +230,14 @@ of(
     "documents",
     "events",
 )
+of(
+    "insert_markers_hot_log",
+    lambda d, e: edits.insert_markers(d.select("doc_id", "text"), inputs.hot_drops(e)).select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256")
+    ),
+    "documents",
+    "events",
+)
 of("clean_export", lambda d, e: _marked(d, e).select("doc_id", markup.clean_export(markup.text_to_markup(F.col("text"))).alias("text")), "documents", "events")
 of("strip_markers", lambda d, e: _marked(d, e).select("doc_id", markup.without_markers(F.col("text")).alias("text")), "documents", "events")
 of("text_to_markup", lambda d: inputs.crlf_documents(d).select("doc_id", markup.text_to_markup(F.col("text")).alias("markup")), "documents")
@@ -258,6 +254,11 @@ of(
     lambda e: edits.move_fields(_slots(e), inputs.moves(e)).select("session", _joined(F.col("slots")).alias("slots")),
     "events",
 )
+of(
+    "move_fields_out_of_range",
+    lambda e: edits.move_fields(_slots(e), inputs.far_moves(e)).select("session", _joined(F.col("slots")).alias("slots")),
+    "events",
+)
 
 # Files
 of("route_files", lambda d: files.route_files(inputs.named_files(d)).select("doc_id", "name", "route"), "documents")
