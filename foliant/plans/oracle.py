@@ -273,6 +273,7 @@ ORACLE_SQL = {
     "stream_field_state": given(**inputs("field_events")) + VALUES,
     "stream_letter_preview": SLOTTED + f"SELECT session, {FILLED} AS letter FROM slotted",
     "stream_insert_markers": MARKED + "SELECT doc_id, text FROM marked WHERE doc_id IN (SELECT doc_id FROM drops)",
+    "stream_insert_markers_compacted": MARKED + "SELECT doc_id, text FROM marked WHERE doc_id IN (SELECT doc_id FROM drops)",
     "stream_move_fields": MOVED,
     "stream_keyword_counts": f"SELECT word, count(*) AS n FROM ({_numbered('documents', 'doc_id', _content('text'))}) GROUP BY 1",
 }

@@ -352,6 +352,14 @@ def stream_insert_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.run_to_end(stream, shared_folder(spark, "stream"), mode="update", keys=("doc_id",))
 
 
+@query
+def stream_insert_markers_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State behind the watermark is folded into the beginning of each text."""
+    drops, docs = inputs.as_drops(_events_stream(spark, sf_dir)), table(spark, sf_dir, "documents")
+    stream = streams.stream_insert_markers(drops, docs, horizon="1 hour")
+    return streams.run_to_end(stream, shared_folder(spark, "stream"), mode="update", keys=("doc_id",))
+
+
 @query
 def stream_move_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     moves = inputs.as_moves(_events_stream(spark, sf_dir))

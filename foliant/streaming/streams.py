@@ -1,13 +1,12 @@
 """Structured Streaming forms of the field, edit and keyword operators.
 
 Values are chosen by (ts, event_id), never by arrival, so that a late event changes nothing newer. Edits of one text
-don't commute: ``replay`` (the default) keeps the log of a key and folds it again in order; ``arrival`` keeps the
-result and applies each batch's edits, sorted, on top. State that must expire wants a watermark of the caller's.
+don't commute: ``replay`` (the default) keeps the log of a key (see ``logs``) and puts late edits where they belong;
+``arrival`` keeps the result alone and applies each batch's edits, sorted, on top.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,7 +16,9 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from foliant.functions.text import or_empty
 from foliant.operators.fields import fill, last_field_values
+from foliant.operators.markup import marker
 from foliant.operators.tokens import content_array
+from foliant.streaming.logs import Edit, insert_one, logged, move_one
 
 MODES = ("replay", "arrival")
 
@@ -46,85 +47,72 @@ def stream_keyword_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def insert_one(text: str, edit: list) -> str:
-    """``edit``: ts, event id, offset, value."""
-    _, _, offset, value = edit
-    if offset is None:
-        return text
-    at = max(0, min(offset, len(text)))
-    return f"{text[:at]}}}}}{value or ''}{{{{{text[at:]}"
-
-
-def move_one(slots: str, edit: list) -> str:
-    """``slots`` is a JSON array; ``edit``: ts, event id, from, to."""
-    _, _, start, to = edit
-    values = json.loads(slots)
-    if start != to:
-        values.insert(to, values.pop(start))
-    return json.dumps(values)
-
-
-def _folded(apply: Callable[[str, list], str], mode: str):
-    """The state of a key: (base, log) for replay, (result, []) for arrival, as JSON."""
+def _micros(ts: Column) -> Column:
+    return F.unix_micros(ts.cast("timestamp"))
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches))
-        base, log = json.loads(state.get[0]) if state.exists else (rows["base"].iloc[0], [])
-        number = lambda x: None if pd.isna(x) else int(x)
-        new = [
-            [int(ts), int(event), number(a), b if isinstance(b, str) or b is None else number(b)]
-            for ts, event, a, b in zip(rows["ts"], rows["event_id"], rows["first"], rows["second"])
-        ]
-        new.sort(key=lambda e: e[:2])
-        if mode == "replay":
-            log = sorted([*log, *new], key=lambda e: e[:2])
-            result = base
-            for edit in log:
-                result = apply(result, edit)
-        else:
-            for edit in new:
-                base = apply(base, edit)
-            result, log = base, []
-        state.update((json.dumps([base, log]),))
-        yield pd.DataFrame({"key": [key[0]], "result": [result]})
 
-    return run
+def _edits(rows: DataFrame, base: DataFrame, key: str, first: str, second: Column, horizon: str | None) -> DataFrame:
+    """key, base, ts, event_id, first, second. ``base``: key, base, a table; with ``horizon``, behind a watermark."""
+    rows = rows.withColumn("time", F.col("ts").cast("timestamp"))
+    if horizon:
+        rows = rows.withWatermark("time", horizon)
+    return rows.join(base, key).select(
+        F.col(key).alias("key"), "base", "time", _micros(F.col("time")).alias("ts"), F.col("event_id").cast("long").alias("event_id"),
+        F.col(first).cast("long").alias("first"), second.cast("string").alias("second"),
+    )
 
 
-def _stateful(edits: DataFrame, apply, second: str, mode: str) -> DataFrame:
-    """``edits``: key (long), base, ts (micros), event_id, first, second."""
+def _stateful(edits: DataFrame, apply: Callable, mode: str, horizon: str | None) -> DataFrame:
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
-    typed = edits.withColumn("second", F.col("second").cast(second))
-    return typed.groupBy("key").applyInPandasWithState(
-        _folded(apply, mode), "key long, result string", "state string", "update", GroupStateTimeout.NoTimeout
+    if mode == "replay":
+        return logged(edits, apply, compact=horizon is not None)
+    if edits.schema["key"].dataType.simpleString() != "bigint":
+        raise ValueError("arrival wants keys that are numbers")
+    return edits.drop("time").groupBy("key").applyInPandasWithState(
+        _arrived(apply), "key long, result string", "state string", "update", GroupStateTimeout.NoTimeout
     )
 
 
-def _micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
+def _arrived(apply: Callable[[str, Edit], str]):
+    """The state of a key is the result so far; each batch's edits come on top, in order."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        value = state.get[0] if state.exists else rows["base"].iloc[0]
+        for ts, event, first, second in zip(rows["ts"], rows["event_id"], rows["first"], rows["second"]):
+            value = apply(value, (ts, event, None if pd.isna(first) else int(first), second if isinstance(second, str) else None))
+        state.update((value,))
+        yield pd.DataFrame({"key": [key[0]], "result": [value]})
+
+    return run
 
 
 def stream_insert_markers(
-    drops: DataFrame, docs: DataFrame, *, key: str = "doc_id", mode: str = "replay"
+    drops: DataFrame,
+    docs: DataFrame,
+    *,
+    key: str = "doc_id",
+    text: str = "text",
+    wrap: str = "none",
+    mode: str = "replay",
+    horizon: str | None = None,
 ) -> DataFrame:
-    """key, text after each batch. ``drops``: key, ts, event_id, offset, value; ``docs``: a table of key, text."""
-    rows = drops.join(docs.select(key, or_empty(F.col("text")).alias("base")), key)
-    rows = rows.select(
-        F.col(key).cast("long").alias("key"), "base", _micros(F.col("ts")).alias("ts"), "event_id",
-        F.col("offset").alias("first"), F.col("value").alias("second"),
-    )
-    return _stateful(rows, insert_one, "string", mode).toDF(key, "text")
+    """key, text after each batch. ``drops``: key, ts, event_id, offset, value; ``docs``: a table of key, text.
+
+    ``horizon``: how late an edit may be; state forgets what is older, and so do drops that come later than that.
+    """
+    base = docs.select(key, or_empty(F.col(text)).alias("base"))
+    rows = _edits(drops, base, key, "offset", marker(or_empty(F.col("value")), wrap), horizon)
+    return _stateful(rows, insert_one, mode, horizon).toDF(key, text)
 
 
-def stream_move_fields(moves: DataFrame, slotted: DataFrame, *, mode: str = "replay") -> DataFrame:
+def stream_move_fields(
+    moves: DataFrame, slotted: DataFrame, *, session: str = "session", mode: str = "replay", horizon: str | None = None
+) -> DataFrame:
     """session, slots after each batch. ``moves``: session, ts, event_id, from, to; ``slotted``: session, slots."""
-    rows = moves.join(slotted.select("session", F.to_json("slots").alias("base")), "session")
-    rows = rows.select(
-        F.col("session").cast("long").alias("key"), "base", _micros(F.col("ts")).alias("ts"), "event_id",
-        F.col("from").alias("first"), F.col("to").alias("second"),
-    )
-    done = _stateful(rows, move_one, "long", mode).toDF("session", "slots")
+    rows = _edits(moves, slotted.select(session, F.to_json("slots").alias("base")), session, "from", F.col("to"), horizon)
+    done = _stateful(rows, move_one, mode, horizon).toDF(session, "slots")
     return done.withColumn("slots", F.from_json("slots", "array<string>"))
 
 
