@@ -306,7 +306,7 @@ def similar(
     labels = components(near).withColumnRenamed("node", "t")
     labelled = theirs.select("t", "odd").join(labels, "t", "left").withColumn("label", F.coalesce("label", "t"))
     more = _similar_pairs(cut(_candidates(listed, labelled, threshold)), sets, threshold)
-    whole = components(near.union(more)).withColumnRenamed("node", "t")
+    whole = components(cut(near.union(more))).withColumnRenamed("node", "t")
     classes = once.select("name", "t").join(whole, "t", "left").select("name", F.coalesce("label", "t").alias("component"))
     return found.select("doc_id", "name").join(classes, "name")
 
