@@ -193,6 +193,8 @@ ORACLE_SQL = {
     "match_corpus": given(**TOPS, shared=SHARED) + MATCHES,
     "best_postings": given(**TOPS, shared=SHARED, matches=MATCHES)
     + "SELECT doc_id, item_id, k, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, item_id) AS rank FROM matches) WHERE rank <= 3",
+    "top_postings": given(**TOPS, shared=SHARED, matches=MATCHES)
+    + "SELECT doc_id, item_id, k, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, item_id) AS rank FROM matches) WHERE rank <= 3",
     "highlight": PAIRED + "SELECT doc_id, highlight FROM highlights",
     "first_k_highlight": given(**inputs("pairs"), **TOPS, shared=SHARED)
     + f"""SELECT p.doc_id, coalesce(s.shared, '') AS shared, coalesce(f.fallback, '') AS fallback FROM pairs p

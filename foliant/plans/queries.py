@@ -46,6 +46,7 @@ of("top_keywords", lambda d: tokens.top_keywords(d), "documents")
 of("keyword_overlap", lambda d, b: match.keyword_overlap(d, b), "documents", "benchmark")
 of("match_corpus", lambda d, b: match.match_corpus(d, b), "documents", "benchmark")
 of("best_postings", lambda d, b: match.best_postings(match.match_corpus(d, b)), "documents", "benchmark")
+of("top_postings", lambda d, b: match.top_postings(d, b), "documents", "benchmark")
 
 
 @query
