@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.text import or_else, or_empty
+from foliant.functions.text import or_else, or_empty, unused
 
 SLOTS = 10
 FIELD_LENGTH = 20
 # A template's variables, and what is shown before any input.
 VARIABLES = ("${var1}", "${var2}", "${var3}", "${var4}", "${var5}")
+VARIABLE = r"\$\{var([1-5])\}"
 DEFAULT_MESSAGE = "-- empty by default --"
 TEMPLATE = (
     "To the team,\nI am excited to apply for the ${var1} position. My proficiency in ${var2}, ${var3} and ${var4} "
@@ -46,10 +45,37 @@ def with_fields(text: Column, slots: Column) -> Column:
     return F.concat(text, F.lit("\n\n"), F.array_join(slots, "\n"))
 
 
+def parsed(template: Column) -> Column:
+    """The template as parts: a text, and the number (from 1) of the variable that follows it, null after the last text."""
+    texts = F.split(template, VARIABLE)
+    numbers = F.transform(F.regexp_extract_all(template, F.lit(VARIABLE), F.lit(1)), lambda n: n.cast("int"))
+    return F.zip_with(texts, numbers, lambda text, variable: F.struct(text.alias("text"), variable.alias("variable")))
+
+
+def fill_parts(parts: Column, slots: Column) -> Column:
+    """Parts with the slots for their variables, each put once: a value that looks like a variable stays as it is."""
+    return F.array_join(
+        F.transform(parts, lambda p: F.concat(p["text"], or_empty(F.get(slots, p["variable"] - 1)))), ""
+    )
+
+
 def fill(template: Column, slots: Column) -> Column:
     """The template with the first five slots for its variables."""
-    value = enumerate(VARIABLES)
-    return reduce(lambda t, v: F.replace(t, F.lit(v[1]), or_empty(F.get(slots, F.lit(v[0])))), value, template)
+    return fill_parts(parsed(template), slots)
+
+
+def fill_templates(
+    sessions: DataFrame, templates: DataFrame, *, template_key: str = "template_id", text: str = "text", slots: str = "slots"
+) -> DataFrame:
+    """The sessions (template_key, slots) with ``letter``: their template filled; null where there is no such template.
+
+    Each template is parsed once. Templates are joined by their key; a table of them that is small is sent to all tasks by
+    Spark's own measure of it, a large one is dealt by key, where Spark splits the sessions of a popular template.
+    """
+    parts, of = unused("parts", sessions), unused("template_of", sessions)
+    known = templates.select(F.col(template_key).alias(of), parsed(F.col(text)).alias(parts))
+    found = sessions.join(known, F.col(template_key) == F.col(of), "left")
+    return found.withColumn("letter", fill_parts(F.col(parts), F.col(slots))).drop(parts, of)
 
 
 def position_skill_fields(slotted: DataFrame, *, session: str = "session", wanted: int = 6) -> DataFrame:

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import replaced, trimmed, unescaped
 
-# What is dropped with its content, and the tags that end a line.
-UNSEEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+# What is dropped with its content (to the end, where it isn't closed), and the tags that end a line.
+UNSEEN = r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)"
 LINE_ENDS = r"(?i)<br\s*/?>|</(?:p|div|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|main|aside|title)\s*>"
-TAGS = r"(?s)<[^>]*>"
+#: A tag begins with a letter or one of three signs; one that isn't closed goes to the end.
+TAGS = r"(?s)<[a-zA-Z/!?][^>]*(?:>|\z)"
 SPAN = ('<span style="color: red;">', "</span>")
 
 
@@ -19,7 +20,10 @@ def text_to_markup(text: Column) -> Column:
 
 
 def collapse_breaks(markup: Column) -> Column:
-    return F.regexp_replace(markup, r"(<br>\s*){2,}", "<br>")
+    """Two or more breaks, with white space after each, are one. No pattern here repeats a group, which Java would do by
+    a call within a call for each break."""
+    together = F.regexp_replace(markup, r"<br>\s+(?=<br>)", "<br>")
+    return F.regexp_replace(together, r"(?<=<br>)<br>\s*", "")
 
 
 def without_markers(text: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliant.functions.text import or_empty
+
 SLOT_OF = {"click": 0, "view": 1, "purchase": 2, "signup": 3, "error": 4}
 #: Offsets of events are below 1000; so many times larger, most of them lie beyond the end of a text.
 FAR = 100
@@ -90,6 +92,39 @@ def named_files(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", name.alias("name"), (F.col("doc_id") % 100).alias("session"), F.col("doc_id").alias("pos"))
 
 
+#: Meta tags as pages have them, and what a browser reads (in the order of page ids).
+METAS = (
+    ('<meta name="description" content="we\'re hiring now">', "we're hiring now"),
+    ("<META content='says \"yes\" &amp; more' NAME=description>", 'says "yes" & more'),
+    ('<meta name="description" data-content="no" content="yes">', "yes"),
+    ('<meta property="og:description" content="of the graph &mdash; &#8217;&eacute;&#x41;">', "of the graph \u2014 \u2019\u00e9A"),
+    ("<meta name=description content=bare /><meta name=description content=second>", "bare"),
+    ('<meta name="Description" content="another name"><meta charset=utf-8>', ""),
+    ('<meta property="og:description" content="the graph"><meta content="a > b" name="description">', "a > b"),
+    ('<script>"<meta name=description content=unseen>"</script><meta name="description">', ""),
+)
+
+
+def described_pages(pages: DataFrame) -> DataFrame:
+    tag = F.get(F.array(*[F.lit(tag) for tag, _ in METAS]), (F.col("page_id") % len(METAS)).cast("int"))
+    return pages.withColumn("html", F.concat(tag, or_empty(F.col("html"))))
+
+
+def looped_slots(slotted: DataFrame) -> DataFrame:
+    """Slots of which every other one names the variable after it."""
+    return slotted.withColumn(
+        "slots", F.transform("slots", lambda v, i: F.when(i % 2 == 0, F.concat(F.lit("${var"), (i + 2).cast("string"), F.lit("}"))).otherwise(v))
+    )
+
+
+def templates(items: DataFrame) -> DataFrame:
+    """template_id, text: benchmark texts with variables for some of their letters."""
+    text = F.col("text")
+    for number, letter in enumerate("etaoin", 1):
+        text = F.replace(text, F.lit(f" {letter}"), F.lit(f" ${{var{number}}} "))
+    return items.select(F.col("item_id").alias("template_id"), text.alias("text"))
+
+
 def postings(pages: DataFrame) -> DataFrame:
     missing = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat("url", F.lit("/missing")))
     return pages.select("page_id", missing.alias("url"))
@@ -145,6 +180,14 @@ SQL = {
         || chr(10) || text AS text FROM documents""",
     "named_files": """SELECT doc_id, 'File' || CAST(doc_id AS VARCHAR) || CASE doc_id % 4 WHEN 0 THEN '.TXT' WHEN 1 THEN '.md'
         WHEN 2 THEN '.pdf' ELSE '.docx' END AS name, doc_id % 100 AS session, doc_id AS pos FROM documents""",
+    "described_pages": "SELECT page_id, CASE page_id % 8 "
+    + " ".join("WHEN {} THEN '{}'".format(i, tag.replace("'", "''")) for i, (tag, _) in enumerate(METAS))
+    + " END || coalesce(html, '') AS html FROM pages",
+    "templates": "SELECT item_id AS template_id, "
+    + "replace(" * 6
+    + "text"
+    + "".join(f", ' {letter}', ' ${{var{number}}} ')" for number, letter in enumerate("etaoin", 1))
+    + " AS text FROM benchmark",
     "postings": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE url || '/missing' END AS url FROM pages",
     "crlf_documents": """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), chr(13) || chr(10)) ELSE text END
         AS text FROM documents""",

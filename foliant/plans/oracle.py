@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from foliant.functions.text import ENTITIES, TRIM
+from foliant.functions.text import NAMED, NO_CHARACTER, OLD_PAGE, REFERENCE, TRIM
 from foliant.operators import compose, fields
 from foliant.operators.markup import LINE_ENDS, SPAN, TAGS, UNSEEN
 from foliant.operators.match import FALLBACK, SHOWN, TOP
-from foliant.operators.pages import BLOCK, PARAGRAPH
+from foliant.operators.pages import ATTRIBUTE, BLOCK, HEADING, META, NAME, PARAGRAPH, TITLE, VALUE
 from foliant.operators.tokens import STOPWORDS
 from foliant.plans.inputs import SQL
 from foliant.sources.postings import UNABLE
@@ -29,7 +29,7 @@ def _tokens(column: str) -> str:
     return rf"list_transform(regexp_extract_all(lower(coalesce({column}, '')), '[a-z0-9#+\-]+'), lambda w: regexp_replace(w, '^[-#+]+|[-#+]+$', '', 'g'))"
 
 
-def _content(column: str) -> str:
+def _content_words(column: str) -> str:
     stop = ", ".join(f"'{w}'" for w in STOPWORDS)
     return f"list_filter({_tokens(column)}, lambda w: length(w) >= 2 AND w NOT IN ({stop}))"
 
@@ -39,7 +39,7 @@ def _numbered(table: str, key: str, words: str, extra: str = "") -> str:
 
 
 def _counted(table: str, key: str) -> str:
-    return f"SELECT {key}, word, count(*) AS n, min(pos) AS first_pos FROM ({_numbered(table, key, _content('text'))}) GROUP BY 1, 2"
+    return f"SELECT {key}, word, count(*) AS n, min(pos) AS first_pos FROM ({_numbered(table, key, _content_words('text'))}) GROUP BY 1, 2"
 
 
 def _top(table: str, key: str, n: int) -> str:
@@ -60,10 +60,31 @@ def trim(x: str) -> str:
     return f"regexp_replace({x}, '{TRIM}', '', 'g')"
 
 
+def _sql_list(values) -> str:
+    return "[" + ", ".join("chr(0)" if v == "\0" else "'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _code(x: str) -> str:
+    """The character of a number, as text of SQL."""
+    return f"""CASE WHEN {x} BETWEEN 128 AND 159 THEN substr('{OLD_PAGE}', CAST({x} - 127 AS INT), 1)
+        WHEN {x} BETWEEN 1 AND 1114111 AND {x} NOT BETWEEN 55296 AND 57343 THEN chr(CAST({x} AS INT)) ELSE '{NO_CHARACTER}' END"""
+
+
+def let(value: str, name: str, body: str) -> str:
+    """``body`` of a value under a name, computed once; unlike a subquery, it may stand in a lambda."""
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
 def unescape(x: str) -> str:
-    for name, char in ENTITIES:
-        x = f"replace({x}, {text(name)}, {text(char)})"
-    return x
+    def digits(start: int, prefix: str) -> str:
+        short = f"ltrim(substr(n, {start}), '0')"
+        return f"CASE WHEN length({short}) > 7 THEN 0 ELSE TRY_CAST('{prefix}' || {short} AS BIGINT) END"
+
+    number = f"CASE WHEN lower(n[1:2]) = '#x' THEN {digits(3, '0x0')} ELSE {digits(2, '0')} END"
+    named = f"{_sql_list(NAMED.values())}[list_position({_sql_list(NAMED)}, n)]"
+    char = f"CASE WHEN n[1] = '#' THEN {let(number, 'c', _code('c'))} WHEN n <> '' THEN {named} END"
+    part = let(f"regexp_extract(p, '{REFERENCE}', 1)", "n", f"coalesce({char} || substr(p, length(n) + 2), '&' || p)")
+    return let(f"string_split({x}, '&')", "ps", f"ps[1] || array_to_string(list_transform(ps[2:], lambda p: {part}), '')")
 
 
 def drop(x: str, pattern: str) -> str:
@@ -85,18 +106,22 @@ def plain(x: str) -> str:
     return unescape(drop(x, TAGS))
 
 
-PAGE_TITLE = or_else(
-    plain(first(SEEN, r"(?is)<h1\b[^>]*>(.*?)</h1\s*>")), plain(first(SEEN, r"(?is)<title\b[^>]*>(.*?)</title\s*>"))
-)
-QUOTE = "[\"'']"
+PAGE_TITLE = or_else(plain(first(SEEN, HEADING)), plain(first(SEEN, TITLE)))
+FOUND_ATTRIBUTES = f"regexp_extract_all(tag, {text(ATTRIBUTE)})"
+META_TAGS = f"""list_transform(string_split_regex({SEEN}, '{META}')[2:], lambda tag:
+    {let(FOUND_ATTRIBUTES, 'found', "CASE WHEN list_position(found, '>') > 0 THEN found[1:list_position(found, '>') - 1] ELSE found END")})"""
+
 
+def _attribute(attributes: str, name: str) -> str:
+    return f"regexp_extract(list_filter({attributes}, lambda a: lower(regexp_extract(a, '{NAME}')) = '{name}')[1], {text(VALUE)}, 1)"
 
-def _meta(name: str) -> str:
-    tag = first(SEEN, rf"(?is)(<meta\b[^>]*(?:name|property)\s*=\s*{QUOTE}{name}{QUOTE}[^>]*>)")
-    return unescape(first(tag, rf"(?is)content\s*=\s*{QUOTE}([^\"'']*){QUOTE}"))
 
+def _content(key: str, value: str) -> str:
+    chosen = f"list_filter(tags, lambda t: {_attribute('t', key)} = '{value}')[1]"
+    return f"coalesce({unescape(_attribute(chosen, 'content'))}, '')"
 
-DESCRIPTION = or_else(_meta("description"), _meta("og:description"))
+
+DESCRIPTION = let(META_TAGS, "tags", or_else(_content("name", "description"), _content("property", "og:description")))
 PARAGRAPHS = f"""list_filter(list_transform(string_split_regex({SEEN}, '{PARAGRAPH}')[2:],
     lambda p: {trim(plain(drop('p', BLOCK)))}), lambda t: t <> '')"""
 JOB_TEXT = f"array_to_string(list_concat([coalesce({PAGE_TITLE}, ''), coalesce({DESCRIPTION}, '')], ({PARAGRAPHS})[1:80]), chr(10) || chr(10))"
@@ -143,9 +168,19 @@ VALUES = "SELECT session, slot, arg_max(value, (ts, event_id)) AS value FROM fie
 SLOTS = f"""SELECT s.session, list(coalesce(v.value, '') ORDER BY i) AS slots FROM (SELECT DISTINCT session FROM vals) s
     CROSS JOIN range({fields.SLOTS}) r(i) LEFT JOIN vals v ON v.session = s.session AND v.slot = r.i GROUP BY 1"""
 SLOTTED = given(**inputs("field_events"), vals=VALUES, slotted=SLOTS)
-FILLED = text(fields.TEMPLATE)
-for number, variable in enumerate(fields.VARIABLES, 1):
-    FILLED = f"replace({FILLED}, {text(variable)}, slots[{number}])"
+
+
+def filled_once(template: str, slots: str = "slots") -> str:
+    """Variables become signs that no value has before any of them becomes a value."""
+    for number, variable in enumerate(fields.VARIABLES, 1):
+        template = f"replace({template}, {text(variable)}, chr(1) || '{number}' || chr(2))"
+    for number in range(1, len(fields.VARIABLES) + 1):
+        template = f"replace({template}, chr(1) || '{number}' || chr(2), {slots}[{number}])"
+    return template
+
+
+FILLED = filled_once(text(fields.TEMPLATE))
+LOOPED = "SELECT session, list_transform(slots, lambda v, i: CASE WHEN i % 2 = 1 THEN '${var' || CAST(i + 1 AS VARCHAR) || '}' ELSE v END) AS slots FROM slotted"
 
 
 def marked(docs: str, wrapped: bool = False, drops: str = "drops") -> str:
@@ -185,9 +220,9 @@ FAILED = text(UNABLE.replace("{error}", "no page"))
 
 ORACLE_SQL = {
     "tokenize": _numbered("documents", "doc_id", _tokens("text")),
-    "content_words": f"SELECT doc_id, unnest({_content('text')}) AS word FROM documents",
+    "content_words": f"SELECT doc_id, unnest({_content_words('text')}) AS word FROM documents",
     "word_frequencies": _counted("documents", "doc_id"),
-    "corpus_frequencies": f"SELECT lang, word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({_numbered('documents', 'doc_id', _content('text'), 'lang,')}) GROUP BY 1, 2",
+    "corpus_frequencies": f"SELECT lang, word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({_numbered('documents', 'doc_id', _content_words('text'), 'lang,')}) GROUP BY 1, 2",
     "top_keywords": _top("documents", "doc_id", 10),
     "keyword_overlap": given(**TOPS, shared=SHARED, matches=MATCHES) + "SELECT doc_id, item_id, highlight FROM matches",
     "match_corpus": given(**TOPS, shared=SHARED) + MATCHES,
@@ -203,6 +238,8 @@ ORACLE_SQL = {
     "load_pages": "SELECT page_id, url, length(html) AS n_chars FROM pages",
     "page_title": f"SELECT page_id, {PAGE_TITLE} AS title FROM pages",
     "page_description": f"SELECT page_id, {DESCRIPTION} AS description FROM pages",
+    "described_page_text": given(**inputs("described_pages"))
+    + f"SELECT page_id, {DESCRIPTION} AS description, {JOB_TEXT} AS text FROM described_pages",
     "page_paragraphs": paragraphs(80),
     "first_paragraphs": paragraphs(5),
     "nonempty_paragraphs": f"SELECT page_id, len({PARAGRAPHS}) AS n FROM pages",
@@ -241,6 +278,9 @@ ORACLE_SQL = {
     "position_skill_fields": SLOTTED
     + "SELECT session, " + ", ".join(f"slots[{i}] AS var{i}" for i in range(1, 6)) + ", '' AS var6, 'missing_slot' AS status FROM slotted",
     "fill_template": SLOTTED + f"SELECT session, {FILLED} AS text FROM slotted",
+    "fill_template_once": SLOTTED + f"SELECT session, {FILLED} AS text FROM ({LOOPED})",
+    "fill_templates": given(**inputs("field_events", "templates"), vals=VALUES, slotted=SLOTS, looped=LOOPED)
+    + f"""SELECT session, session % 50 AS template_id, {filled_once('text')} AS letter FROM looped LEFT JOIN templates ON template_id = session % 50""",
     "default_message": SLOTTED
     + f"SELECT d.doc_id AS session, coalesce({FILLED}, {text(fields.DEFAULT_MESSAGE)}) AS text FROM documents d LEFT JOIN slotted s ON s.session = d.doc_id",
     "insert_markers": MARKED + "SELECT doc_id, text FROM marked",
@@ -277,5 +317,5 @@ ORACLE_SQL = {
     "stream_insert_markers": MARKED + "SELECT doc_id, text FROM marked WHERE doc_id IN (SELECT doc_id FROM drops)",
     "stream_insert_markers_compacted": MARKED + "SELECT doc_id, text FROM marked WHERE doc_id IN (SELECT doc_id FROM drops)",
     "stream_move_fields": MOVED,
-    "stream_keyword_counts": f"SELECT word, count(*) AS n FROM ({_numbered('documents', 'doc_id', _content('text'))}) GROUP BY 1",
+    "stream_keyword_counts": f"SELECT word, count(*) AS n FROM ({_numbered('documents', 'doc_id', _content_words('text'))}) GROUP BY 1",
 }

@@ -70,6 +70,13 @@ def first_k_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
 of("load_pages", lambda p: p.select("page_id", "url", F.length("html").cast("long").alias("n_chars")), "pages")
 of("page_title", lambda p: p.select("page_id", pages.title_of(F.col("html")).alias("title")), "pages")
 of("page_description", lambda p: p.select("page_id", pages.description_of(F.col("html")).alias("description")), "pages")
+of(
+    "described_page_text",
+    lambda p: inputs.described_pages(p).select(
+        "page_id", pages.description_of(F.col("html")).alias("description"), pages.job_text(F.col("html")).alias("text")
+    ),
+    "pages",
+)
 of("page_paragraphs", lambda p: pages.page_paragraphs(p), "pages")
 of("first_paragraphs", lambda p: pages.page_paragraphs(p, n=5), "pages")
 of(
@@ -204,6 +211,21 @@ of(
 )
 
 
+of(
+    "fill_template_once",
+    lambda e: inputs.looped_slots(_slots(e)).select("session", fields.fill(F.lit(fields.TEMPLATE), F.col("slots")).alias("text")),
+    "events",
+)
+of(
+    "fill_templates",
+    lambda e, b: fields.fill_templates(
+        inputs.looped_slots(_slots(e)).withColumn("template_id", F.col("session") % 50), inputs.templates(b)
+    ).select("session", "template_id", "letter"),
+    "events",
+    "benchmark",
+)
+
+
 @query
 def default_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as sessions; those without input show the default."""
