@@ -11,7 +11,7 @@ fingerprint at one differing bit outside the shared blocks. Two fingerprints mee
 only if they differ in two bits or fewer, and each meets only the smallest node there. No group is cut or sampled.
 
 Components: every node takes the smallest label among its neighbours and then its label's label, until nothing
-changes; each round is written to the shared folder.
+changes; each round is written to the shared folder, two of which stay there.
 
 That is ``near_duplicates``. ``representatives``, for the pipeline, takes another measure: it links texts by the exact
 similarity of their sets of five-word shingles, among candidates that share a band of minima of shingle hashes.
@@ -23,6 +23,7 @@ may be numbers or text; an empty table gives an empty table; ``representatives``
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from foliant.functions.text import unused
-from foliant.llm.common import cut, small_batches
+from foliant.llm.common import cut, shared_dir, small_batches
 
 SHINGLE = 3
 RADIUS = 2
@@ -131,19 +132,28 @@ def links(nodes: DataFrame, *, radius: int = RADIUS, large_group: int = LARGE_GR
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """node, label: the smallest node that it reaches, for each node of the pairs (a, b)."""
+    """node, label: the smallest node that it reaches, for each node of the pairs (a, b).
+
+    Rounds write to two folders in turn. Spark takes a join to be as large as the product of its sides, also after a
+    checkpoint; over many rounds of joins that is a number of millions of digits, but a file's size is what it is.
+    """
+    spark = pairs.sparkSession
     edges = cut(pairs.union(pairs.select("b", "a")).toDF("u", "v"))
-    labels = cut(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("label")))
-    changed = labels.limit(1).count()
-    while changed:
-        of_v = labels.select(F.col("u").alias("v"), "label")
-        low = edges.join(of_v, "v").groupBy("u").agg(F.min("label").alias("m"))
-        near = labels.join(low, "u").select("u", F.least("label", "m").alias("label"), F.col("label").alias("was"))
-        jump = labels.select(F.col("u").alias("label"), F.col("label").alias("next"))
+    folder = f"{shared_dir(spark)}/components-{uuid.uuid4().hex}"
+
+    def kept(labels: DataFrame, turn: int) -> DataFrame:
+        labels.write.mode("overwrite").parquet(f"{folder}/{turn % 2}")
+        return spark.read.schema(labels.schema).parquet(f"{folder}/{turn % 2}")
+
+    first = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("label"))
+    labels, turn = kept(first.withColumn("new", F.lit(True)), 0), 0
+    while labels.where("new").limit(1).count():
+        turn, now = turn + 1, labels.select("u", "label")
+        low = edges.join(now.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("m"))
+        near = now.join(low, "u").select("u", F.least("label", "m").alias("label"), F.col("label").alias("was"))
+        jump = now.select(F.col("u").alias("label"), F.col("label").alias("next"))
         found = near.join(jump, "label").select("u", F.least("label", "next").alias("label"), "was")
-        labels = cut(found.select("u", "label", (F.col("label") != F.col("was")).alias("new")))
-        changed = labels.where("new").limit(1).count()
-        labels = labels.drop("new")
+        labels = kept(found.select("u", "label", (F.col("label") != F.col("was")).alias("new")), turn)
     return labels.select(F.col("u").alias("node"), "label")
 
 
