@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.text import BOUNDARY, or_else, or_empty, trimmed
+from foliant.functions.text import BOUNDARY, or_else, or_empty, trimmed, unused
 from foliant.operators.match import highlight_text, with_keywords
 
 # The parts of a letter and of a request.
@@ -86,13 +86,17 @@ def render_letter(
         "name": or_else(name_of(left), F.lit(NO_NAME)),
         "empty": (left == "") & (right == ""),
     }
-    found = pairs.withColumns({f"letter_{k}": v for k, v in parts.items()})
-    found = with_keywords(found, resume=resume, posting=posting, resume_key=resume_key, posting_key=posting_key)
-    found = found.withColumn("letter_highlight", highlight_text(F.col("posting_words"), F.col("resume_words")))
-    letter = filled(LETTER, **{k: F.col(f"letter_{k}") for k in ("title", "highlight", "achievement", "name")})
-    found = found.withColumn("letter", F.when(F.col("letter_empty"), "").otherwise(letter))
-    helpers = [f"letter_{k}" for k in (*parts, "highlight")]
-    return found.drop("resume_words", "posting_words", *helpers)
+    names = {k: unused(f"letter_{k}", pairs) for k in (*parts, "highlight")}
+    words = {k: unused(f"{k}_words", pairs) for k in ("resume", "posting")}
+    found = pairs.withColumns({names[k]: v for k, v in parts.items()})
+    found = with_keywords(
+        found, resume=resume, posting=posting, resume_key=resume_key, posting_key=posting_key,
+        resume_words=words["resume"], posting_words=words["posting"],
+    )
+    found = found.withColumn(names["highlight"], highlight_text(F.col(words["posting"]), F.col(words["resume"])))
+    letter = filled(LETTER, **{k: F.col(names[k]) for k in ("title", "highlight", "achievement", "name")})
+    found = found.withColumn("letter", F.when(F.col(names["empty"]), "").otherwise(letter))
+    return found.drop(*words.values(), *names.values())
 
 
 def build_prompts(pairs: DataFrame, *, resume: str = "resume", posting: str = "posting", key: str | None = None) -> DataFrame:
@@ -109,6 +113,18 @@ def build_prompts(pairs: DataFrame, *, resume: str = "resume", posting: str = "p
     return rows.withColumn("request", F.to_json(body))
 
 
+NO_KEY = "no credential"
+
+
+def build_requests(pairs: DataFrame, *, key: str, resume: str = "resume", posting: str = "posting") -> DataFrame:
+    """All pairs with ``request``, ``status`` and ``error``: those without a key have no request, and say why."""
+    bad = or_empty(F.col(key)) == ""
+    found = build_prompts(pairs, resume=resume, posting=posting)
+    return found.withColumns(
+        {"request": F.when(~bad, F.col("request")), "status": F.when(bad, "error").otherwise("ok"), "error": F.when(bad, NO_KEY)}
+    )
+
+
 def reply_text(reply: Column) -> Column:
     """The first of message content, text, and the whole reply that is not empty."""
     content = F.get_json_object(reply, "$.choices[0].message.content")

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions.lineage import cut
-from foliant.functions.text import or_else
+from foliant.functions.text import or_else, unused
 from foliant.operators.tokens import top_keywords, top_lists
 
 TOP = 20
@@ -42,16 +42,19 @@ def with_keywords(
     posting: str = "posting",
     resume_key: str | None = None,
     posting_key: str | None = None,
+    resume_words: str = "resume_words",
+    posting_words: str = "posting_words",
 ) -> DataFrame:
     """The pairs with the top words of both texts, ``resume_words`` and ``posting_words``.
 
-    Words are counted once for each text, not for each pair. Keys tell texts apart without moving them to the pairs.
+    Words are counted once for each text, not for each pair. Keys tell texts apart without moving them to the pairs; of
+    texts that share a key the first one counts.
     """
-    for key, text, name in ((resume_key, resume, "resume_words"), (posting_key, posting, "posting_words")):
-        of = F.col(key or text)
-        texts = pairs.select(of.alias("of"), F.col(text).alias("text")).groupBy("of").agg(F.first("text").alias("text"))
-        found = top_lists(texts, key="of", n=TOP).select(F.col("of").alias(f"{name}_of"), F.col("words").alias(name))
-        pairs = pairs.join(found, of.eqNullSafe(F.col(f"{name}_of")), "left").drop(f"{name}_of")
+    for key, text, name in ((resume_key, resume, resume_words), (posting_key, posting, posting_words)):
+        own, of = F.col(key or text), unused("words_of", pairs)
+        texts = pairs.select(own.alias("of"), F.col(text).alias("text")).groupBy("of").agg(F.min("text").alias("text"))
+        found = top_lists(texts, key="of", n=TOP).select(F.col("of").alias(of), F.col("words").alias(name))
+        pairs = pairs.join(found, own.eqNullSafe(F.col(of)), "left").drop(of)
         pairs = pairs.withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
     return pairs
 

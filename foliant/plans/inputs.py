@@ -69,11 +69,14 @@ def far_moves(events: DataFrame) -> DataFrame:
 
 
 def pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Each document with one of all items, in turn; ids of items are 0, 1 and so on."""
-    n_items = items.agg(F.max("item_id")).first()[0] + 1
-    right = items.select(F.col("item_id").alias("item"), F.col("text").alias("posting"))
-    left = docs.select("doc_id", (F.col("doc_id") % n_items).alias("item_id"), F.col("text").alias("resume"))
-    return left.join(right, F.col("item_id") == F.col("item")).drop("item")
+    """Each document with one of all items, in turn by the order of their ids; none without items."""
+    ranked = items.withColumn("place", F.row_number().over(W.orderBy("item_id")) - 1)
+    right = ranked.select("place", "item_id", F.col("text").alias("posting"))
+    n_items = items.count()
+    if not n_items:
+        return docs.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.col("text").alias("resume"), F.lit("").alias("posting")).limit(0)
+    left = docs.select("doc_id", F.pmod("doc_id", F.lit(n_items)).alias("at"), F.col("text").alias("resume"))
+    return left.join(right, F.col("at") == F.col("place")).select("doc_id", "item_id", "resume", "posting")
 
 
 def headed_documents(docs: DataFrame) -> DataFrame:
@@ -149,6 +152,33 @@ def posting_json(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.when(F.col("page_id") % 5 == 4, F.left(good, F.lit(20))).otherwise(good).alias("json"))
 
 
+def versions(turns: DataFrame) -> DataFrame:
+    """What the assistant says are versions of a document, three of four of them approved; the turn is their time."""
+    return turns.where("role = 'assistant'").select(
+        F.col("conv_id").alias("doc_id"), F.col("turn").alias("ts"), "text", (F.col("turn") % 4 != 1).alias("approved")
+    )
+
+
+def asks(turns: DataFrame) -> DataFrame:
+    """Whatever is said asks for the document as it is by then."""
+    return turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ts"), "role")
+
+
+def coded_files(docs: DataFrame) -> DataFrame:
+    """doc_id, content: texts in several encodings, and what is no text."""
+    text, kind = or_empty(F.col("text")), F.col("doc_id") % 6
+    plain = F.translate(F.regexp_replace(text, r"[^\x00-\xFF]", "?"), "\x00", "?")
+    content = (
+        F.when(kind == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8")))
+        .when(kind == 2, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE")))
+        .when(kind == 3, F.concat(F.unhex(F.lit("E9")), F.encode(plain, "ISO-8859-1")))
+        .when(kind == 4, F.concat(F.encode(F.lit("%PDF-1.7 "), "UTF-8"), F.encode(text, "UTF-8")))
+        .when(kind == 5, F.concat(F.unhex(F.lit("0001FF")), F.encode(text, "UTF-8")))
+        .otherwise(F.encode(text, "UTF-8"))
+    )
+    return docs.select("doc_id", content.alias("content"))
+
+
 def replies(events: DataFrame) -> DataFrame:
     message = F.concat(F.lit('{"choices":[{"message":{"content":"'), "event_type", F.lit('"}}]}'))
     text = F.concat(F.lit('{"choices":[{"text":"'), "event_type", F.lit('"}]}'))
@@ -173,8 +203,9 @@ SQL = {
     "moves": """SELECT user_id AS session, CAST(trunc(value) AS INT) % 10 AS "from",
         CAST(trunc(value * 7) AS INT) % 10 AS "to",
         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events""",
-    "pairs": """SELECT d.doc_id, b.item_id, d.text AS resume, b.text AS posting
-        FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT max(item_id) + 1 FROM benchmark)""",
+    "pairs": """SELECT d.doc_id, b.item_id, d.text AS resume, b.text AS posting FROM documents d JOIN (
+        SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n FROM benchmark) b
+        ON b.place = ((d.doc_id % b.n) + b.n) % b.n""",
     "headed_documents": """SELECT doc_id, CASE WHEN doc_id % 8 = 3 THEN '' WHEN doc_id % 4 = 0 THEN 'name: Ada Byron'
         WHEN doc_id % 4 = 1 THEN 'Ada Byron' WHEN doc_id % 4 = 2 THEN 'Name: Ada Byron' ELSE 'Led a project' END
         || chr(10) || text AS text FROM documents""",

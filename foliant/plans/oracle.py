@@ -265,6 +265,9 @@ ORACLE_SQL = {
     "build_request_json": given(**inputs("pairs"))
     + f"SELECT doc_id, '{compose.MODEL}' AS model, {compose.MAX_TOKENS} AS max_tokens, length({PROMPT}) AS n_chars FROM pairs",
     "key_presence_guard": given(**inputs("pairs")) + f"SELECT doc_id, length({REQUEST}) AS n_chars FROM pairs WHERE doc_id % 2 <> 0",
+    "build_requests": given(**inputs("pairs"))
+    + f"""SELECT doc_id, CASE WHEN doc_id % 2 <> 0 THEN length({REQUEST}) END AS n_chars, CASE WHEN doc_id % 2 = 0 THEN 'error' ELSE 'ok' END AS status,
+        CASE WHEN doc_id % 2 = 0 THEN '{compose.NO_KEY}' END AS error FROM pairs""",
     "json_fallback": given(**inputs("replies")) + f"SELECT event_id, {REPLY} AS text FROM replies",
     "reply_error": given(**inputs("replies"))
     + f"""SELECT event_id, CASE WHEN status BETWEEN 200 AND 299 THEN {REPLY}
@@ -301,6 +304,21 @@ ORACLE_SQL = {
     "first_file": given(**inputs("named_files")) + "SELECT session, arg_min(name, pos) AS name FROM named_files GROUP BY 1",
     "assemble_pages": "SELECT conv_id AS doc_id, string_agg(text || chr(10) || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY 1",
     "approved_version": "SELECT conv_id AS doc_id, max(turn) AS version, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY 1",
+    "session_documents": """WITH versions AS (SELECT conv_id AS doc_id, turn AS saved_at, text FROM conversations
+            WHERE role = 'assistant' AND turn % 4 <> 1)
+        SELECT a.conv_id AS doc_id, a.turn AS ts, a.role, v.saved_at, v.text FROM conversations a
+        ASOF LEFT JOIN versions v ON a.conv_id = v.doc_id AND a.turn >= v.saved_at""",
+    "decode_files": r"""SELECT doc_id, CASE doc_id % 6 WHEN 4 THEN 'application/pdf' WHEN 5 THEN 'application/octet-stream' ELSE 'text/plain' END AS mime,
+        CASE doc_id % 6 WHEN 2 THEN 'UTF-16' WHEN 3 THEN 'windows-1252' WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE 'UTF-8' END AS charset,
+        CASE doc_id % 6 WHEN 4 THEN 'paged' WHEN 5 THEN 'rejected' ELSE 'text' END AS route,
+        CASE doc_id % 6 WHEN 5 THEN 'error' ELSE 'ok' END AS status, CASE doc_id % 6 WHEN 5 THEN 'no text' END AS error,
+        CASE doc_id % 6 WHEN 3 THEN sha256('é' || regexp_replace(coalesce(text, ''), '[^\x{1}-\x{FF}]', '?', 'g'))
+            WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE sha256(coalesce(text, '')) END AS text_sha256 FROM documents""".replace("\\\\", "\\"),
+    "load_files": """SELECT 'text' AS route, 'UTF-8' AS charset, 'ok' AS status, CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS n_bytes,
+        CAST(sum(length(coalesce(text, '')) + 1) AS BIGINT) AS n_chars FROM documents""",
+    "save_letters": PAIRED
+    + f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'final' ELSE 'with_markers' END AS kind,
+        sha256(CASE WHEN resume = '' AND posting = '' THEN '' ELSE {LETTER} END) AS text_sha256 FROM highlights""",
     "load_text": "SELECT doc_id % 8 AS part, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars FROM documents GROUP BY 1",
     "write_letters": PAIRED
     + f"""SELECT kind, count(*) AS n, CAST(sum(length(letter) + 1) AS BIGINT) AS n_chars, CAST(sum(length(letter) + 1) AS BIGINT) AS n_chars_of_files

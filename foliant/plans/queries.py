@@ -171,6 +171,14 @@ of(
     "documents",
     "benchmark",
 )
+of(
+    "build_requests",
+    lambda d, b: compose.build_requests(
+        inputs.pairs(d, b).withColumn("key", F.when(F.col("doc_id") % 2 == 0, "").otherwise("k")), key="key"
+    ).select("doc_id", F.length("request").cast("long").alias("n_chars"), "status", "error"),
+    "documents",
+    "benchmark",
+)
 of(
     "json_fallback",
     lambda e: inputs.replies(e).select("event_id", compose.reply_text(F.col("reply")).alias("text")),
@@ -300,6 +308,41 @@ of(
     ),
     "conversations",
 )
+of(
+    "session_documents",
+    lambda c: files.session_documents(inputs.versions(c), inputs.asks(c)).select("doc_id", "ts", "role", "saved_at", "text"),
+    "conversations",
+)
+of(
+    "decode_files",
+    lambda d: files.decode_files(inputs.coded_files(d)).select(
+        "doc_id", "mime", "charset", "route", "status", "error", F.sha2("text", 256).alias("text_sha256")
+    ),
+    "documents",
+)
+
+
+@query
+def load_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written by Spark in four folders, read back as bytes: what each folder's files hold."""
+    folder = shared_folder(spark, "files")
+    docs = table(spark, sf_dir, "documents").select(or_empty(F.col("text")).alias("value"), (F.col("doc_id") % 4).alias("part"))
+    docs.write.partitionBy("part").option("maxRecordsPerFile", 200).text(folder)
+    found = files.load_files(spark, f"{folder}/part=*/*.txt").groupBy("route", "charset", "status")
+    return found.agg(F.sum("size").alias("n_bytes"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query
+def save_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every letter saved as a file of its own, and each file read back."""
+    folder = shared_folder(spark, "saved")
+    letters = QUERIES["render_letter"](spark, sf_dir)
+    kind = F.when(F.col("doc_id") % 2 == 0, "final").otherwise("with_markers")
+    name = F.concat(F.lit("letter-"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    files.save_letters(letters.withColumns({"kind": kind, "name": name}), folder)
+    read = files.load_text(spark, folder, keep=("kind",))
+    doc_id = F.regexp_extract("name", "[0-9]+", 0).cast("long")
+    return read.select(doc_id.alias("doc_id"), "kind", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.functions.text import or_empty
+from foliant.functions.text import or_empty, unused
 from foliant.operators.pages import job_text
 
 
@@ -40,12 +40,13 @@ UNABLE = "Unable to fetch job posting. CORS or network blocked. Paste job text m
 def load_job_postings(rows: DataFrame, *, json: str = "json") -> DataFrame:
     """The rows with ``posting`` and ``status``: ok, or error for what is no JSON object."""
     parsed = F.from_json(json, T.StructType([*POSTING.fields, T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad"})
-    read = rows.withColumn("_read", parsed)
-    bad = F.col("_read").isNull() | F.col("_read._bad").isNotNull()
-    posting = F.struct(*[F.col(f"_read.{f}").alias(f) for f in POSTING.names])
+    name = unused("read", rows)
+    read = rows.withColumn(name, parsed)
+    bad = F.col(name).isNull() | F.col(f"{name}._bad").isNotNull()
+    posting = F.struct(*[F.col(f"{name}.{f}").alias(f) for f in POSTING.names])
     return read.withColumns(
         {"posting": F.when(~bad, posting), "status": F.when(bad, "error").otherwise("ok")}
-    ).drop("_read")
+    ).drop(name)
 
 
 def flatten_posting(postings: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -63,12 +64,17 @@ def flatten_posting(postings: DataFrame, *, keep: tuple[str, ...] = ()) -> DataF
 
 
 def posting_fetch_fallback(postings: DataFrame, pages: DataFrame, *, error: str = "no page") -> DataFrame:
-    """The postings (url) with ``text`` and ``status``; without a page, a text that holds the error."""
+    """The postings (url) with ``text`` and ``status``; without a page, a text that holds the error.
+
+    Of pages with one url, the first by html counts, one without html last. Other columns stay, whatever their names.
+    """
     before, after = UNABLE.split("{error}")
-    found = postings.join(pages.select("url", "html", F.lit(True).alias("_has")), "url", "left")
-    has = F.coalesce("_has", F.lit(False))
-    text = F.when(has, job_text(F.col("html"))).otherwise(F.concat(F.lit(before), F.lit(error), F.lit(after)))
-    return found.withColumns({"text": text, "status": F.when(has, "ok").otherwise("error")}).drop("html", "_has")
+    of, html, has = (unused(n, postings) for n in ("of", "page_html", "has"))
+    best = pages.select("url", "html").groupBy("url").agg(F.min("html").alias(html), F.lit(True).alias(has))
+    found = postings.join(best.withColumnRenamed("url", of), F.col("url") == F.col(of), "left")
+    known = F.coalesce(F.col(has), F.lit(False))
+    text = F.when(known, job_text(F.col(html))).otherwise(F.concat(F.lit(before), F.lit(error), F.lit(after)))
+    return found.withColumns({"text": text, "status": F.when(known, "ok").otherwise("error")}).drop(of, html, has)
 
 
 def missing_posting(postings: DataFrame, pages: DataFrame) -> DataFrame:
