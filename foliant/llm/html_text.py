@@ -65,11 +65,16 @@ P_BARRIER = frozenset("td th caption button object table html".split())
 
 MAX_INDENT = 60
 MAX_COLUMN = 80
+#: Cells further to the right follow the one before by two spaces.
+MAX_OFFSET = 1000
+#: Rows of a cell at most, as browsers have it; rowspan=0 stands for all that follow.
+MAX_ROWS = 65_534
 #: Tables within so many others are read row by row, a cell on a line.
 MAX_TABLES = 20
 
 NAME_END = re.compile(r"[\s/>]")
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+AS_BLOCK = re.compile(r"(?i)(?:^|;)\s*display\s*:\s*(?:block|flex|grid|list-item|table)\s*(?:;|!|$)")
 NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
@@ -258,28 +263,47 @@ class Flow:
         return "".join(self.parts)
 
 
-def _table_lines(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Cells (text of one or more lines, columns) in columns of equal width, two spaces apart."""
-    widths: dict[int, int] = {}
+def _placed(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[int, str, int]]]:
+    """(column, text, columns) of each cell of (text, columns, rows): a cell of several rows keeps its columns in them."""
+    out, held = [], []
     for row in rows:
-        at = 0
-        for text, span in row:
-            if span == 1:
-                width = min(max(map(len, text.split("\n"))), MAX_COLUMN)
-                widths[at] = max(widths.get(at, 0), width)
+        at, i, cells, new = 0, 0, [], []
+        for text, span, down in row:
+            while i < len(held) and held[i][0] <= at:
+                at = max(at, held[i][1])
+                i += 1
+            cells.append((at, text, span))
+            if down > 1:
+                new.append((at, at + span, down))
             at += span
+        held = sorted((start, stop, left - 1) for start, stop, left in [*held, *new] if left > 1)
+        out.append(cells)
+    return out
+
+
+def _table_lines(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Cells (text of one or more lines, columns, rows) in columns of equal width, two spaces apart, up to MAX_OFFSET."""
+    placed, widths = _placed(rows), {}
+    for row in placed:
+        for at, text, span in row:
+            if span == 1:
+                widths[at] = max(widths.get(at, 0), min(max(map(len, text.split("\n"))), MAX_COLUMN))
+    offsets, offset, last = {}, 0, 0
+    for at in sorted({at for row in placed for at, _, _ in row} | set(widths)):
+        offset = min(offset + 2 * (at - last), MAX_OFFSET)
+        offsets[at] = offset
+        offset, last = min(offset + widths.get(at, 0), MAX_OFFSET), at
     lines = []
-    for row in rows:
-        cells = [(text.split("\n"), span) for text, span in row]
-        for i in range(max((len(c) for c, _ in cells), default=0)):
-            at, line = 0, []
-            for cell, span in cells:
-                room = sum(widths.get(j, 0) for j in range(at, at + span)) + 2 * (span - 1)
-                line.append((cell[i] if i < len(cell) else "").ljust(room))
-                at += span
-            shown = "  ".join(line).rstrip()
-            if shown:
-                lines.append(shown)
+    for row in placed:
+        cells = [(offsets[at], text.split("\n")) for at, text, _ in row if text]
+        i = 0
+        while cells:  # a cell takes part in as many lines as it has
+            line = ""
+            for at, cell in cells:
+                line = (line.ljust(at - 2) + "  " if line else " " * at) + cell[i]
+            lines.append(line)
+            i += 1
+            cells = [(at, cell) for at, cell in cells if len(cell) > i]
     return lines
 
 
@@ -301,6 +325,8 @@ def render(page: str | None) -> str | None:
                 continue
             if selects and not selects[-1]["inside"]:
                 continue
+            if tables and tables[-1]["cell"] is None:
+                flow.breaks(1)  # text of a table itself stands before the table
             if pre:
                 if fresh:  # a line break right after the tag isn't shown
                     text = re.sub(r"\A\r?\n", "", text)
@@ -319,13 +345,16 @@ def render(page: str | None) -> str | None:
             style = attributes.get("style", "")
             unseen = value in HIDDEN or "hidden" in attributes or bool(NO_DISPLAY.search(style))
             unseen = unseen or value == "input" or value == "dialog" and "open" not in attributes
-            marks.append((unseen, flow.indent, seen))
+            block = value not in BLOCK and bool(AS_BLOCK.search(style))
+            marks.append((unseen, flow.indent, seen, block))
             hidden += unseen
             if hidden:
                 continue
             visibility = VISIBILITY.findall(style)
             if visibility:
                 seen = visibility[-1].lower() == "visible"
+            if block:
+                flow.breaks(1)
             if value == "br":
                 flow.line_break()
             elif value in BLOCK:
@@ -335,6 +364,8 @@ def render(page: str | None) -> str | None:
                 lists.append([value, int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1])
             elif value == "li":
                 kind = lists[-1] if lists else ["ul", 1]
+                if re.fullmatch(r"-?[0-9]{1,9}", attributes.get("value", "")):
+                    kind[1] = int(attributes["value"])
                 flow.marker = f"{kind[1]}. " if kind[0] == "ol" else "- "
                 kind[1] += 1
                 flow.indent = (flow.indent + " " * len(flow.marker))[:MAX_INDENT]
@@ -351,31 +382,35 @@ def render(page: str | None) -> str | None:
                 flows.append(Flow())
             elif value == "table":
                 deep = len(tables) >= MAX_TABLES
-                tables.append({"rows": [], "cell": 1 if deep else None, "depth": len(flows), "lists": lists, "pre": pre})
+                tables.append({"rows": [], "cell": (1, 1) if deep else None, "depth": len(flows), "lists": lists, "pre": pre})
                 lists, pre = [], 0
             elif value in ("tr", "td", "th") and len(tables) > MAX_TABLES:
                 flow.breaks(1)
             elif value == "tr" and tables and tables[-1]["cell"] is None:
                 tables[-1]["rows"].append([])
             elif value in ("td", "th") and tables and tables[-1]["cell"] is None:
-                span = attributes.get("colspan", "1")
-                tables[-1]["cell"] = int(span) if re.fullmatch(r"[1-9][0-9]{0,2}", span) else 1
+                span, down = attributes.get("colspan", "1"), attributes.get("rowspan", "1")
+                tables[-1]["cell"] = (
+                    int(span) if re.fullmatch(r"[1-9][0-9]{0,2}", span) else 1,
+                    MAX_ROWS if down == "0" else min(int(down), MAX_ROWS) if re.fullmatch(r"[1-9][0-9]{0,8}", down) else 1,
+                )
                 tables[-1]["depth"] = len(flows)
                 flows.append(Flow())
         else:
-            unseen, indent, before = marks.pop()
+            unseen, indent, before, block = marks.pop()
             if not hidden:
                 if value in ("td", "th") and tables and tables[-1]["cell"] is not None and len(flows) > tables[-1]["depth"]:
                     inside = [line.rstrip() for line in flows.pop().done().split("\n")]
                     text = "\n".join([line for line in inside if line])
                     if not tables[-1]["rows"]:
                         tables[-1]["rows"].append([])
-                    tables[-1]["rows"][-1].append((text, tables[-1]["cell"]))
+                    tables[-1]["rows"][-1].append((text, *tables[-1]["cell"]))
                     tables[-1]["cell"] = None
                     flow = flows[-1]
                 elif value == "table" and tables:
                     table = tables.pop()
                     lists, pre = table["lists"], table["pre"]
+                    flow.breaks(1)  # after text that stands in the table itself
                     flow.lines(_table_lines(table["rows"]))
                 elif value == "option" and selects and selects[-1]["inside"]:
                     select = selects[-1]
@@ -393,6 +428,8 @@ def render(page: str | None) -> str | None:
                     lists.pop()
                 elif value in PRE:
                     pre -= 1
+                if block:
+                    flow.breaks(1)
                 if value in BLOCK:
                     if value == "li":
                         flow.marker = ""

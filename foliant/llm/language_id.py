@@ -8,7 +8,8 @@ Text is lower-cased; letters stay, each run of other characters is one space. It
 characters, many at once: each step looks up the next state of all segments in the automaton's transition table.
 
 Learned from at most ``sample_docs`` labelled documents of each language (those of the smallest hash of the id, spread
-over the corpus) and SAMPLE_CHARS of their characters, shared evenly among them; all texts are parsed whole.
+over the corpus) and ``sample_chars`` of their characters, shared evenly among them; of rows that repeat an id and a
+language the first text counts. All texts are parsed whole.
 
 Defined results: ``und`` with score 0 for a text that is null or has no letter, or if nothing was learned; otherwise
 the score is the second-best entropy over the sum of the two best (0.5: undecided), or 1 if one language is known.
@@ -90,11 +91,17 @@ def shared_out(sizes: list[int], total: int) -> list[int]:
     return shares
 
 
-def _learn(rows: pd.DataFrame) -> pd.DataFrame:
+def _learner(sample_chars: int):
+    if sample_chars > SAMPLE_CHARS:
+        raise ValueError(f"at most {SAMPLE_CHARS} characters, as states are numbers of 16 bits")
+    return lambda rows: _learn(rows, sample_chars)
+
+
+def _learn(rows: pd.DataFrame, sample_chars: int = SAMPLE_CHARS) -> pd.DataFrame:
     """The automaton of one language; code 0 is the space, the others are its letters in order."""
     texts = [x for x in (plain(t) for t in rows.sort_values(["rank", "text"])["text"]) if x]
-    shares = shared_out([len(x) + 1 for x in texts], SAMPLE_CHARS)
-    text = " ".join([x[:n] for x, n in zip(texts, shares) if n])[:SAMPLE_CHARS]
+    shares = shared_out([len(x) + 1 for x in texts], sample_chars)
+    text = " ".join([x[:n] for x, n in zip(texts, shares) if n])[:sample_chars]
     letters = "".join(sorted(set(text) - {" "}))
     code = {" ": 0} | {c: i + 1 for i, c in enumerate(letters)}
     table = suffix_automaton([code[c] for c in text], len(code))
@@ -110,15 +117,17 @@ def learn(
     text_col: str = "text",
     lang_col: str = "lang",
     sample_docs: int = SAMPLE_DOCS,
+    sample_chars: int = SAMPLE_CHARS,
 ) -> DataFrame:
     """lang, letters, n_chars, states: the automaton of each language of the labelled documents ``docs``."""
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     known = known.where("lang is not null and text is not null")
     first = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = known.select("id", "lang").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample_docs)
+    ids = known.select("id", "lang").distinct()
+    chosen = ids.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample_docs)
     chosen = F.broadcast(chosen)  # sample_docs rows for each language
-    rows = known.join(chosen, ["id", "lang"]).select("lang", "text", "rank")
-    return rows.groupBy("lang").applyInPandas(_learn, "lang string, letters string, n_chars long, states binary")
+    rows = known.join(chosen, ["id", "lang"]).groupBy("lang", "rank").agg(F.min("text").alias("text"))
+    return rows.groupBy("lang").applyInPandas(_learner(sample_chars), "lang string, letters string, n_chars long, states binary")
 
 
 class CrossParser:
