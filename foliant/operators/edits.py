@@ -181,7 +181,8 @@ def _merge_group(rows: pd.DataFrame) -> pd.DataFrame:
 
 def compose_inserts(drops: DataFrame, lengths: DataFrame) -> DataFrame:
     """key, n, places, texts: what all drops of a key come to. ``drops``: key, seq, offset, text; ``lengths``: key, n."""
-    rows = drops.where("offset is not null").join(lengths.where("key is not null"), "key")
+    lengths = cut(lengths.where("key is not null"))  # as ranges are found by a pass of their own
+    rows = drops.where("offset is not null").join(lengths, "key")
     rows = rows.select("key", "n", "seq", F.col("offset").cast("long").alias("offset"), "text")
     placed = in_order(rows, "key", "n", "seq", "offset", "text")
     split = cut(_parts(placed, F.length("text")))
@@ -263,7 +264,7 @@ def noop_move_filter(moves: DataFrame) -> DataFrame:
 
 def compose_moves(moves: DataFrame, sizes: DataFrame) -> DataFrame:
     """key, n, places: where the value of each slot comes from. ``moves``: key, seq, from, to; ``sizes``: key, n slots."""
-    rows = noop_move_filter(moves).join(sizes.where("key is not null"), "key")
+    rows = noop_move_filter(moves).join(cut(sizes.where("key is not null")), "key")
     rows = rows.where("`from` between 0 and n - 1 and `to` between 0 and n - 1")
     placed = in_order(rows.select("key", "n", "seq", "from", "to"), "key", "n", "seq", "from", "to")
     schema = T.StructType(
