@@ -13,8 +13,10 @@ only if they differ in two bits or fewer, and each meets only the smallest node
 Components: every node takes the smallest label among its neighbours and then its label's label, until nothing
 changes; each round is written to the shared folder, two of which stay there.
 
-That is ``near_duplicates``. ``representatives``, for the pipeline, takes another measure: it links texts by the exact
-similarity of their sets of five-word shingles, among candidates that share a band of minima of shingle hashes.
+That is ``near_duplicates``. ``representatives``, for the pipeline, links texts by the exact similarity of their sets of
+five-word shingles. Its candidates are texts whose SimHash fingerprints over those shingles agree on three of eight
+blocks and differ in 24 bits or fewer (``close_pairs``). Similar texts that agree on fewer blocks follow by an exact
+way: bands of minima of shingle hashes show which are still apart, an inverted index of rare shingles joins them.
 
 Defined results: a null text is an empty text; texts without words have fingerprint zero and are linked like any
 other; rows that repeat a doc_id give repeated rows; null ids count as larger than all others and are returned; ids
@@ -46,6 +48,9 @@ LARGE_GROUP = 64
 SIMILAR_SHINGLE = 5
 SIMILAR = 0.8
 BANDS, BAND_ROWS = 32, 3
+#: Fingerprints of such texts differ in about 10 bits at the threshold, with a deviation of 3. All that differ in
+#: SIMILAR_BLOCKS bits or fewer agree on a choice of blocks, and so do many that differ in up to SIMILAR_RADIUS.
+SIMILAR_BLOCKS, SIMILAR_RADIUS = 5, 24
 #: Longs that hold the parities of a set of shingles, by which dissimilar pairs are told without their sets.
 PARITY_WORDS = 16
 
@@ -62,7 +67,11 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     starts = np.concatenate(([0], ends[:-1]))[: len(words) - size + 1].tolist()
     stops = (ends[size - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], np.uint64)
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit k is set if it is set in over half of the hashes."""
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     whole = len(bits) // 255 * 255
     counts = bits[whole:].sum(axis=0, dtype=np.int64)
@@ -196,13 +205,19 @@ def name_of(text: bytes) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(text.lower().split()), SEED)
 
 
-@F.pandas_udf(StructType([StructField("name", BinaryType()), StructField("bands", ArrayType(LongType()))]))
+@F.pandas_udf(
+    StructType(
+        [StructField("name", BinaryType()), StructField("fp", LongType()), StructField("bands", ArrayType(LongType()))]
+    )
+)
 def _banded(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     multipliers = _multipliers()
     for batch in texts:
         plain = [(t or "").encode() for t in batch]
-        found = [bands(shingles(t), multipliers).view(np.int64) for t in plain]
-        yield pd.DataFrame({"name": [*map(name_of, plain)], "bands": found})
+        sets = [shingles(t) for t in plain]
+        fps = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
+        found = [bands(s, multipliers).view(np.int64) for s in sets]
+        yield pd.DataFrame({"name": [*map(name_of, plain)], "fp": fps, "bands": found})
 
 
 @F.pandas_udf(BinaryType())
@@ -226,6 +241,28 @@ def _parities(sets: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([np.packbits(x.astype(np.uint8)).view(np.int64) for x in odd])
 
 
+def close_pairs(nodes: DataFrame, *, large_group: int = LARGE_GROUP) -> DataFrame:
+    """Pairs (a, b), a < b, of texts that agree on three blocks of their fingerprints and differ in SIMILAR_RADIUS bits or
+    fewer: each text with the smallest such one of each choice of blocks. ``nodes``: t, fp.
+
+    Where more than ``large_group`` agree, a text meets only the smallest of all.
+    """
+
+    def close(x, y):
+        return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= SIMILAR_RADIUS
+
+    blocks = _blocks(nodes.select("fp", F.col("t").alias("node")), block_masks(SIMILAR_BLOCKS))
+    keyed = blocks.select(F.xxhash64("choice", "block").alias("k"), F.col("node").alias("t"), "fp")
+    groups = keyed.groupBy("k").agg(F.min(F.struct("t", "fp")).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = cut(keyed.join(groups, "k"))
+    large = members.where((F.col("n") > large_group) & F.expr("low.t < t") & close("low.fp", "fp"))
+    small = members.where(F.col("n") <= large_group).select("k", "t", "fp")
+    left, right = small.alias("l"), small.alias("r")
+    met = left.join(right, (F.col("l.k") == F.col("r.k")) & (F.col("l.t") < F.col("r.t")) & close("l.fp", "r.fp"))
+    first = met.groupBy("r.k", F.col("r.t").alias("b")).agg(F.min("l.t").alias("a")).select("a", "b")
+    return cut(first.union(large.select("low.t", "t")).distinct())
+
+
 def _similar_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Those of the pairs (a, b) whose sets of shingles are similar. ``sets``: t, s."""
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
@@ -286,26 +323,28 @@ def similar(
 ) -> DataFrame:
     """doc_id, name, component: name stands for the words of a row; texts are linked at the threshold of similarity.
 
-    Texts that share one of BANDS bands are candidates: at a similarity of 0.8 a pair shares none with a probability
-    of (1 - 0.8^3)^32 = 1e-10. Each text meets the smallest of its band first; a band whose texts are then all
-    connected needs no more pairs, so that a large group of near copies gives a few pairs for each text. The texts of
-    all other bands are joined through their rarest shingles: those that list one meet a hub first, and what is then
-    still apart is joined exactly (``_prefixes``, ``_hub_pairs``, ``_candidates``).
+    Candidates are the texts with close fingerprints (``close_pairs``). What those miss is found exactly: texts that
+    share one of BANDS bands may be similar, and at a similarity of 0.8 a pair shares none with a probability of
+    (1 - 0.8^3)^32 = 1e-10. A band whose texts fingerprints have connected needs no more pairs, so that a large group
+    of near copies gives a few pairs for each text. The texts of all other bands are joined through their rarest
+    shingles: those that list one meet a hub first, and what is then still apart is joined exactly (``_prefixes``,
+    ``_hub_pairs``, ``_candidates``).
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = cut(small_batches(named).select("doc_id", _banded("text").alias("f")).select("doc_id", "f.*"))
     # Equal texts are one, under a number; the row with the smallest id gives its words.
-    once = found.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    once = found.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     once = cut(once.withColumn("t", F.monotonically_increasing_id()))
+    close = close_pairs(once.select("t", "fp"))
     keyed = once.select("t", F.explode("bands").alias("k"))
-    shared = keyed.groupBy("k").agg(F.min("t").alias("a"), F.max("t").alias("z")).where("a < z").select("k", "a")
+    shared = keyed.groupBy("k").agg(F.min("t").alias("a"), F.max("t").alias("z")).where("a < z").select("k")
     members = cut(keyed.join(shared, "k"))
-    met = once.select("doc_id", "name", "t").join(members.select("t").distinct(), "t")
+    needed = members.select("t").union(close.select("a")).union(close.select("b")).distinct()
+    met = once.select("doc_id", "name", "t").join(needed, "t")
     rows = small_batches(named).withColumn("name", _named("text")).join(met, ["doc_id", "name"])
     plain = rows.groupBy("doc_id", "name").agg(F.first("t").alias("t"), F.first("text").alias("text"))
     sets = cut(small_batches(plain).select("t", _shingled("text").alias("s")))
-    stars = members.where("a < t").select("a", F.col("t").alias("b")).distinct()
-    near = cut(_similar_pairs(stars, sets, threshold))
+    near = cut(_similar_pairs(close, sets, threshold))
     labels = components(near).withColumnRenamed("node", "t")
     placed = members.join(labels, "t", "left").select("k", "t", F.coalesce("label", "t").alias("label"))
     mixed = placed.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")

@@ -22,8 +22,9 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id. Null and empty texts are one group; of rows
-    that repeat an id and a text one stays; rows without an id stay; other columns stay, whatever their names."""
+    """Of each group of near duplicates (by SimHash, verified, with an exact way for what that misses), the document with
+    the smallest id. Null and empty texts are one group; of rows that repeat an id and a text one stays; rows without an
+    id stay; other columns stay, whatever their names."""
     return near_duplicates.representatives(docs)
 
 

@@ -419,6 +419,41 @@ def test_representatives_of_planted_near_copies(spark):
     assert len(want) < len(set(components_by_brute_force({i: fingerprint_by_brute_force(t) for i, t in enumerate(rows)}).values()))
 
 
+@pytest.mark.parametrize("large_group", [1, 64])
+def test_close_fingerprints_meet(spark, large_group):
+    rng = random.Random(23)
+    values = [rng.getrandbits(64) for _ in range(8)]
+    for base in values[:8]:
+        for bits in (0, 1, 3, 5, 5, 9, 20):
+            values.append(base ^ sum(1 << b for b in rng.sample(range(64), bits)))
+    nodes = spark.createDataFrame([(t, v - (1 << 64) if v >> 63 else v) for t, v in enumerate(values)], "t long, fp long")
+    found = {tuple(r) for r in near_duplicates.close_pairs(nodes, large_group=large_group).collect()}
+    differ = {(a, b): (values[a] ^ values[b]).bit_count() for b in range(len(values)) for a in range(b)}
+    assert all(differ[pair] <= near_duplicates.SIMILAR_RADIUS for pair in found)
+    if large_group == 64:  # each text has the smallest of those within the radius that surely agree on blocks, or a smaller one
+        for b in range(len(values)):
+            near = [a for a in range(b) if differ[a, b] <= near_duplicates.SIMILAR_BLOCKS]
+            assert not near or min(a for a, z in found if z == b) <= min(near)
+
+
+def test_representatives_come_through_fingerprints(spark, monkeypatch):
+    rng = random.Random(24)
+    rows = []
+    for _ in range(6):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        rows += [" ".join(words), " ".join([*words[:150], "x", *words[151:]])]
+    met, close_pairs = [], near_duplicates.close_pairs
+    monkeypatch.setattr(near_duplicates, "close_pairs", lambda nodes: met.append(close_pairs(nodes)) or met[0])
+    # Without what follows the fingerprints, the links are those that fingerprints find.
+    monkeypatch.setattr(near_duplicates, "_hub_pairs", lambda listed, labels: met[0].limit(0))
+    monkeypatch.setattr(near_duplicates, "_candidates", lambda listed, labels, threshold: met[0].limit(0))
+    found = sorted(r["doc_id"] for r in near_duplicates.representatives(docs_of(spark, rows)).collect())
+    sets = [near_duplicates.shingles(t.encode()) for t in rows]
+    near = [(near_duplicates.majority(sets[i]) ^ near_duplicates.majority(sets[i + 1])).bit_count() for i in range(0, 12, 2)]
+    sure = {i for i, bits in zip(range(1, 12, 2), near) if bits <= near_duplicates.SIMILAR_BLOCKS}
+    assert len(met) == 1 and len(sure) >= 3 and not sure & set(found) and set(range(0, 12, 2)) <= set(found)
+
+
 # 7 Rules
 def test_the_order_of_rules_changes_no_verdict(spark, documents):
     rules = quality_rules.BASE_RULES + quality_rules.EXTRA_RULES
