@@ -14,9 +14,10 @@ Components: every node takes the smallest label among its neighbours and then it
 changes; each round is written to the shared folder, two of which stay there.
 
 That is ``near_duplicates``. ``representatives``, for the pipeline, links texts by the exact similarity of their sets of
-five-word shingles. Its candidates are texts whose SimHash fingerprints over those shingles agree on three of eight
+five-word shingles. Its candidates are texts whose SimHash fingerprints over those shingles agree on three of six
 blocks and differ in 24 bits or fewer (``close_pairs``). Similar texts that agree on fewer blocks follow by an exact
 way: bands of minima of shingle hashes show which are still apart, an inverted index of rare shingles joins them.
+Texts are long and are dealt by key only where their ids are marked in a bitmap, as they may be similar to another.
 
 Defined results: a null text is an empty text; texts without words have fingerprint zero and are linked like any
 other; rows that repeat a doc_id give repeated rows; null ids count as larger than all others and are returned; ids
@@ -49,8 +50,9 @@ SIMILAR_SHINGLE = 5
 SIMILAR = 0.8
 BANDS, BAND_ROWS = 32, 3
 #: Fingerprints of such texts differ in about 10 bits at the threshold, with a deviation of 3. All that differ in
-#: SIMILAR_BLOCKS bits or fewer agree on a choice of blocks, and so do many that differ in up to SIMILAR_RADIUS.
-SIMILAR_BLOCKS, SIMILAR_RADIUS = 5, 24
+#: SIMILAR_BLOCKS bits or fewer agree on a choice of blocks, and so do many that differ in up to SIMILAR_RADIUS. Three
+#: of six blocks are 32 bits, so that few texts agree by chance also among hundreds of millions.
+SIMILAR_BLOCKS, SIMILAR_RADIUS = 3, 24
 #: Longs that hold the parities of a set of shingles, by which dissimilar pairs are told without their sets.
 PARITY_WORDS = 16
 
@@ -241,6 +243,34 @@ def _parities(sets: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([np.packbits(x.astype(np.uint8)).view(np.int64) for x in odd])
 
 
+MARKS_A_ROW, MAX_MARK_BITS = 8, 28  # of a bitmap: 32 MB at most
+
+
+def _by_marks(docs: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose id may be among ``ids`` (one column), with a few others, and the rows whose id surely is not.
+
+    No row is dealt for that: the hashes of the ids are marked in a bitmap that goes to all.
+    """
+    ids = cut(ids.distinct())
+    width = min(MAX_MARK_BITS, max(15, (MARKS_A_ROW * ids.count()).bit_length()))
+
+    def place(column):
+        return F.xxhash64(column).bitwiseAND(F.lit((1 << width) - 1))
+
+    def within(at):
+        return at.bitwiseAND(F.lit((1 << 15) - 1))
+
+    marks = ids.select(place(ids.columns[0]).alias("at")).groupBy(F.shiftright("at", 15).alias("part"))
+    marks = marks.agg(F.bitmap_construct_agg(within(F.col("at"))).alias("bits"))
+    part, bits = unused("part", docs), unused("bits", docs)
+    at = within(place(id_col))
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.coalesce(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    placed = docs.withColumn(part, F.shiftright(place(id_col), 15))
+    placed = placed.join(F.broadcast(cut(marks).toDF(part, bits)), part, "left")
+    return placed.where(marked).select(*docs.columns), placed.where(~marked).select(*docs.columns)
+
+
 def close_pairs(nodes: DataFrame, *, large_group: int = LARGE_GROUP) -> DataFrame:
     """Pairs (a, b), a < b, of texts that agree on three blocks of their fingerprints and differ in SIMILAR_RADIUS bits or
     fewer: each text with the smallest such one of each choice of blocks. ``nodes``: t, fp.
@@ -253,14 +283,15 @@ def close_pairs(nodes: DataFrame, *, large_group: int = LARGE_GROUP) -> DataFram
 
     blocks = _blocks(nodes.select("fp", F.col("t").alias("node")), block_masks(SIMILAR_BLOCKS))
     keyed = blocks.select(F.xxhash64("choice", "block").alias("k"), F.col("node").alias("t"), "fp")
-    groups = keyed.groupBy("k").agg(F.min(F.struct("t", "fp")).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = keyed.groupBy("k").agg(F.min("t").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut(keyed.join(groups, "k"))
-    large = members.where((F.col("n") > large_group) & F.expr("low.t < t") & close("low.fp", "fp"))
+    large = members.where((F.col("n") > large_group) & (F.col("low") < F.col("t"))).select("low", "t", "fp").distinct()
+    large = large.join(nodes.select(F.col("t").alias("low"), F.col("fp").alias("low_fp")), "low").where(close("low_fp", "fp"))
     small = members.where(F.col("n") <= large_group).select("k", "t", "fp")
     left, right = small.alias("l"), small.alias("r")
     met = left.join(right, (F.col("l.k") == F.col("r.k")) & (F.col("l.t") < F.col("r.t")) & close("l.fp", "r.fp"))
     first = met.groupBy("r.k", F.col("r.t").alias("b")).agg(F.min("l.t").alias("a")).select("a", "b")
-    return cut(first.union(large.select("low.t", "t")).distinct())
+    return cut(first.union(large.select("low", "t")).distinct())
 
 
 def _similar_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -318,6 +349,20 @@ def _candidates(listed: DataFrame, labels: DataFrame, threshold: float) -> DataF
     return met.select(F.least("l.t", "r.t").alias("a"), F.greatest("l.t", "r.t").alias("b")).distinct()
 
 
+def _merged(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """t, label: the components of what ``labels`` (t, label) has linked and of the further pairs (a, b).
+
+    Only the pairs between components go through rounds, by the labels of those.
+    """
+    known = pairs.join(labels.toDF("a", "low_a"), "a", "left").join(labels.toDF("b", "low_b"), "b", "left")
+    known = known.select("a", "b", F.coalesce("low_a", "a").alias("low_a"), F.coalesce("low_b", "b").alias("low_b"))
+    known = cut(known.where("low_a <> low_b"))
+    over = components(known.select("low_a", "low_b").distinct().toDF("a", "b")).toDF("label", "low")
+    ends = known.select("a", "low_a").union(known.select("b", "low_b")).toDF("t", "label")
+    every = labels.select("t", "label").union(ends).distinct()
+    return every.join(over, "label", "left").select("t", F.coalesce("low", "label").alias("label"))
+
+
 def similar(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILAR
 ) -> DataFrame:
@@ -340,8 +385,9 @@ def similar(
     shared = keyed.groupBy("k").agg(F.min("t").alias("a"), F.max("t").alias("z")).where("a < z").select("k")
     members = cut(keyed.join(shared, "k"))
     needed = members.select("t").union(close.select("a")).union(close.select("b")).distinct()
-    met = once.select("doc_id", "name", "t").join(needed, "t")
-    rows = small_batches(named).withColumn("name", _named("text")).join(met, ["doc_id", "name"])
+    met = cut(once.select("doc_id", "name", "t").join(needed, "t"))
+    maybe, _ = _by_marks(named, "doc_id", met.select("doc_id"))
+    rows = small_batches(maybe).withColumn("name", _named("text")).join(met, ["doc_id", "name"])
     plain = rows.groupBy("doc_id", "name").agg(F.first("t").alias("t"), F.first("text").alias("text"))
     sets = cut(small_batches(plain).select("t", _shingled("text").alias("s")))
     near = cut(_similar_pairs(close, sets, threshold))
@@ -351,11 +397,10 @@ def similar(
     apart = cut(placed.join(mixed.select("k"), "k").select("t", "label").distinct())
     theirs = cut(sets.join(apart.select("t"), "t", "left_semi").withColumn("odd", _parities("s")))
     listed = cut(_prefixes(theirs, threshold))
-    near = cut(near.union(_similar_pairs(_hub_pairs(listed, apart), sets, threshold)))
-    labels = components(near).withColumnRenamed("node", "t")
+    labels = cut(_merged(labels, cut(_similar_pairs(_hub_pairs(listed, apart), sets, threshold))))
     labelled = theirs.select("t", "odd").join(labels, "t", "left").withColumn("label", F.coalesce("label", "t"))
     more = _similar_pairs(cut(_candidates(listed, labelled, threshold)), sets, threshold)
-    whole = components(cut(near.union(more))).withColumnRenamed("node", "t")
+    whole = _merged(labels, cut(more))
     classes = once.select("name", "t").join(whole, "t", "left").select("name", F.coalesce("label", "t").alias("component"))
     return found.select("doc_id", "name").join(classes, "name")
 
@@ -369,10 +414,13 @@ def representatives(
     """
     known = docs.where(F.col(id_col).isNotNull())
     classes = cut(similar(known, id_col=id_col, text_col=text_col, threshold=threshold))
-    best = classes.groupBy("component").agg(F.min(F.struct("doc_id", "name")).alias("best"))
+    best = classes.groupBy("component").agg(F.min(F.struct("doc_id", "name")).alias("best"), F.count(F.lit(1)).alias("n"))
+    best = cut(best)
+    # A row that is alone in its component stays; all others, and all that share an id with those, are looked up.
+    crowded = classes.join(best.where("n > 1").select("component"), "component").select("doc_id")
+    looked_up, alone = _by_marks(known, id_col, crowded)
     name = unused("name", docs)
     stay = best.select(F.col("best.doc_id").alias(id_col), F.col("best.name").alias(name))
-    rows = small_batches(known.join(stay.select(id_col).distinct(), id_col, "left_semi"))
-    rows = rows.withColumn(name, _named(F.col(text_col))).join(stay, [id_col, name], "left_semi")
+    rows = small_batches(looked_up).withColumn(name, _named(F.col(text_col))).join(stay, [id_col, name], "left_semi")
     kept = rows.dropDuplicates([id_col, name]).select(*docs.columns)
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    return kept.unionByName(alone).unionByName(docs.where(F.col(id_col).isNull()))

@@ -436,6 +436,40 @@ def test_close_fingerprints_meet(spark, large_group):
             assert not near or min(a for a, z in found if z == b) <= min(near)
 
 
+def test_rows_are_told_by_marks(spark):
+    ids = [*range(0, 20_000, 100)]
+    docs = spark.createDataFrame([(i, "a", f"text {i}") for i in [*range(20_000), 100, 101]], "doc_id long, part string, text string")
+    for column in ("doc_id", "text"):
+        marked, others = near_duplicates._by_marks(docs, column, docs.where(F.col("doc_id").isin(ids)).select(F.col(column).alias("m")))
+        told, rest = marked.collect(), others.collect()
+        assert sorted([*told, *rest]) == sorted(docs.collect())
+        assert not {r["doc_id"] for r in rest} & set(ids) and len(told) < 6_000
+    marked, others = near_duplicates._by_marks(docs, "doc_id", docs.limit(0).select("doc_id"))
+    assert marked.count() == 0 and others.count() == 20_002
+
+
+def test_links_go_through_rounds_once(spark, monkeypatch):
+    rng = random.Random(25)
+    rows = []
+    for _ in range(8):
+        words = [f"w{rng.randrange(5000)}" for _ in range(100)]
+        rows += [" ".join(words)] + [" ".join([*words[:i], "x", *words[i + 1 :]]) for i in (0, 2, 50, 97)]
+    sizes, components = [], near_duplicates.components
+    monkeypatch.setattr(near_duplicates, "components", lambda pairs: sizes.append(pairs.count()) or components(pairs))
+    found = [r["doc_id"] for r in near_duplicates.representatives(docs_of(spark, rows)).collect()]
+    assert sorted(found) == [*range(0, 40, 5)]
+    assert sizes[0] and sum(sizes) < 40  # no more than the texts: a link that is known isn't given again
+
+
+def test_few_texts_agree_on_blocks_by_chance(spark):
+    rng = random.Random(26)
+    values = [rng.getrandbits(64) - (1 << 63) for _ in range(20_000)]
+    nodes = spark.createDataFrame(list(enumerate(values)), "t long, fp long")
+    keyed = near_duplicates._blocks(nodes.withColumnRenamed("t", "node"), near_duplicates.block_masks(near_duplicates.SIMILAR_BLOCKS))
+    shared = keyed.groupBy("choice", "block").count().where("count > 1").count()
+    assert keyed.count() <= 20 * len(values) and shared < 10  # 0.9 pairs are expected at 32 bits
+
+
 def test_representatives_come_through_fingerprints(spark, monkeypatch):
     rng = random.Random(24)
     rows = []
