@@ -115,7 +115,7 @@ def encode_units(units: DataFrame, pieces: DataFrame, *, unit_col: str = "unit",
         substrings.join(table, "piece", "left")
         .where("id is not null or size = 1")
         .select(*kept, edge.alias("edge"))
-        .groupBy(*kept)
+        .groupBy(unit_col, *keys)  # where groups are sorted, keys tell few of them apart
         .agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     )
 
