@@ -3,14 +3,18 @@
 import base64
 import hashlib
 import io
+import itertools
 import random
 import re
 import zipfile
 from collections import Counter, defaultdict
 from pathlib import Path
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -600,6 +604,70 @@ def test_long_words_get_their_best_path(spark, piece_table):
     assert found[len(words)]["ids"] == joined
 
 
+def test_beaten_pieces_are_left_out(piece_table):
+    _, table, low = piece_table
+    known = pieces.PieceTable(table, max(map(len, table)), 3, low)
+    useful = pieces.useful_pieces(known)
+    assert len(useful) < len(table) / 2  # most of the edges that the lattice had are on no best path
+    rng = random.Random(5)
+    few = {p: table[p] for p in useful}
+    for u in [*rng.sample(sorted(table), 400), *("".join(rng.sample(sorted(table), 4))[: pieces.MAX_UNIT] for _ in range(200))]:
+        assert viterbi(u, few, low) == viterbi(u, table, low)
+
+
+def test_beaten_pieces_by_brute_force():
+    """Random tables, with ties, positive scores, fractions and scores far apart."""
+    rng = random.Random(6)
+    for turn in range(150):
+        scores = [lambda: float(rng.randint(-4, 1)), lambda: rng.uniform(-9, 0), lambda: rng.choice((-0.1, -0.2, -0.3, -1e9))][turn % 3]
+        names = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(60)})
+        table = {p: (300 + i, scores()) for i, p in enumerate(names)}
+        low = min(s for _, s in table.values())
+        useful = pieces.useful_pieces(pieces.PieceTable(table, 6, 3, low))
+        assert all(p in useful for p in table if len(p) == 1)
+        few = {p: table[p] for p in useful}
+        for _ in range(20):
+            u = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 14)))
+            assert viterbi(u, few, low) == viterbi(u, table, low)
+
+
+def test_pieces_that_end_alike(spark):
+    """Pieces of more than TAIL characters with the same end, of which a unit has none, one or several."""
+    names = ["a", "b", "ab", "abab", "babab", "ababab", "aababab", "bbbbbbbb"]
+    table = {p: (300 + i, float(-len(p) % 3) - 4) for i, p in enumerate(names)}
+    rows = [(3 + b, f"<0x{b:02X}>", 0.0, "byte") for b in range(256)] + [(i, p, x, "normal") for p, (i, x) in table.items()]
+    known, low = spark.createDataFrame(rows, "id int, piece string, score double, kind string"), min(x for _, x in table.values())
+    units = ["".join(x) for n in range(1, 8) for x in itertools.product("ab", repeat=n)] + ["b" * 20, "ab" * 9, "acababab"]
+    found = pieces.encode_units(spark.createDataFrame([(u,) for u in units], "unit string"), known)
+    assert {r["unit"]: r["ids"] for r in found.collect()} == {u: viterbi(u, table, low) for u in units}
+
+
+@pytest.mark.parametrize(("words", "n_bytes"), [(1_000_000, 32_000_000), (9, 32_000_000), (1_000_000, 300), (1, 1)])
+def test_blocks_end_by_words_and_bytes(spark, piece_table, monkeypatch, words, n_bytes):
+    known, table, low = piece_table
+    sent = SimpleNamespace(value=pieces.PieceTable(table, max(map(len, table)), 3, low))
+    monkeypatch.setattr(pieces, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 2)))
+    for name, value in (("BLOCK_WORDS", words), ("BLOCK_BYTES", n_bytes), ("ROW_WORDS", 20)):
+        monkeypatch.setattr(pieces, name, value)
+    texts = ["", None, " \n\x0b ", "x" * 90, "é漢😀 \x00 a▁b", "same", "same", "e.g. i.e.,\x1c (a.b) c.d!!\x85e", "x-y" * 200, "", "the end is near " * 9]
+    ids = [None if i == 4 else str(i) for i in range(len(texts))]
+    batches = [pa.record_batch({"id": pa.array(ids[i : i + 4], pa.string()), "text": pa.array(texts[i : i + 4], pa.string())}) for i in (0, 4, 8)]
+    rows = pa.Table.from_batches(pieces._pack(8, pieces.cut_pattern(known))(iter(batches)))
+    assert pieces.PACKED_TYPE == rows.schema
+    lists, blocks = rows.filter(pc.is_valid(rows["bucket"])), rows.filter(pc.is_null(rows["bucket"]))
+    none = pa.schema({"unit": pa.string(), "ids": pa.list_(pa.int32())}).empty_table()
+    found = [pieces._look_up(sent)(lists.filter(pc.equal(lists["bucket"], b)), none) for b in range(8)]
+    found, got = pa.concat_tables(found), []
+    for b in sorted(set(blocks["block"].to_pylist())):
+        got += pieces._unpack(blocks.filter(pc.equal(blocks["block"], b)), found.filter(pc.equal(found["block"], b))).to_pylist()
+    wanted = [(text or "").replace("▁", " ").encode().split() for text in texts]
+    assert [r["doc_id"] for r in got] == ids
+    assert [r["n_words"] for r in got] == [len(x) for x in wanted]
+    assert [r["ids"] for r in got] == [[i for w in x for i in viterbi("▁" + w.decode(), table, low)] for x in wanted]
+    n_blocks = len(set(blocks["block"].to_pylist()))
+    assert n_blocks == 1 if (words, n_bytes) == (1_000_000, 32_000_000) else n_blocks > 1
+
+
 # 10 Decontamination
 def leaks_by_brute_force(docs, items):
     def words(text):
