@@ -193,7 +193,7 @@ def encode_units(
             path = F.array_append(F.get(best, start_of(top["edge"]))["path"], top["edge"])
             return F.struct(top["score"].alias("score"), path.alias("path"))
 
-        # At equal scores the latest start, and so the shortest piece, is the greatest. (Spark's concat of arrays is slow here.)
+        # At equal scores the latest start, and so the shortest piece, is the greatest.
         return F.array_append(best, let(F.array_max(F.transform(ending, reached)), went))
 
     def bytes_at(start):
