@@ -2,12 +2,16 @@
 
 import os
 import random
+from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.operators import compose, match
 from foliant.plans import inputs
+from foliant.plans.oracle import ORACLE_SQL
+from foliant.plans.queries import QUERIES
 from foliant.sources import files, postings
 from foliant.sources.letters import LetterWriter
 
@@ -168,3 +172,30 @@ def test_pairs_by_the_order_of_items(spark):
     found = {r["doc_id"]: r["item_id"] for r in inputs.pairs(docs, items).collect()}
     assert found == {i: 9 if i % 2 else 0 for i in range(-2, 18)}
     assert inputs.pairs(docs, items.where("item_id = 7")).count() == 0
+
+
+def same_as_sql(spark, folder, name):
+    duck = duckdb.connect()
+    for file in os.listdir(folder):
+        duck.execute(f"CREATE VIEW {file.split('.')[0]} AS SELECT * FROM '{folder}/{file}/*.parquet'")
+    found, wanted = QUERIES[name](spark, str(folder)), duck.sql(ORACLE_SQL[name])
+    rows = Counter(tuple(r[c] for c in wanted.columns) for r in found.collect())
+    assert rows == Counter(wanted.fetchall())
+    return rows
+
+
+@pytest.fixture
+def repeated_pages(spark, tmp_path):
+    """Pages that share an url, that have none, and that have no html."""
+    urls = ["a", "a", "b", "c", "a", "b", "d", "c", None, None, "e", "f", "e", "f"]
+    rows = [(i, url, None if url in ("d", "f") or i == 12 else f"<h1>{i}</h1><p>page {i}</p>") for i, url in enumerate(urls)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    docs = spark.createDataFrame([(1, "text")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    return tmp_path
+
+
+def test_every_page_of_an_url_is_a_row(spark, repeated_pages):
+    rows = same_as_sql(spark, repeated_pages, "posting_fetch_fallback")
+    assert rows.total() > 14
+    assert {(i, status) for i, _, status in rows if i in (6, 12)} == {(6, "error"), (12, "ok"), (12, "error")}
