@@ -199,3 +199,8 @@ def test_every_page_of_an_url_is_a_row(spark, repeated_pages):
     rows = same_as_sql(spark, repeated_pages, "posting_fetch_fallback")
     assert rows.total() > 14
     assert {(i, status) for i, _, status in rows if i in (6, 12)} == {(6, "error"), (12, "ok"), (12, "error")}
+
+
+def test_every_page_of_an_url_is_counted(spark, repeated_pages):
+    rows = same_as_sql(spark, repeated_pages, "ingest_errors")
+    assert sum(n for source, _, n in rows if source == "pages") > 14
