@@ -98,3 +98,22 @@ def test_without_frequent_words_or_rows(spark):
     assert match.spread_join(left.limit(0), right, "word", rows=1).count() == 0
     none = texts(spark, 0, "doc_id", 1)
     assert match.top_postings(none, texts(spark, 3, "item_id", 2)).count() == 0
+
+
+def nodes(node):
+    yield node
+    for i in range(node.children().size()):
+        yield from nodes(node.children().apply(i))
+
+
+def test_words_of_texts_without_a_key_dont_carry_the_texts(spark):
+    texts = ["red green red", "green blue", "", None, "red green red", "none shared"]
+    rows = [(i, j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)]
+    pairs = spark.createDataFrame(rows, "a int, b int, resume string, posting string")
+    bare, keyed = match.with_keywords(pairs), match.with_keywords(pairs, resume_key="a", posting_key="b")
+    assert bare.columns == [*pairs.columns, "resume_words", "posting_words"]
+    assert sorted(map(str, bare.collect())) == sorted(map(str, keyed.collect()))
+    plan = bare._jdf.queryExecution().optimizedPlan()
+    counted = [s for n in nodes(plan) if n.nodeName() == "Aggregate" and "word:string" in (s := n.schema().simpleString())]
+    assert len(counted) == 2
+    assert all(s.count("string") == 1 for s in counted), counted
