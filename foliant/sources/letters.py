@@ -1,11 +1,14 @@
-"""A sink of letters: a file for each, written by tasks, all of a job or none.
+"""A sink of letters: a file for each, written by tasks, all of a job or none; and their source.
 
 A task writes its files to a folder of its own beside the others (``_writing-<job>``), through whatever file system the
 path names. When all tasks are done, the driver moves each task's folder into place, one step for each task whatever the
 number of its letters; when one has failed for good, it removes them all, and tasks that go on find no folder to write
 to. Attempts that were given up are never moved.
 
-Defined results: a null text is an empty file (Spark's readers pass empty files over), a null kind the folder that Spark reads as null; a name that a task has
+They are read back by a task for each of these folders, which lists its files itself, so the driver never holds a list of
+letters and a task isn't made for a few of them, as by Spark's readers of files.
+
+Defined results: a null text is an empty file (Spark's readers pass empty files over; here it is an empty text), a null kind the folder that Spark reads as null; a name that a task has
 written for that kind already gets a number; a null, empty or dotted name, or one with a slash, fails the job.
 """
 
@@ -15,14 +18,17 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Row
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 NULL_KIND = "__HIVE_DEFAULT_PARTITION__"
+#: Bytes of letters that a task reads before it hands them on.
+BATCH = 2**22
 
 
 @dataclass
@@ -31,17 +37,26 @@ class Written(WriterCommitMessage):
     task: int
 
 
-class LetterWriter(DataSourceWriter):
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
-        store, root = self._store()
-        store.create_dir(f"{root}/_writing-{self.job}", recursive=True)
+@dataclass
+class TaskFolder(InputPartition):
+    path: str
+
+
+class LetterFolder:
+    path: str
 
     def _store(self) -> tuple[fs.FileSystem, str]:
         if self.path.startswith("file:"):
             return fs.LocalFileSystem(), "/" + self.path.removeprefix("file:").lstrip("/")
         return fs.FileSystem.from_uri(self.path)
 
+
+class LetterWriter(LetterFolder, DataSourceWriter):
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
+        store, root = self._store()
+        store.create_dir(f"{root}/_writing-{self.job}", recursive=True)
+
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
         store, root = self._store()
         task = TaskContext.get().partitionId()
@@ -85,6 +100,43 @@ class LetterWriter(DataSourceWriter):
             store.delete_dir(f"{root}/_gone-{self.job}")
 
 
+class LetterReader(LetterFolder, DataSourceReader):
+    def __init__(self, path: str):
+        self.path = path
+
+    def partitions(self) -> list[TaskFolder]:
+        store, root = self._store()
+        return [TaskFolder(place.path) for place in _inside(store, root, "part=")]
+
+    def read(self, partition: TaskFolder | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no task has written a letter
+            return
+        store, _ = self._store()
+        rows, size = [], 0
+        for place in _inside(store, partition.path, "kind="):
+            kind = unquote(place.base_name.removeprefix("kind="))
+            for file in store.get_file_info(fs.FileSelector(place.path)):
+                if file.type != fs.FileType.File or file.base_name.startswith((".", "_")):
+                    continue
+                with store.open_input_stream(file.path) as stream:
+                    content = stream.read()
+                rows.append({"kind": None if kind == NULL_KIND else kind, "name": file.base_name, "text": content.decode()})
+                size += len(content)
+                if size >= BATCH:
+                    yield pa.RecordBatch.from_pylist(rows, COLUMNS)
+                    rows, size = [], 0
+        yield pa.RecordBatch.from_pylist(rows, COLUMNS)
+
+
+def _inside(store: fs.FileSystem, folder: str, begin: str) -> list[fs.FileInfo]:
+    """The folders of a folder whose names begin so."""
+    found = store.get_file_info(fs.FileSelector(folder))
+    return [place for place in found if place.type == fs.FileType.Directory and place.base_name.startswith(begin)]
+
+
+COLUMNS = pa.schema([(name, pa.string()) for name in ("kind", "name", "text")])
+
+
 class LetterFiles(DataSource):
     """Rows (kind, name, text) as files under the path."""
 
@@ -97,3 +149,6 @@ class LetterFiles(DataSource):
 
     def writer(self, schema, overwrite: bool) -> LetterWriter:
         return LetterWriter(self.options["path"], overwrite)
+
+    def reader(self, schema) -> LetterReader:
+        return LetterReader(self.options["path"])

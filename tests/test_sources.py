@@ -6,13 +6,14 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from foliant.operators import compose, match
 from foliant.plans import inputs
 from foliant.plans.oracle import ORACLE_SQL
 from foliant.plans.queries import QUERIES
-from foliant.sources import files, postings
+from foliant.sources import files, letters, postings
 from foliant.sources.letters import LetterWriter
 
 
@@ -204,3 +205,29 @@ def test_every_page_of_an_url_is_a_row(spark, repeated_pages):
 def test_every_page_of_an_url_is_counted(spark, repeated_pages):
     rows = same_as_sql(spark, repeated_pages, "ingest_errors")
     assert sum(n for source, _, n in rows if source == "pages") > 14
+
+
+def test_letters_are_read_by_the_tasks(spark, tmp_path, monkeypatch):
+    """All letters come back, the empty ones too, and the driver has a folder for each task instead of their files."""
+    rows = [(["a kind/of", "1", None][i % 3], f"n{i}.txt", ["text\n\n", "", "é✓"][i % 3] * i) for i in range(60)]
+    path = f"file://{tmp_path}/out"
+    files.save_letters(spark.createDataFrame(rows, LETTERS).repartition(3), path)
+    found = files.read_letters(spark, path)
+    assert sorted(map(str, found.collect())) == sorted(str(Row(kind=k, name=n, text=t)) for k, n, t in rows)
+    assert found.rdd.getNumPartitions() == 3
+    assert found.inputFiles() == []
+    monkeypatch.setattr(letters, "BATCH", 50)
+    reader = letters.LetterReader(path)
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert len(batches) > 3
+    assert sum(b.num_rows for b in batches) == len(rows)
+    (tmp_path / "none").mkdir()
+    assert files.read_letters(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_no_list_of_letters_in_the_driver(spark, tmp_path):
+    docs = [(i, f"text {i}") for i in range(-3, 40)] + [(40, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, ""), (1, "posting")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert same_as_sql(spark, tmp_path, "save_letters").total() == 44
+    assert QUERIES["save_letters"](spark, str(tmp_path)).inputFiles() == []
